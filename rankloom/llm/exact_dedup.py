@@ -10,8 +10,8 @@ The text itself is read once; what is written, probed and shuffled are rows of
 an id and a fingerprint. The filter has eight bits a row, so its size is known
 before it is built: up to BROADCAST_BYTES it is broadcast, beyond that its bitmaps
 are joined by their number. Copies of one text may be a third of all rows: they
-are counted by partial aggregation, and the join that tells them their group is
-one that adaptive execution can split.
+are counted by partial aggregation, and groups of over a thousandth of the rows,
+a thousand at most, are told to their rows by a broadcast.
 
 Cases: a null text equals an empty one; rows that repeat an id and its text count
 in group_size, and one of them is kept; an empty table gives an empty table;
@@ -30,6 +30,7 @@ from .common import ascii_lower, stored, table
 BITS_A_ROW = 8
 BROADCAST_BYTES = 64 << 20
 BITMAP_BITS = 32_768  # of bitmap_construct_agg
+HEAVY = 1000
 
 
 def _cells(fingerprint: Column, bits: int) -> list[Column]:
@@ -64,36 +65,42 @@ def _fingerprint(text: str) -> Column:
     return F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)
 
 
-def _passes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int]:
-    """The stored (key, row, fingerprint), the Bloom filter over it and its bits."""
+def _passes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """The stored (key, row, fingerprint), the Bloom filter over it, its bits, the rows."""
     rows = stored(df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), _fingerprint(text).alias("fingerprint")), "fingerprints")
-    bits = 2 ** max(15, ceil(log2(max(1, rows.count()) * BITS_A_ROW)))
-    return rows, repeated_cells(rows, bits), bits
+    count = rows.count()
+    bits = 2 ** max(15, ceil(log2(max(1, count) * BITS_A_ROW)))
+    return rows, repeated_cells(rows, bits), bits, count
 
 
-def _told(again: DataFrame) -> DataFrame:
-    """Of the rows that shuffle: what stays of each group."""
+def _told(again: DataFrame, rows: int) -> DataFrame:
+    """Of the rows that shuffle: what stays of each group. The groups of at least
+    rows / HEAVY copies, which are HEAVY at most, are told by a broadcast, so that no
+    task meets one of them whole; the others join by their fingerprint."""
     groups = again.groupBy("fingerprint").agg(F.max(F.struct("key", "row")).alias("keep"), F.count("*").alias("group_size"))
-    told = again.join(groups, "fingerprint")
+    heavy = groups.where(F.col("group_size") >= max(2, -(-rows // HEAVY)))
+    told = again.join(F.broadcast(heavy), "fingerprint", "left")
+    light = told.where("group_size IS NULL").drop("keep", "group_size").join(groups, "fingerprint")
+    told = told.where("group_size IS NOT NULL").unionByName(light)
     return told.select("key", "row", F.col("keep.key").alias("keep_id"), "group_size", (F.struct("key", "row") == F.col("keep")).alias("kept"), "fingerprint")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: the key, keep_id, group_size, kept and text_sha256. Of
     equal texts the largest key stays."""
-    rows, filter_, bits = _passes(df, key, text)
+    rows, filter_, bits, count = _passes(df, key, text)
     probed = maybe_repeated(rows, filter_, bits)
     straight = probed.where("not maybe").select("key", "row", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "fingerprint")
-    told = _told(probed.where("maybe").drop("maybe"))
+    told = _told(probed.where("maybe").drop("maybe"), count)
     return straight.unionByName(told).select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.col("fingerprint").alias("text_sha256"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns. Only rows that may be repeats
     shuffle. Of rows that repeat a key and its text, one stays."""
-    rows, filter_, bits = _passes(df, key, text)
+    rows, filter_, bits, count = _passes(df, key, text)
     probed = maybe_repeated(df.withColumn("fingerprint", _fingerprint(text)), filter_, bits)
-    stays = _told(maybe_repeated(rows, filter_, bits).where("maybe").drop("maybe")).where("kept").select(F.col("key").alias("__key"), F.col("fingerprint").alias("__fingerprint"))
+    stays = _told(maybe_repeated(rows, filter_, bits).where("maybe").drop("maybe"), count).where("kept").select(F.col("key").alias("__key"), F.col("fingerprint").alias("__fingerprint"))
     again = probed.where("maybe").join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("fingerprint") == F.col("__fingerprint")), "left_semi")
     return probed.where("not maybe").unionByName(again.dropDuplicates([key, "fingerprint"])).drop("maybe", "fingerprint")
 
