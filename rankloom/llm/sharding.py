@@ -33,7 +33,7 @@ from .common import stored, table
 
 BUNDLES = 4096
 SHARE = 64  # a group of over 1/SHARE of a shard is packed by itself
-CELL_ROWS = 5_000
+CELL_ROWS = 500
 CELLS = 20_000  # cells of rows at most, beside one for each item
 
 
