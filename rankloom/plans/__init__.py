@@ -1,9 +1,14 @@
 """The registered queries and their SQL."""
 
+from . import browsing, measures, models, preparing
+from .registry import ORACLES, QUERIES
+
+__all__ = ["browsing", "measures", "models", "oracle_sql", "preparing", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
