@@ -31,6 +31,7 @@ from array import array
 from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 BLOCK_TOKENS = 1_000_000
 STEP_TOKENS = 65_536
-CACHE_WORDS = 500_000
-LOOSE = re.compile(r"\s(?!\S)")
+CACHE_WORDS = 1_200_000
 BEFORE_WORD = re.compile(r" (?=\S)")
 
 
@@ -57,46 +57,71 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"": b""}
-        self.line = self.encode(["\n"])[0]
-        self.cache_words = cache_words
+        self.line, *ends = self.encode(["\n", ",", "."])
+        self.line_id, self.ends = int.from_bytes(self.line, "little"), dict(zip(",.", ends, strict=True))
+        self.cache_words, self.loose = cache_words, set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of words without line feeds, many at once: one to a line."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([before + w for w in words])], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.line_id)
+        if len(cuts) != len(words) - 1:
+            return self.encode([before + w for w in words])
+        raw, starts, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(ids) * 4]
+        return [raw[x:y] for x, y in zip(starts, ends, strict=True)]
+
     def _learn(self, cache: dict, words: set, before: str) -> None:
-        new = [w for w in words if w not in cache]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cache.update(zip(part, self.encode([before + w for w in part]), strict=True))
+        new = words.difference(cache)
+        self.loose.update(w for w in new if w and (w[0].isspace() or w[-1].isspace()))
+        # a comma or full stop behind a letter is a token of its own
+        ended = [w for w in new if w[-1] in ",." and w[-2:-1].isalpha()]
+        plain = new.difference(ended).union(w[:-1] for w in ended).difference(cache)
+        lined = [w for w in plain if "\n" in w]
+        cache.update(zip(lined, self.encode([before + w for w in lined]), strict=True))
+        plain = list(plain.difference(lined))
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            cache.update(zip(part, self._encode_words(part, before), strict=True))
+        for w in ended:
+            cache[w] = cache[w[:-1]] + self.ends[w[-1]]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         for cache in (self.spaced, self.bare):
             if len(cache) > self.cache_words:
                 cache.clear()
+                self.loose.clear()
         self.bare[""] = b""
-        split, spaced, bare = [], set(), set()
+        split, spaced, bare = [], set(), {""}
         for text in texts:
             text = text or ""
             if any(s in text for s in self.special):
                 split.append(text)
                 continue
-            if LOOSE.search(text):
+            if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
                 lines = [BEFORE_WORD.split(text)]
             else:
                 lines = [line.split(" ") for line in text.split("\n")]
-            for words in lines:
+            for n, words in enumerate(lines):
                 bare.add(words[0])
-                spaced.update(words[1:])
+                lines[n] = words[0], words
+                del words[0]
+                spaced.update(words)
             split.append(lines)
         self._learn(self.spaced, spaced, " ")
         self._learn(self.bare, bare, "")
-        out, known, first = [], self.spaced.__getitem__, self.bare
-        for lines in split:
-            if isinstance(lines, str):
-                out.append(self.encode([lines])[0])
+        # the words of these texts in a small table, which stays in the processor's cache
+        out, first = [], self.bare
+        known = {w: self.spaced[w] for w in spaced}.__getitem__
+        for lines, text in zip(split, texts, strict=True):
+            if isinstance(lines, str) or self.loose and any(w[0] in self.loose or not self.loose.isdisjoint(w[1]) for w in lines):
+                # white space of other kinds beside a word: it may join what stands between words
+                out.append(self.encode([text])[0])
             else:
-                out.append(self.line.join([first[words[0]] + b"".join(map(known, words[1:])) for words in lines]))
+                out.append(self.line.join([first[word] + b"".join(map(known, words)) for word, words in lines]))
         return out
 
 
@@ -204,8 +229,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str
         for batch in batches:
             names_type = batch.column(0).type
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for name, ids in zip(names[at : at + 256], encoder.ids(texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), 512):
+                for name, ids in zip(names[at : at + 512], encoder.ids(texts[at : at + 512]), strict=True):
                     number = state["documents"] = state["documents"] + 1
                     documents[number] = (name, ids + end)
                     tokens += len(ids) // 4 + 1
