@@ -14,8 +14,11 @@ Equal sets are one node from the start. A signature that is shared by different
 first pairs all of them with one hub only; pairs are verified on the sets. Where the
 sets of a signature then lie in one component, nothing more can be learned from it.
 The others go on with more hubs in each round, against sets of other components only,
-until every pair that could join two components has been verified. So components
-are exact, yet a large group of near copies costs a pair for each member.
+until every pair that could join two components has been verified or ruled out.
+Ruled out is a pair whose sizes differ too much, or whose parity sketches do: each
+feature flips one of SKETCH bits, so two sketches differ in no more bits than the
+sets in features. The join itself tests this, so a large group of near copies costs a
+row for each member and for pairs close to the threshold, not for all pairs.
 
 Nodes are 64-bit fingerprints of sets and shingles are 64-bit hashes; two different sets
 of a billion documents share one with probability below 0.03.
@@ -41,7 +44,8 @@ from .shingles import mix, shingle_set
 SIZE = 4
 PERCENT = 85
 BROADCAST_ROWS = 1_000_000
-WIDER = 4  # how many times more hubs each round has
+WIDER = 16  # how many times more hubs each round has
+SKETCH = 512
 
 
 class Bands:
@@ -99,28 +103,37 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """The parity of how many features fall on each of SKETCH bits."""
+    odd = np.bincount((mix(features, 77) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(key, n, fp, sigs) of each document; fp is null for an empty set."""
+    """(key, n, fp, sketch, sigs) of each document; fp is null for an empty set."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
-            counts, prints, signed = [], [], []
+            counts, prints, sketches, signed = [], [], [], []
             for value in batch.column(1).to_pylist():
                 features = shingle_set(value, size)
                 counts.append(len(features))
                 prints.append(int(np.uint64(fingerprint(features)).view(np.int64)) if len(features) else None)
+                sketches.append(sketch(features))
                 signed.append(_signed(signatures(features, bands)) if len(features) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, signed)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), lists], names=["key", "n", "fp", "sigs"])
+            words = SKETCH // 64
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * words), pa.array(np.concatenate(sketches)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), flat, lists], names=["key", "n", "fp", "sketch", "sigs"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, fp long, sigs array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, fp long, sketch array<long>, sigs array<long>")
 
 
 def _features(docs: DataFrame, size: int) -> DataFrame:
@@ -162,55 +175,62 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """One row per document: key, n_shingles and component_id, the smallest key that links
     reach. Links are exact: 100 * intersection >= percent * union."""
     own = stored(sets(docs, key, text, size, percent), "sets")
-    nodes = stored(own.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("first"), F.first("n").alias("n")), "nodes")
+    nodes = stored(own.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     rows = own.where("fp IS NOT NULL").select(F.explode("sigs").alias("sig"), "fp", "n")
     groups = rows.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     groups = stored(groups, "signatures")
     # a signature of two sets is done with their pair; only the others need their members
-    few = _small(groups, groups.count())
-    more = stored(rows.join(few, "sig").where("fp <> lo AND fp <> hi").select("sig", "fp", "n").distinct(), "members")
+    more = stored(rows.join(groups, "sig").where("fp <> lo AND fp <> hi").select("sig", "fp", "n").distinct(), "members")
     large = stored(more.groupBy("sig").agg((F.count("*") + 2).alias("size")), "large")
     ends = groups.join(_small(large, large.count()), "sig").select("sig", "size", F.explode(F.array("lo", "hi")).alias("fp")).join(nodes.select("fp", "n"), "fp")
     members = more.join(_small(large, large.count()), "sig").select("sig", "size", "fp", "n").unionByName(ends.select("sig", "size", "fp", "n"))
     members = stored(members, "members")
 
-    alike = F.col("na") * 100 >= F.col("nb") * percent
-    alike &= F.col("nb") * 100 >= F.col("na") * percent
+    differ = sum(F.bit_count(F.get("sa", i).bitwiseXOR(F.get("sb", i))) for i in range(SKETCH // 64))
+    alike = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    alike &= differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     first = groups.select(*_pairs("lo", "hi")).unionByName(more.join(groups, "sig").select(*_pairs("lo", "fp"))).distinct()
-    sized = nodes.select("fp", "n")
-    first = first.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(alike).select("a", "b")
+    sized = nodes.select("fp", "n", "sketch")
+    first = first.join(sized.toDF("a", "na", "sa"), "a").join(sized.toDF("b", "nb", "sb"), "b").where(alike).select("a", "b")
     first = stored(first, "pairs")
 
-    # the sets of nodes that stand in some pair or large signature, from one document each
-    wanted = first.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(members.select("fp")).distinct().join(nodes, "fp").select("fp", F.col("first").alias("key"))
-    wanted = stored(wanted, "wanted")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(_small(wanted, wanted.count()), "key").select("fp", "text")
-    features = _features(texts, size)
-    features = stored(features, "features")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, by the sets of one document of each node."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first").alias("key"))
+        wanted = stored(wanted, "wanted")
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(_small(wanted, wanted.count()), "key").select("fp", "text")
+        features = stored(_features(texts.dropDuplicates(["fp"]), size), "features")
+        return stored(_verified(pairs, features, percent).where("linked").select("a", "b"), "linked")
 
-    checked = stored(_verified(first, features, percent), "checked")
-    hubs = 1
+    labels, hubs = components(verified(first)), 1
     while True:
-        labels = components(checked.where("linked"))
-        now = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        now = stored(now, "labelled")
-        open_ = now.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("size").alias("most")).where("l <> h")
-        open_ = stored(open_.select("sig", "most"), "open")
+        now = stored(members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+        open_ = stored(now.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("size").alias("most")).where("l <> h").select("sig", "most"), "open")
         count, most = open_.agg(F.count("*"), F.max("most")).first()
         if not count or hubs >= most:
             break
         previous, hubs = hubs, hubs * WIDER
-        active = now.join(_small(open_.select("sig"), count), "sig", "left_semi")
+        # what is settled stays settled, so later rounds read the open signatures only
+        active = stored(now.join(_small(open_.select("sig"), count), "sig", "left_semi"), "active")
+        members = active.drop("label")
+        active = active.join(sized.select("fp", "sketch"), "fp")
         # about `hubs` members of each signature are hubs by now, and all of them in the last round
         draw = F.pmod(F.xxhash64("sig", "fp"), F.lit(1 << 30)) / float(1 << 30)
         hub = active.where((draw < F.lit(float(hubs)) / F.col("size")) & (draw >= (F.lit(float(previous if previous > 1 else 0)) / F.col("size"))))
-        hub = hub.select("sig", F.col("fp").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("na"))
-        found = active.withColumnRenamed("n", "nb").join(hub, "sig").where((F.col("label") != F.col("hub_label")) & alike).select(*_pairs("fp", "hub")).distinct()
-        found = stored(found.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        hub = hub.select("sig", F.col("fp").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        member = active.select("sig", "fp", "label", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        found = member.join(hub, (member["sig"] == hub["sig"]) & (F.col("label") != F.col("hub_label")) & alike)
+        found = stored(found.select(*_pairs("fp", "hub")).distinct(), "pairs")
         if found.isEmpty():
             continue
-        checked = stored(checked.unionByName(_verified(found, features, percent)), "checked")
+        named = labels.withColumnRenamed("label", "name")
+        new = verified(found)
+        for x in "ab":
+            new = new.join(named.withColumnRenamed("node", x), x, "left").withColumn(x, F.coalesce("name", x)).drop("name")
+        joined = components(new.where("a <> b")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = stored(labels.unionByName(joined.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels, "node", "left_anti")), "labels")
 
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
