@@ -2,12 +2,13 @@
 
 A document is the average of the embeddings of its hashed subwords (character
 n-grams of its words, with word borders), followed by a linear softmax. Embeddings
-and weights are trained together by stochastic gradient descent in numpy, on at
-most SAMPLE_A_LANG labelled rows of each language, chosen by a hash of the id; of
+and weights are trained together by stochastic gradient descent in numpy, on
+about SAMPLE_A_LANG labelled rows of each language, chosen by a hash of the id; of
 these rows the whole texts are counted on the executors, so that the driver gets at
 most BUCKETS numbers a row. A part of the sample is kept out of the training to fit
 a temperature and a rejection threshold: the score below which only
-REJECT_CORRECT of its rightly labelled rows fall.
+REJECT_CORRECT of its rightly labelled rows fall, but never one that asks for much
+more than a guess, so that texts of a known language stay.
 
 As the model is linear, embedding and weights of a subword are multiplied once, and
 the sums of a word are kept in a bounded cache on each worker.
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import table
 
@@ -37,11 +37,11 @@ GRAMS = (1, 2, 3)
 SAMPLE_A_LANG = 600
 MOST_LANGS = 400
 DIMENSION = 16
-EPOCHS = 12
+STEPS = 1200
 RATE = 4.0
 BATCH = 32
 REJECT_CORRECT = 0.001
-MOST_THRESHOLD = 0.4
+MOST_THRESHOLD = 1.2  # times the score of a guess
 CACHE_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -77,12 +77,14 @@ def _counts(batches):
 
 
 def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list:
-    """At most SAMPLE_A_LANG rows of each language as subword shares, in a fixed order."""
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    ids = df.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct().withColumn("h", F.xxhash64("key", F.lit(11)))
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_A_LANG).limit(SAMPLE_A_LANG * MOST_LANGS)
-    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(ids), ["key", "lang"])
-    out = own.select("key", "lang", "text", "h").mapInArrow(lambda batches: _counts(batches), "lang string, feature array<int>, share array<float>")
+    """About SAMPLE_A_LANG rows of each language, by a hash of the id, as subword shares in
+    a fixed order."""
+    labelled = df.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    ids = labelled.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < SAMPLE_A_LANG).select("key", "lang")
+    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(ids), ["key", "lang"])  # about SAMPLE_A_LANG ids for each of MOST_LANGS at most
+    out = own.select("key", "lang", "text").mapInArrow(lambda batches: _counts(batches), "lang string, feature array<int>, share array<float>")
     return sorted((r for r in out.collect() if r["feature"]), key=lambda r: (zlib.crc32(np.asarray(r["feature"], np.int32).tobytes()), r["lang"]))
 
 
@@ -119,20 +121,18 @@ def train(rows: list, seed: int = 5) -> Model | None:
     weights, bias = draw.normal(0, 0.1, (DIMENSION, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     labels = np.array([number[r["lang"]] for r in fit])
     share = np.bincount(labels, minlength=len(langs)) / len(labels)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        order = draw.permutation(len(fit))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            x, y = _dense([fit[i] for i in part]), labels[part]
-            hidden = x @ embedding
-            error = _softmax(hidden @ weights + bias)
-            error[np.arange(len(y)), y] -= 1
-            error /= (share[y] * len(langs) * len(y))[:, None]  # each language weighs the same
-            back = error @ weights.T
-            weights -= rate * hidden.T @ error
-            bias -= rate * error.sum(axis=0)
-            embedding -= rate * x.T @ back
+    order = np.concatenate([draw.permutation(len(fit)) for _ in range(-(-STEPS * BATCH // len(fit)))])
+    for step in range(STEPS):
+        rate, part = RATE * (1 - step / STEPS), order[step * BATCH : (step + 1) * BATCH]
+        x, y = _dense([fit[i] for i in part]), labels[part]
+        hidden = x @ embedding
+        error = _softmax(hidden @ weights + bias)
+        error[np.arange(len(y)), y] -= 1
+        error /= (share[y] * len(langs) * len(y))[:, None]  # each language weighs the same
+        back = error @ weights.T
+        weights -= rate * hidden.T @ error
+        bias -= rate * error.sum(axis=0)
+        embedding -= rate * x.T @ back
     logits = (embedding @ weights).astype(np.float32)
     z = np.concatenate([_dense(held[i : i + 256]) @ logits + bias for i in range(0, len(held), 256)])
     y = np.array([number[r["lang"]] for r in held])
@@ -140,7 +140,7 @@ def train(rows: list, seed: int = 5) -> Model | None:
     temperature = float(min(np.geomspace(0.2, 20, 60), key=loss))
     p = _softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    threshold = min(MOST_THRESHOLD, float(np.quantile(right, REJECT_CORRECT))) if len(right) else 0.0
+    threshold = min(MOST_THRESHOLD / len(langs), float(np.quantile(right, REJECT_CORRECT))) if len(right) else 0.0
     return Model(langs, logits, bias, temperature, threshold)
 
 
