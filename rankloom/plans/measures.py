@@ -337,3 +337,83 @@ def g8(spark, sf_dir):
     by_id = E.user_metrics(plain, wanted, K).select("user_id", F.col("ndcg").alias("x"))
     both = E.user_metrics(E.recommended(scores, train, K), wanted, K).join(by_id, "user_id")
     return both.agg(F.round(F.avg(F.col("x") - F.col("ndcg")), 6).alias("difference"), F.count_if(F.abs(F.col("x") - F.col("ndcg")) > 1e-9).alias("changed"))
+
+
+for _metric, _id in (("recall", "e3"), ("ndcg", "e4"), ("hit_rate", "e5"), ("mrr", "e6")):
+
+    def _one(spark, sf_dir, metric=_metric):
+        return pop_metrics(spark, sf_dir).select("user_id", F.round(metric, 6).alias(metric))
+
+    query(f"{_id}_{_metric}", f"{BASE} SELECT user_id, round({_metric}, 6) AS {_metric} FROM m")(_one)
+
+
+@query("e14_rating_prediction", X.with_("ra", more=SPLIT.replace("FROM rb", "FROM ra") + ", c AS (SELECT avg(rating) AS c FROM train), i AS (SELECT item_id, avg(rating) AS im FROM train GROUP BY 1)") + "SELECT count(*) AS n, count(*) FILTER (im IS NULL) AS unseen, round(sqrt(avg(pow(coalesce(im, c) - rating, 2))), 6) AS rmse FROM split LEFT JOIN i USING (item_id), c WHERE split = 'test'")
+def e14(spark, sf_dir):
+    """Item means, with the global mean for items that train never saw."""
+    own = split.temporal_split(X.ratings_a(spark, sf_dir))
+    train, test = own.where("split = 'train'"), own.where("split = 'test'")
+    means = train.groupBy("item_id").agg(F.avg("rating").alias("im"))
+    mean = train.agg(F.avg("rating").alias("c"))
+    rows = test.join(means, "item_id", "left").join(F.broadcast(mean), F.lit(True))
+    d = F.coalesce("im", "c") - F.col("rating")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("im").isNull()).alias("unseen"), F.round(F.sqrt(F.avg(d * d)), 6).alias("rmse"))
+
+
+def _content_sql(variant: str) -> str:
+    prof = models._profile_sql(variant).replace("SELECT * FROM rb", "SELECT * FROM train")
+    return f"{models.TIER1}, {models.UNIT}, {prof}, " + lists_sql("c_lists", "SELECT user_id, item_id, sum(prof.value * unit.value) AS score FROM prof JOIN unit USING (feature) SEMI JOIN (SELECT DISTINCT item_id FROM train) USING (item_id) GROUP BY 1, 2") + ", " + metrics_sql("mt", "c_lists")
+
+
+G2_VARIANTS = ("pos_mean", "rating_weighted")
+
+
+@query("g2_content_grid", " UNION ALL ".join(f"SELECT * FROM ({X.with_('rb', 'items', more=f'{SPLIT}, {RELEVANT}, {_content_sql(v)}')} SELECT '{v}' AS variant, round(avg(ndcg), 6) AS ndcg FROM mt)" for v in G2_VARIANTS))
+def g2(spark, sf_dir):
+    """Profile variants over tier-1 vectors, by NDCG on the validation split."""
+    from ..operators import content
+
+    train, val = parts(spark, sf_dir)
+    wanted, unit, out = E.relevant(train, val), models._unit(spark, sf_dir), None
+    served = unit.join(train.select("item_id").distinct(), "item_id", "left_semi")
+    for variant in G2_VARIANTS:
+        lists = E.recommended(content.scores(content.profiles(train, unit, variant), served), train, K)
+        row = E.user_metrics(lists, wanted, K).agg(F.lit(variant).alias("variant"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("g3_block_weight_grid", X.with_("items", "vectors", more=f"{models.TIER1}, {models.UNIT}, dense AS (SELECT item_id, CAST(unnest(range(len(embedding))) AS VARCHAR) AS feature, CAST(unnest(embedding) AS DOUBLE) AS value FROM vectors), w AS (SELECT unnest([0, 1, 2]) AS config, unnest([CAST(0.5 AS DOUBLE), 1.0, 2.0]) AS wd), b AS (SELECT config, item_id, value AS value FROM unit, w UNION ALL SELECT config, item_id, value * wd FROM dense, w)") + "SELECT config, round(avg(n), 5) AS mean_norm FROM (SELECT config, item_id, sqrt(sum(value * value)) AS n FROM b GROUP BY 1, 2) GROUP BY 1")
+def g3(spark, sf_dir):
+    """The length of items before normalisation, by the weight of the dense block."""
+    dense = X.item_vectors(spark, sf_dir).select("item_id", F.explode("embedding").alias("v")).select("item_id", (F.col("v").cast("double")).alias("value"))
+    grid = spark.createDataFrame([(0, 0.5), (1, 1.0), (2, 2.0)], "config int, wd double")
+    unit = models._unit(spark, sf_dir).select("item_id", "value", F.lit(False).alias("dense")).unionByName(dense.withColumn("dense", F.lit(True)))
+    rows = unit.join(F.broadcast(grid), F.lit(True)).withColumn("value", F.when(F.col("dense"), F.col("value") * F.col("wd")).otherwise(F.col("value")))
+    return rows.groupBy("config", "item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n")).groupBy("config").agg(F.round(F.avg("n"), 5).alias("mean_norm"))
+
+
+ALPHA_GRID = "grid AS (SELECT i AS config, i / 10 AS wc, CAST(0 AS DOUBLE) AS wf, 1 - i / 10 AS wp FROM (SELECT unnest(range(11)) AS i))"
+
+
+def alphas(spark):
+    return spark.createDataFrame([(i, i / 10, 0.0, 1 - i / 10) for i in range(11)], "config int, w_content double, w_cf double, w_popularity double")
+
+
+@query("g5_alpha_grid", TUNED.replace(GRID, ALPHA_GRID) + " SELECT config, round(ndcg, 6) AS ndcg, round(hit_rate, 6) AS hit_rate FROM res")
+def g5(spark, sf_dir):
+    rows = models.blended(spark, sf_dir).select("user_id", "item_id", "pct_content", "pct_cf", "pct_popularity")
+    later = stats.positives(X.ratings_b(spark, sf_dir)).select("user_id", "item_id").join(models.picks(spark, sf_dir), ["user_id", "item_id"], "left_anti")
+    return rounded(tuning.grid_metrics(tuning.weighted_lists(rows, alphas(spark), K), later, K), ("ndcg", "hit_rate"))
+
+
+@query("g6_monotone_alphas", TUNED.replace(GRID, ALPHA_GRID) + ", best AS (SELECT config / 10 AS a FROM res ORDER BY round(ndcg, 9) DESC, config LIMIT 1), s AS (SELECT 3 AS k, 0.3 AS alpha UNION ALL SELECT 5, a FROM best UNION ALL SELECT 10, a - 0.1 FROM best) SELECT k, round(CAST(max(alpha) OVER (ORDER BY k) AS DOUBLE), 6) AS alpha FROM s")
+def g6(spark, sf_dir):
+    """The best alpha of one cohort placed in a schedule, which is then made monotone."""
+    found = tuning.best(g5(spark, sf_dir)).select((F.col("config") / 10).alias("a"))
+    schedule = spark.createDataFrame([(3, 0.3)], "k int, alpha double").unionByName(found.select(F.lit(5).alias("k"), F.col("a").alias("alpha"))).unionByName(found.select(F.lit(10).alias("k"), (F.col("a") - 0.1).alias("alpha")))
+    return hybrid.monotone(schedule).withColumn("alpha", F.round("alpha", 6))
+
+
+@query("sc23_discounts", f"{BASE} SELECT user_id, rank, round(1 / log2(rank + 1), 6) AS discount, round(ln(rank), 6) AS l, round(sqrt(rank), 6) AS s FROM lists")
+def sc23(spark, sf_dir):
+    return pop_lists(spark, sf_dir).select("user_id", "rank", F.round(1 / F.log2(F.col("rank") + 1), 6).alias("discount"), F.round(F.ln("rank"), 6).alias("l"), F.round(F.sqrt("rank"), 6).alias("s"))

@@ -392,3 +392,13 @@ def snk4(spark, sf_dir):
     return served.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6).alias("norm"))
 
 
+
+
+@query("j8_all_pairs_dot", X.with_("vectors") + "SELECT a.item_id AS a, b.item_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS dot FROM vectors a JOIN vectors b ON a.item_id % 25 = b.item_id % 25 AND a.item_id < b.item_id")
+def j8(spark, sf_dir):
+    """Dot products of dense vectors within blocks of the catalogue."""
+    from ..functions.vectors import dot
+
+    own = X.item_vectors(spark, sf_dir).withColumn("block", F.col("item_id") % 25)
+    left, right = own.toDF("a", "x", "block"), own.toDF("b", "y", "block")
+    return left.join(right, "block").where("a < b").select("a", "b", F.round(dot(F.col("x"), F.col("y")), 5).alias("dot"))
