@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .components import components
-from .shingles import mix, shingle_set
+from .shingles import mix, shingle_set, slices
 
 SIZE = 4
 PERCENT = 85
@@ -119,7 +119,7 @@ def sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataF
 
     def run(batches):
         bands = Bands(percent)
-        for batch in batches:
+        for batch in slices(batches):
             counts, prints, sketches, signed = [], [], [], []
             for value in batch.column(1).to_pylist():
                 features = shingle_set(value, size)
@@ -140,7 +140,7 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
     """(fp, features) from (fp, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["fp", "features"])
 
@@ -156,7 +156,7 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     left, right = (features.select(F.col("fp").alias(x), F.col("features").alias(f"f{x}")) for x in "ab")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             linked = []
             for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

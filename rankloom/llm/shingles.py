@@ -5,10 +5,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
+ROWS_AT_ONCE = 500  # that a worker holds as Python objects
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def slices(batches):
+    """The rows of Arrow batches, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix finalizer)."""
     with np.errstate(over="ignore"):
