@@ -50,15 +50,15 @@ def repeated_cells(fingerprints: DataFrame, bits: int) -> DataFrame:
     return twice.groupBy(F.floor(F.col("cell") / BITMAP_BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell") % BITMAP_BITS).alias("bitmap"))
 
 
-def maybe_repeated(df: DataFrame, filter_: DataFrame, bits: int) -> DataFrame:
+def maybe_repeated(df: DataFrame, filter_: DataFrame, bits: int, fingerprint: str = "fingerprint", maybe: str = "maybe") -> DataFrame:
     """Pass two: adds `maybe`, false only for rows whose fingerprint is certainly unique."""
     if bits / 8 <= BROADCAST_BYTES:
         filter_ = F.broadcast(filter_)
-    for n, cell in enumerate(_cells(F.col("fingerprint"), bits)):
+    for n, cell in enumerate(_cells(F.col(fingerprint), bits)):
         own = filter_.select(F.col("bucket").alias(f"__bucket{n}"), F.col("bitmap").alias(f"__bitmap{n}"))
         df = df.withColumn(f"__cell{n}", cell).withColumn(f"__bucket{n}", F.floor(F.col(f"__cell{n}") / BITMAP_BITS).cast("long")).join(own, f"__bucket{n}", "left")
     hits = [F.coalesce(_bit(F.col(f"__bitmap{n}"), F.col(f"__cell{n}")), F.lit(False)) for n in (0, 1)]
-    return df.withColumn("maybe", hits[0] & hits[1]).drop(*(f"__{name}{n}" for name in ("bucket", "bitmap", "cell") for n in (0, 1)))
+    return df.withColumn(maybe, hits[0] & hits[1]).drop(*(f"__{name}{n}" for name in ("bucket", "bitmap", "cell") for n in (0, 1)))
 
 
 def _fingerprint(text: str) -> Column:
@@ -99,10 +99,10 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """The rows of df that stay, with all their columns. Only rows that may be repeats
     shuffle. Of rows that repeat a key and its text, one stays."""
     rows, filter_, bits, count = _passes(df, key, text)
-    probed = maybe_repeated(df.withColumn("fingerprint", _fingerprint(text)), filter_, bits)
+    probed = maybe_repeated(df.withColumn("__own", _fingerprint(text)), filter_, bits, "__own", "__maybe")
     stays = _told(maybe_repeated(rows, filter_, bits).where("maybe").drop("maybe"), count).where("kept").select(F.col("key").alias("__key"), F.col("fingerprint").alias("__fingerprint"))
-    again = probed.where("maybe").join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("fingerprint") == F.col("__fingerprint")), "left_semi")
-    return probed.where("not maybe").unionByName(again.dropDuplicates([key, "fingerprint"])).drop("maybe", "fingerprint")
+    again = probed.where("__maybe").join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__fingerprint")), "left_semi")
+    return probed.where("not __maybe").unionByName(again.dropDuplicates([key, "__own"])).drop("__maybe", "__own")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

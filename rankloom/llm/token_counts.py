@@ -227,11 +227,10 @@ def prefix_tables(df: DataFrame, text: str = "text", model_path: str | None = No
     return kept.mapInArrow(run, schema)
 
 
-def chunk_spans(table_column: str, budget: int):
-    """From a stored table, the token count that remains after each multiple of the
-    budget: a question answered without encoding anything again."""
-    last = F.element_at(table_column, -1)
-    return F.ceil(last / F.lit(budget)).cast("long")
+def tokens_of_prefix(table_column: str, chars):
+    """From a stored table, the token count of the first `chars` characters: a question
+    about a cut that encodes nothing again."""
+    return F.get(table_column, F.least(chars, F.size(table_column) - 1))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ def test_exact_dedup_against_groups(spark):
     want = {n: (max(ids), len(ids)) for ids in groups.values() for n in ids}
     assert all((r["keep_id"], r["group_size"]) == want[r["doc_id"]] for r in got)
     assert sum(r["kept"] for r in got) == len(groups)
-    kept = X.deduplicate(df.drop("fingerprint"))
+    kept = X.deduplicate(df.withColumn("maybe", F.lit("own")))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(max(ids) for ids in groups.values())
-    assert set(kept.columns) == {"doc_id", "text", "lang", "key"}
+    assert set(kept.columns) == {*df.columns, "maybe"} and {r["maybe"] for r in kept.collect()} == {"own"}
     assert X.classes(df.limit(0)).count() == 0
 
 

@@ -38,6 +38,8 @@ def test_counts_of_a_table_with_odd_rows(spark):
     assert T.count_tokens(df.limit(0)).count() == 0
     table = T.prefix_tables(df.where("doc_id IS NULL")).first()["prefix_tokens"]
     assert table[0] == 0 and len(table) == 4
+    asked = T.prefix_tables(df.where("doc_id IS NULL")).select(*(T.tokens_of_prefix("prefix_tokens", F.lit(n)).alias(f"at{n}") for n in (0, 2, 99))).first()
+    assert list(asked) == [table[0], table[2], table[3]]
 
 
 def test_word_ids_equal_the_library(texts):
