@@ -14,6 +14,7 @@ from .. import schema as S
 from ..functions import text as X
 
 HELD_OUT = ("test", "cold_final")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _csv(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
@@ -85,10 +86,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet to the shared folder and read again: cuts the lineage, survives lost
-    executors and is compressed, unlike checkpoint()."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executors and is compressed, unlike checkpoint(). The shuffle files of the query that
+    wrote it are of no more use and go at its end."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def through_csv(df: DataFrame, name: str) -> str:
