@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
 
-__all__ = ["ascii_lower", "stored", "table"]
+__all__ = ["ascii_lower", "hold", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -19,3 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else, so that lengths and other letters stay."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+_KEPT: dict[str, tuple] = {}
+
+
+def hold(operator: str, key: Hashable, make: Callable):
+    """What an operator keeps in a Python worker from one task to the next. A worker holds
+    the state of one operator at a time: that of others goes."""
+    found = _KEPT.get(operator)
+    if found is None or found[0] != key:
+        _KEPT.clear()
+        found = _KEPT[operator] = (key, make())
+    return found[1]

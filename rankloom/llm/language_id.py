@@ -16,7 +16,8 @@ the sums of a word are kept in a bounded cache on each worker.
 Cases: null texts and texts without a letter are `und` with score 0 and are
 rejected; rows without a label are not learned from; without any label everything
 is `und`; with one language every text gets it; repeated rows are predicted row by row;
-an empty table gives an empty table; columns beside id, text and label do not matter.
+an empty table gives an empty table; other columns pass through, and those named
+lang_pred, score or rejected are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -42,7 +43,7 @@ RATE = 4.0
 BATCH = 32
 REJECT_CORRECT = 0.001
 MOST_THRESHOLD = 1.2  # times the score of a guess
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -178,9 +179,6 @@ class Predictor:
         return langs, scores
 
 
-_PREDICTORS: dict[str, Predictor] = {}
-
-
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds lang_pred, score and rejected. All other columns pass through."""
     kept = df.drop("lang_pred", "score", "rejected")
@@ -190,11 +188,9 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     shared, threshold = df.sparkSession.sparkContext.broadcast(model), model.threshold  # at most BUCKETS x MOST_LANGS numbers
 
     def run(batches):
-        if name not in _PREDICTORS:
-            _PREDICTORS.clear()
-            _PREDICTORS[name] = Predictor(shared.value)
+        predictor = hold("language_id", name, lambda: Predictor(shared.value))
         for batch in batches:
-            langs, scores = _PREDICTORS[name].predict(batch.column(text).to_pylist())
+            langs, scores = predictor.predict(batch.column(text).to_pylist())
             columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == "und" or s < threshold for x, s in zip(langs, scores, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 

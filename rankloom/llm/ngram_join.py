@@ -25,7 +25,8 @@ of a billion documents share one with probability below 0.03.
 
 Cases: null texts and texts without words have an empty set and link with nothing; fewer
 words than a shingle are one shingle; equal texts are linked; repeated rows are
-one node; an empty table gives an empty table; other columns do not matter.
+one node; a row without an id is linked through equal texts that have one only; an
+empty table gives an empty table; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataF
             for value in batch.column(1).to_pylist():
                 features = shingle_set(value, size)
                 counts.append(len(features))
-                prints.append(int(np.uint64(fingerprint(features)).view(np.int64)) if len(features) else None)
+                prints.append(_print(features))
                 sketches.append(sketch(features))
                 signed.append(_signed(signatures(features, bands)) if len(features) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, signed)]).astype(np.int32)
@@ -136,15 +137,24 @@ def sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataF
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, fp long, sketch array<long>, sigs array<long>")
 
 
+def _print(features: np.ndarray) -> int | None:
+    return int(np.uint64(fingerprint(features)).view(np.int64)) if len(features) else None
+
+
 def _features(docs: DataFrame, size: int) -> DataFrame:
-    """(fp, features) from (fp, text)."""
+    """(fp, features) from (fp, text), for the texts that have the fingerprint."""
 
     def run(batches):
         for batch in slices(batches):
-            found = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["fp", "features"])
+            prints, found = [], []
+            for fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                features = shingle_set(text, size)
+                if _print(features) == fp:
+                    prints.append(fp)
+                    found.append(features.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(found, pa.binary())], names=["fp", "features"])
 
-    return docs.select("fp", "text").mapInArrow(run, "fp long, features binary")
+    return docs.select("fp", "text").mapInArrow(run, "fp long, features binary").dropDuplicates(["fp"])
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -200,7 +210,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first").alias("key"))
         wanted = stored(wanted, "wanted")
         texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(_small(wanted, wanted.count()), "key").select("fp", "text")
-        features = stored(_features(texts.dropDuplicates(["fp"]), size), "features")
+        features = stored(_features(texts, size), "features")
         return stored(_verified(pairs, features, percent).where("linked").select("a", "b"), "linked")
 
     labels, hubs = components(verified(first)), 1

@@ -26,10 +26,10 @@ beside the id and the text do not matter.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from array import array
 from bisect import bisect_left, bisect_right, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -125,12 +125,9 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(path)
+    return hold("packing", path, lambda: WordIds(path))
 
 
 def default_vocabulary() -> str:

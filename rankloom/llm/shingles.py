@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-CACHE_WORDS = 150_000
-ROWS_AT_ONCE = 500  # that a worker holds as Python objects
+from .common import hold
+
+CACHE_WORDS = 100_000
+ROWS_AT_ONCE = 200  # that a worker holds as Python objects
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def slices(batches):
-    """The rows of Arrow batches, a few at a time."""
+    """The rows of Arrow batches, a few at a time. What Arrow has freed goes back to the
+    system after each batch, not at the end of the worker."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             yield batch.slice(at, ROWS_AT_ONCE)
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -32,15 +37,12 @@ class _Words(dict):
         return found
 
 
-_words = _Words()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """The hashes of the words of a text: what white space parts, with A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    words, known = (text or "").encode("utf-8", "replace").lower().split(), hold("shingles", None, _Words)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

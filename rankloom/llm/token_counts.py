@@ -22,14 +22,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 
 CACHE_WORDS = 1_000_000
 SPACE = "▁"
@@ -185,9 +183,8 @@ class _Counts(dict):
         return found
 
 
-@lru_cache(maxsize=2)
 def word_counts(model_path: str) -> WordCounts:
-    return WordCounts(model_path)
+    return hold("token_counts", model_path, lambda: WordCounts(model_path))
 
 
 def default_model() -> str:
