@@ -134,6 +134,13 @@ def test_ngram_join_is_exact(spark, percent):
     assert all(r["component_id"] == root(r["doc_id"]) and r["n_shingles"] == len(sets[r["doc_id"]]) for r in got)
 
 
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = [(1, " ".join(base), "x"), (2, " ".join(base + ["end"]), "x"), (2, "something else that has no link at all", "x"), (None, " ".join(base), "x"), (None, "alone and without an id", "x")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in N.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, 2, 0), (0, 23, 1), (1, 23, 1), (2, 5, 2), (2, 24, 1)]
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
