@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
 
-__all__ = ["ascii_lower", "hold", "stored", "table"]
+__all__ = ["ascii_lower", "hold", "slices", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,3 +35,12 @@ def hold(operator: str, key: Hashable, make: Callable):
         _KEPT.clear()
         found = _KEPT[operator] = (key, make())
     return found[1]
+
+
+def slices(batches, rows: int = 200):
+    """The rows of Arrow batches, a few at a time, so that a worker holds few of them as
+    Python objects. What Arrow has freed goes back to the system after each batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import hold, slices, table
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -60,7 +60,7 @@ def text_words(text: str | None) -> list[str]:
 
 def _counts(batches):
     """The subword counts of whole texts."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             counts = np.zeros(BUCKETS, np.int64)
@@ -189,7 +189,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
     def run(batches):
         predictor = hold("language_id", name, lambda: Predictor(shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = predictor.predict(batch.column(text).to_pylist())
             columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == "und" or s < threshold for x, s in zip(langs, scores, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "rejected"])

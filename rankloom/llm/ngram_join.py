@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 from .components import components
-from .shingles import mix, shingle_set, slices
+from .shingles import mix, shingle_set
 
 SIZE = 4
 PERCENT = 85

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import hold, slices, table
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -223,20 +223,18 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         names_type, full, tokens = pa.int64(), [], 0
-        for batch in batches:
+        for batch in slices(batches, 512):
             names_type = batch.column(0).type
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                for name, ids in zip(names[at : at + 512], encoder.ids(texts[at : at + 512]), strict=True):
-                    number = state["documents"] = state["documents"] + 1
-                    documents[number] = (name, ids + end)
-                    tokens += len(ids) // 4 + 1
-                    full += packer.add(number, len(ids) // 4 + 1)
-                if tokens > BLOCK_TOKENS:
-                    yield emit(full + list(packer.windows(packer.longest * 2)))
-                    needed = {document for _, document, _ in packer.rest}
-                    documents = {n: d for n, d in documents.items() if n in needed}
-                    full, tokens = [], 0
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
+                number = state["documents"] = state["documents"] + 1
+                documents[number] = (name, ids + end)
+                tokens += len(ids) // 4 + 1
+                full += packer.add(number, len(ids) // 4 + 1)
+            if tokens > BLOCK_TOKENS:
+                yield emit(full + list(packer.windows(packer.longest * 2)))
+                needed = {document for _, document, _ in packer.rest}
+                documents = {n: d for n, d in documents.items() if n in needed}
+                full, tokens = [], 0
         full += packer.windows(0)
         if full:
             yield emit(full)

@@ -3,25 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 from .common import hold
 
 CACHE_WORDS = 100_000
-ROWS_AT_ONCE = 200  # that a worker holds as Python objects
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batches):
-    """The rows of Arrow batches, a few at a time. What Arrow has freed goes back to the
-    system after each batch, not at the end of the worker."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
-        pa.default_memory_pool().release_unused()
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix finalizer)."""
     with np.errstate(over="ignore"):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import hold, slices, table
 
 CACHE_WORDS = 1_000_000
 SPACE = "▁"
@@ -200,7 +200,7 @@ def count_tokens(df: DataFrame, text: str = "text", model_path: str | None = Non
 
     def run(batches):
         counts = word_counts(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text).to_pylist()
             found = [counts.count(x) for x in texts]
             cuts = [len(x or "") if n <= budget else counts.cut(x, budget) for x, n in zip(texts, found, strict=True)]
@@ -216,7 +216,7 @@ def prefix_tables(df: DataFrame, text: str = "text", model_path: str | None = No
 
     def run(batches):
         counts = word_counts(path)
-        for batch in batches:
+        for batch in slices(batches):
             tables = pa.array([counts.table(x) for x in batch.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, tables], names=[*batch.schema.names, out])
 
