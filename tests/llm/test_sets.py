@@ -190,6 +190,21 @@ def test_repeated_passages(spark):
     assert S.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_equal_passages_around_a_frequent_line(spark):
+    draw = random.Random(17)
+    say = lambda n: [f"w{draw.randint(0, 5000)}" for _ in range(n)]
+    rows, want = [], {}
+    for n in range(0, 300, 10):
+        line = say(40)
+        passage = say(10) + line + say(10)
+        rows += [(n + k, say(30) + line + say(30)) for k in (0, 1, 8, 9)] + [(n + k, say(k) + passage + say(60)) for k in (4, 5)]
+        want |= {n + k: [(k, k + 60, n + 9 - k, 1.0)] for k in (4, 5)}
+    got = {}
+    for r in S.repeated_passages(spark.createDataFrame([(n, " ".join(t), "x") for n, t in rows], DOCS)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["other"], r["similarity"]))
+    assert got == want
+
+
 def test_passage_verification_is_symmetric():
     words = word_hashes(" ".join(f"w{n}" for n in range(100)))
     a, b = shingle_hashes(words, 5), shingle_hashes(words[20:90], 5)
