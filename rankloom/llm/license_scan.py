@@ -1,17 +1,20 @@
 """Operator 8: licence scans by sentence rules.
 
-A text is cut into sentences at line ends and behind . ; : ! ? before white space.
-Each sentence is normalised: lower case, runs of anything but letters and digits
-become one space. Known sentences map to identifiers; what remains of a text is the
+A text is cut into pieces at line ends and behind . ; : ! ? before white space.
+Each piece is normalised: lower case, runs of anything but letters and digits
+become one space. A known sentence is a run of pieces, within one paragraph, that together
+are its words: it may be wrapped over lines, and hold marks that cut it. Known sentences map to
+identifiers; what remains of a text is the
 ordered sequence of its identifiers with their positions. A licence rule is an
 ordered list of identifiers; it matches where these follow one another with at most
-MAX_GAP unknown sentences between two. Of rules that match at the same place
+MAX_GAP unknown sentences between two; an unknown sentence ends at such a mark, at a blank
+line or at a known one. Of rules that match at the same place
 the longest is reported: the short notice of a licence is not reported again inside its
 full text.
 
-Sentences are streamed and looked up before anything shuffles, so that only known
-sentences, which are few, are gathered by document. The dictionary is the fixed
-list below, which is broadcast.
+Texts are streamed and sentences looked up before anything shuffles, so that only known
+sentences, which are few, are gathered by document. A text without any of the words of
+which each known sentence has one is not cut.
 
 Cases: null and empty texts have no licence and no row; a sentence that is
 repeated starts a match of its own; repeated rows are merged with their document;
@@ -22,12 +25,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import hold, slices, table
 
 MAX_GAP = 1
 # fixed values: sentences of public licences and notices, by identifier
@@ -44,7 +48,9 @@ SENTENCES = {
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-asis": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
@@ -67,7 +73,9 @@ RULES = [
     ("MIT", ["mit-notice", "mit-grant", "mit-keep", "asis"]),
     ("BSD-3-Clause", ["bsd-notice"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("ISC", ["isc-grant", "asis"]),
+    ("ISC", ["isc-grant", "isc-asis"]),
     ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-3.0", ["gpl-free", "gpl-warranty"]),
     ("GPL-2.0", ["gpl2-notice"]),
@@ -87,27 +95,82 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
 def known_sentences() -> dict[str, str]:
     return {normalised(s): name for name, sentences in SENTENCES.items() for s in sentences}
 
 
+class Finder:
+    """Finds the known sentences of texts."""
+
+    def __init__(self):
+        self.known = known_sentences()
+        self.opens: dict[str, set[str]] = {}
+        for sentence in self.known:
+            self.opens.setdefault(sentence.split()[0], set()).add(sentence)
+        uses: dict[str, int] = {}
+        for sentence in self.known:
+            for word in set(sentence.split()):
+                uses[word] = uses.get(word, 0) + 1
+        # each sentence has one of these words: long ones first, then those of many sentences
+        words = {max(sentence.split(), key=lambda w: (min(len(w), 7), uses[w], w)) for sentence in self.known}
+        self.hint = re.compile("|".join(sorted(words)))
+        self.cut = re.compile(CUT, re.ASCII)
+
+    def find(self, text: str | None) -> list[tuple[int, int, int, int, str]]:
+        """(at, to, before, after, id): first and last piece of each known sentence, and the
+        unknown sentences of the pieces before and behind it."""
+        if not text or not self.hint.search(text.lower()):
+            return []
+        pieces, blank, marked, at = [], [], [], 0
+        for gap in [*self.cut.finditer(text), None]:
+            raw = text[at : gap.start() if gap else len(text)]
+            pieces.append(normalised(raw))
+            marked.append(raw[-1:] in tuple(".;:!?") and bool(raw))
+            blank.append(gap is not None and gap.group().count("\n") > 1)
+            at = gap.end() if gap else at
+        spans: list[tuple[int, int, str]] = []
+        for n, piece in enumerate(pieces):
+            best = -1
+            for sentence in self.opens.get(piece.split(" ", 1)[0], ()) if piece else ():
+                end, own = n, piece
+                while len(own) < len(sentence) and sentence.startswith(own + " ") and end + 1 < len(pieces) and pieces[end + 1] and not blank[end]:
+                    end += 1
+                    own += " " + pieces[end]
+                if own == sentence and end > best:
+                    best, name = end, self.known[sentence]
+            # a known sentence inside a longer one is part of it
+            if best >= n and (not spans or best > spans[-1][1]):
+                spans.append((n, best, name))
+        if not spans:
+            return []
+        units, unit = [], 0
+        for n, piece in enumerate(pieces):
+            units.append(unit)
+            unit += marked[n] or blank[n] or not piece
+        return [(n, end, units[n - 1] if n else -1, units[end + 1] if end + 1 < len(units) else unit, name) for n, end, name in spans]
+
+
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, at, id): the known sentences of each document, by position."""
-    known = known_sentences()
-    lengths = sorted({len(s) for s in known})
-    names = df.sparkSession.createDataFrame(sorted(known.items()), T.StructType([T.StructField("sentence", T.StringType()), T.StructField("id", T.StringType())]))
-    # a sentence that is shorter than any known one, or much longer, is not normalised
-    parts = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), CUT)).alias("at", "raw"))
-    parts = parts.where(F.length("raw") >= lengths[0])
-    return parts.select("key", "at", normalise(F.col("raw")).alias("sentence")).join(F.broadcast(names), "sentence").select("key", "at", "id")
+    """(key, at, to, before, after, id): the known sentences of each document, by position."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        finder = hold("license_scan", None, Finder)
+        for batch in slices(batches):
+            rows, found = [], []
+            for n, value in enumerate(batch.column(1).to_pylist()):
+                own = finder.find(value)
+                rows += [n] * len(own)
+                found += own
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "at", "to", "before", "after", "id"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, at int, to int, before int, after int, id string")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per match: key, license, rule (its identifiers), first and last (sentence
+    """One row per match: key, license, rule (its identifiers), first and last (piece
     numbers from 0)."""
     spark = df.sparkSession
     found = sentences(df, key, text).dropDuplicates(["key", "at", "id"])
@@ -115,11 +178,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     steps = spark.createDataFrame([(" ".join(ids), name, ids[0], ids[1:]) for name, ids in RULES], "rule string, license string, id string, tail array<string>")
     # each known sentence may open the rules that begin with it; their tails are the next known sentences
     order = Window.partitionBy("key").orderBy("at")
-    follow = [F.struct(F.lead("id", n).over(order).alias("id"), F.lead("at", n).over(order).alias("at")) for n in range(1, longest)]
+    follow = [F.struct(*(F.lead(x, n).over(order).alias(x) for x in ("id", "at", "to", "before", "after"))) for n in range(1, longest)]
     opened = found.withColumn("next", F.array(*follow)).join(F.broadcast(steps), "id")
-    place = lambda n: F.when(n == 0, F.col("at")).otherwise(F.get("next", n - 1)["at"])
-    fits = F.forall(F.transform("tail", lambda t, n: (F.get("next", n)["id"] == t) & (F.get("next", n)["at"] - place(n) <= MAX_GAP + 1)), lambda x: F.coalesce(x, F.lit(False)))
-    matched = opened.where(fits).select("key", "license", "rule", F.col("at").alias("first"), F.when(F.size("tail") == 0, F.col("at")).otherwise(F.get("next", F.size("tail") - 1)["at"]).alias("last"))
+    last = lambda n, x: F.when(n == 0, F.col(x)).otherwise(F.get("next", n - 1)[x])
+    gap = lambda n: F.when(F.get("next", n)["at"] > last(n, "to") + 1, F.get("next", n)["before"] - last(n, "after") + 1).otherwise(0)
+    fits = F.forall(F.transform("tail", lambda t, n: (F.get("next", n)["id"] == t) & (F.get("next", n)["at"] > last(n, "to")) & (gap(n) <= MAX_GAP)), lambda x: F.coalesce(x, F.lit(False)))
+    matched = opened.where(fits).select("key", "license", "rule", F.col("at").alias("first"), F.when(F.size("tail") == 0, F.col("to")).otherwise(F.get("next", F.size("tail") - 1)["to"]).alias("last"))
     # a match inside a longer one that began no later is part of it
     reach = Window.partitionBy("key").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     kept = matched.withColumn("reach", F.max("last").over(reach)).where("reach IS NULL OR last > reach")

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,35 @@ def test_licenses(spark):
     assert I.scan(spark.createDataFrame(rows[:0], "doc_id long, text string")).count() == 0
 
 
+def test_each_license_rule_on_wrapped_text(spark):
+    """Every rule, its sentences wrapped into comment lines, with an unknown sentence of two lines between."""
+    rows = []
+    for n, (_, ids) in enumerate(I.RULES):
+        for variant in range(max(len(I.SENTENCES[x]) for x in ids)):
+            own = [I.SENTENCES[x][variant % len(I.SENTENCES[x])] for x in ids]
+            rows.append((n * 100 + variant, "Some text.\n\n" + "\n * Another sentence that\n * nobody knows.\n".join("\n".join(" * " + x for x in textwrap.wrap(s + ".", 40)) for s in own) + "\n\nmore"))
+    got = {(r["doc_id"], r["license"], tuple(r["rule"].split(" "))) for r in I.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(n, name, tuple(ids)) for n, name, ids in ((n, *I.RULES[n // 100]) for n, _ in rows)} and len(got) == len(rows)
+
+
+def test_real_license_headers(spark):
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT"
+    rows = [(1, gpl), (2, mpl), (3, isc), (4, "MIT\n\nLicense")]
+    got = sorted((r["doc_id"], r["license"]) for r in I.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "GPL-3.0"), (2, "MPL-2.0"), (3, "ISC")]
+
+
 def test_language_accuracy_and_rejection(spark):
     draw = random.Random(13)
     sounds = {"xx": ["ka", "mo", "ti"], "yy": ["schr", "ung", "ein"], "zz": ["eau", "oux", "ier"]}
