@@ -6,9 +6,12 @@ and weights are trained together by stochastic gradient descent in numpy, on
 about SAMPLE_A_LANG labelled rows of each language, chosen by a hash of the id; of
 these rows the whole texts are counted on the executors, so that the driver gets at
 most BUCKETS numbers a row. A part of the sample is kept out of the training to fit
-a temperature and a rejection threshold: the score below which only
-REJECT_CORRECT of its rightly labelled rows fall, but never one that asks for much
-more than a guess, so that texts of a known language stay.
+a temperature and what is rejected: for each band of text lengths a largest share of
+subwords that no learned text has. The rows kept out, and a part of each for every shorter
+band, tell it: all but REJECT_CORRECT of the rightly labelled ones keep to a share, and the
+limit is as far beyond it as it is from the median, so that texts of a known language stay.
+A score is rejected if it is below what REJECT_CORRECT of the rightly labelled rows
+have, but never one that asks for much more than a guess.
 
 As the model is linear, embedding and weights of a subword are multiplied once, and
 the sums of a word are kept in a bounded cache on each worker.
@@ -22,6 +25,7 @@ lang_pred, score or rejected are replaced.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from dataclasses import dataclass
@@ -43,6 +47,7 @@ RATE = 4.0
 BATCH = 32
 REJECT_CORRECT = 0.001
 MOST_THRESHOLD = 1.2  # times the score of a guess
+BAND_WORDS = (1, 2, 4, 8, 16, 32, 64)  # the least words of each band
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,22 +63,36 @@ def text_words(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
+def _parts(words: list[str]) -> list[bytes]:
+    """The subwords of a part of each band's length from the middle of a text; none for
+    the band of the text and those above, which the whole text stands for."""
+    own = _band(len(words))
+    return [np.array([x for w in words[len(words) // 2 :][:n] for x in subwords(w)], np.uint16).tobytes() for n in BAND_WORDS[:own]]
+
+
+def _band(words: int) -> int:
+    return max(0, bisect.bisect_right(BAND_WORDS, words) - 1)
+
+
 def _counts(batches):
-    """The subword counts of whole texts."""
+    """The subword counts of whole texts, and the subwords of their parts."""
     for batch in slices(batches):
-        rows = []
+        rows, sizes, parts = [], [], []
         for text in batch.column("text").to_pylist():
             counts = np.zeros(BUCKETS, np.int64)
             seen: dict[str, int] = {}
-            for word in text_words(text):
+            words = text_words(text)
+            sizes.append(len(words))
+            parts.append(_parts(words))
+            for word in words:
                 seen[word] = seen.get(word, 0) + 1
             for word, n in seen.items():
                 np.add.at(counts, subwords(word), n)
             rows.append(counts)
         found = [np.flatnonzero(c) for c in rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), pa.array([f.tolist() for f in found], pa.list_(pa.int32())), pa.array([(c[f] / max(1, c.sum())).tolist() for c, f in zip(rows, found, strict=True)], pa.list_(pa.float32()))],
-            names=["lang", "feature", "share"],
+            [batch.column("lang"), pa.array([f.tolist() for f in found], pa.list_(pa.int32())), pa.array([(c[f] / max(1, c.sum())).tolist() for c, f in zip(rows, found, strict=True)], pa.list_(pa.float32())), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.binary()))],
+            names=["lang", "feature", "share", "words", "parts"],
         )
 
 
@@ -85,7 +104,7 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     ids = labelled.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < SAMPLE_A_LANG).select("key", "lang")
     own = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(ids), ["key", "lang"])  # about SAMPLE_A_LANG ids for each of MOST_LANGS at most
-    out = own.select("key", "lang", "text").mapInArrow(lambda batches: _counts(batches), "lang string, feature array<int>, share array<float>")
+    out = own.select("key", "lang", "text").mapInArrow(lambda batches: _counts(batches), "lang string, feature array<int>, share array<float>, words int, parts array<binary>")
     return sorted((r for r in out.collect() if r["feature"]), key=lambda r: (zlib.crc32(np.asarray(r["feature"], np.int32).tobytes()), r["lang"]))
 
 
@@ -96,6 +115,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray  # whether a learned text has the subword
+    most: np.ndarray  # share of subwords that are not seen, by band
+
+    def rejects(self, words: int, score: float, unseen: float) -> bool:
+        band = _band(words)
+        return bool(words == 0 or score < self.threshold or unseen > self.most[band])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -111,7 +136,7 @@ def _dense(rows: list) -> np.ndarray:
 
 
 def train(rows: list, seed: int = 5) -> Model | None:
-    """The averaged-embedding softmax, its temperature and its rejection threshold."""
+    """The averaged-embedding softmax, its temperature and what it rejects."""
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
@@ -139,10 +164,26 @@ def train(rows: list, seed: int = 5) -> Model | None:
     y = np.array([number[r["lang"]] for r in held])
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.2, 20, 60), key=loss))
+    seen = np.zeros(BUCKETS, bool)
+    for r in fit:
+        seen[r["feature"]] = True
+    tests = [(_band(r["words"]), z[n], y[n], float(np.asarray(r["share"])[~seen[r["feature"]]].sum())) for n, r in enumerate(held)]
+    for n, r in enumerate(held):
+        for band, part in enumerate(r["parts"]):
+            found = np.frombuffer(part, np.uint16)
+            tests.append((band, logits[found].mean(axis=0) + bias, y[n], float((~seen[found]).mean())))
+    most = np.ones(len(BAND_WORDS))
+    for band in range(len(BAND_WORDS)):
+        own = [t for t in tests if t[0] == band and t[1].argmax() == t[2]]
+        if own:
+            unseen = np.array([t[3] for t in own])
+            most[band] = 2 * np.quantile(unseen, 1 - REJECT_CORRECT) - np.median(unseen)
     p = _softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
     threshold = min(MOST_THRESHOLD / len(langs), float(np.quantile(right, REJECT_CORRECT))) if len(right) else 0.0
-    return Model(langs, logits, bias, temperature, threshold)
+    for r in held:
+        seen[r["feature"]] = True
+    return Model(langs, logits, bias, temperature, threshold, seen, most)
 
 
 class Predictor:
@@ -150,33 +191,35 @@ class Predictor:
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
-        self.table = np.zeros((1024, len(model.langs) + 1), np.float32)
+        self.table = np.zeros((1024, len(model.langs) + 2), np.float32)
 
     def _row(self, word: str) -> int:
         n = self.rows[word] = len(self.rows)
         if n >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         found = subwords(word)
-        self.table[n, :-1], self.table[n, -1] = self.model.logits[found].sum(axis=0), len(found)
+        self.table[n, :-2], self.table[n, -2], self.table[n, -1] = self.model.logits[found].sum(axis=0), (~self.model.seen[found]).sum(), len(found)
         return n
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if len(self.rows) > CACHE_WORDS:
             self.rows.clear()
-        langs, scores, rows = [], [], self.rows
+        langs, scores, rejected, rows = [], [], [], self.rows
         for text in texts:
             words = text_words(text)
             if not words:
                 langs.append("und")
                 scores.append(0.0)
+                rejected.append(True)
                 continue
             at = np.fromiter([rows[w] if w in rows else self._row(w) for w in words], np.int64, len(words))
             total = self.table[at].sum(axis=0, dtype=np.float64)
-            p = _softmax(((total[:-1] / total[-1] + self.model.bias) / self.model.temperature)[None])[0]
+            p = _softmax(((total[:-2] / total[-1] + self.model.bias) / self.model.temperature)[None])[0]
             best = int(p.argmax())
             langs.append(self.model.langs[best])
             scores.append(float(p[best]))
-        return langs, scores
+            rejected.append(self.model.rejects(len(words), scores[-1], total[-2] / total[-1]))
+        return langs, scores, rejected
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -185,13 +228,13 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     if model is None:
         return kept.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     name = f"{zlib.crc32(model.logits.tobytes()):x}-{len(model.langs)}"
-    shared, threshold = df.sparkSession.sparkContext.broadcast(model), model.threshold  # at most BUCKETS x MOST_LANGS numbers
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MOST_LANGS numbers
 
     def run(batches):
         predictor = hold("language_id", name, lambda: Predictor(shared.value))
         for batch in slices(batches):
-            langs, scores = predictor.predict(batch.column(text).to_pylist())
-            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == "und" or s < threshold for x, s in zip(langs, scores, strict=True)], pa.bool_())]
+            langs, scores, rejected = predictor.predict(batch.column(text).to_pylist())
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double", "rejected boolean"])

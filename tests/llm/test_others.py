@@ -99,6 +99,20 @@ def test_language_accuracy_and_rejection(spark):
     assert none is None and {r["lang_pred"] for r in L.identify(docs.limit(5), none).collect()} == {"und"}
 
 
+def test_gibberish_and_unlearned_languages_are_rejected(spark, sf_dir):
+    draw = random.Random(18)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    junk = ["".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(400)]
+    cyrillic = ["".join(draw.choice("абвгдежзиклмнопрстуфхцчшыэюя") for _ in range(6)) for _ in range(400)]
+    rows = [(10**6 + n, " ".join(words[n : n + 80])) for n, words in enumerate([junk] * 300)] + [(2 * 10**6 + n, " ".join(cyrillic[n : n + 80])) for n in range(300)]
+    model = L.fitted(docs)
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert got.where("NOT rejected").count() == 0
+    short = docs.where("lang IS NOT NULL").select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 20, 6), " ").alias("text")).where("text rlike '[a-z]'")
+    assert L.identify(short, model).where("rejected").count() <= 0.02 * short.count()
+    assert L.identify(docs, model).where("rejected AND text rlike '[a-z]'").count() == 0
+
+
 def test_best_fit_decreasing_by_hand():
     draw = random.Random(14)
     for _ in range(20):
