@@ -12,6 +12,7 @@ from ..sources.files import stored
 
 __all__ = ["ascii_lower", "hold", "slices", "stored", "table"]
 
+SLICE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,10 +38,16 @@ def hold(operator: str, key: Hashable, make: Callable):
     return found[1]
 
 
-def slices(batches, rows: int = 200):
-    """The rows of Arrow batches, a few at a time, so that a worker holds few of them as
-    Python objects. What Arrow has freed goes back to the system after each batch."""
+def slices(batches, rows: int = 200, size: int = SLICE_BYTES):
+    """The rows of Arrow batches, so few at a time that they have at most `size` bytes, or
+    one alone. What Arrow has freed goes back to the system after each batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and (part.num_rows > rows or part.nbytes > size):
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
         pa.default_memory_pool().release_unused()

@@ -2,9 +2,10 @@
 
 Each document becomes its token ids plus an end id. Whole windows of the longest
 context are cut off at once; what remains is routed to the smallest tier (context
-size) that holds it and opens a window there. The gap of that window is filled from
-shorter tiers: the largest remainder that fits, again and again, and at last a cut
-of the smallest one that doesn't. So windows come out full at a power of two and
+size) that holds it. The tiers are packed one after another, the longest first: a
+remainder opens a window of its tier, and the gap is filled from shorter tiers, the
+largest remainder that fits, again and again, and at last a cut of the smallest one
+that doesn't. So windows come out full at a power of two and
 need no padding; what is left at the end of a task is cut down the tiers in the
 same way. The sequences of a block are then dealt into step groups, longest first,
 each into the group with the fewest tokens.
@@ -14,9 +15,12 @@ tasks, and a task holds one block of documents at a time, carrying less than a f
 windows over to the next. A task's output depends on its rows only, so a task that
 is run again gives the same sequences.
 
-Texts fall into words whose ids are independent, as the tokenizer itself splits
-before every space that precedes a word. The ids of words are kept in a bounded
-cache; texts with an added special token are given to the tokenizer whole.
+Ids are those of the tokenizers library. Where its merges are in the order of their
+ids and each token is what its own characters merge to, merging by rank gives the same
+ids (two neighbours that make up a token come about as in that token alone), so the
+faster encoder of tiktoken is used with the same vocabulary. This is tested once a
+worker; other vocabularies and texts with an added special token go to the library.
+Nothing is kept from one text to the next.
 
 Cases: null and empty texts have one id, the end; a text of any length is cut;
 repeated rows are packed row by row; an empty table gives an empty table; columns
@@ -26,12 +30,11 @@ beside the id and the text do not matter.
 from __future__ import annotations
 
 import heapq
+import json
 import os
-import re
 from array import array
 from bisect import bisect_left, bisect_right, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,93 +44,57 @@ from .common import hold, slices, table
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 STEP_TOKENS = 65_536
-CACHE_WORDS = 1_200_000
-BEFORE_WORD = re.compile(r" (?=\S)")
+# fixed value: how a byte-level tokenizer cuts texts
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-class WordIds:
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones
+    themselves, the others characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+class TextIds:
     """Token ids, as little-endian 32-bit bytes, of texts by a byte-level BPE."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"": b""}
-        self.line, *ends = self.encode(["\n", ",", "."])
-        self.line_id, self.ends = int.from_bytes(self.line, "little"), dict(zip(",.", ends, strict=True))
-        self.cache_words, self.loose = cache_words, set()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str], before: str) -> list[bytes]:
-        """The ids of words without line feeds, many at once: one to a line."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([before + w for w in words])], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(ids == self.line_id)
-        if len(cuts) != len(words) - 1:
-            return self.encode([before + w for w in words])
-        raw, starts, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(ids) * 4]
-        return [raw[x:y] for x, y in zip(starts, ends, strict=True)]
-
-    def _learn(self, cache: dict, words: set, before: str) -> None:
-        new = words.difference(cache)
-        self.loose.update(w for w in new if w and (w[0].isspace() or w[-1].isspace()))
-        # a comma or full stop behind a letter is a token of its own
-        ended = [w for w in new if w[-1] in ",." and w[-2:-1].isalpha()]
-        plain = new.difference(ended).union(w[:-1] for w in ended).difference(cache)
-        lined = [w for w in plain if "\n" in w]
-        cache.update(zip(lined, self.encode([before + w for w in lined]), strict=True))
-        plain = list(plain.difference(lined))
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            cache.update(zip(part, self._encode_words(part, before), strict=True))
-        for w in ended:
-            cache[w] = cache[w[:-1]] + self.ends[w[-1]]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text."""
-        for cache in (self.spaced, self.bare):
-            if len(cache) > self.cache_words:
-                cache.clear()
-                self.loose.clear()
-        self.bare[""] = b""
-        split, spaced, bare = [], set(), {""}
-        for text in texts:
-            text = text or ""
-            if any(s in text for s in self.special):
-                split.append(text)
-                continue
-            if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
-                lines = [BEFORE_WORD.split(text)]
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-            for n, words in enumerate(lines):
-                bare.add(words[0])
-                lines[n] = words[0], words
-                del words[0]
-                spaced.update(words)
-            split.append(lines)
-        self._learn(self.spaced, spaced, " ")
-        self._learn(self.bare, bare, "")
-        # the words of these texts in a small table, which stays in the processor's cache
-        out, first = [], self.bare
-        known = {w: self.spaced[w] for w in spaced}.__getitem__
-        for lines, text in zip(split, texts, strict=True):
-            if isinstance(lines, str) or self.loose and any(w[0] in self.loose or not self.loose.isdisjoint(w[1]) for w in lines):
-                # white space of other kinds beside a word: it may join what stands between words
-                out.append(self.encode([text])[0])
-            else:
-                out.append(self.line.join([first[word] + b"".join(map(known, words)) for word, words in lines]))
-        return out
-
-
-def word_ids(path: str) -> WordIds:
+        with open(path, encoding="utf-8") as f:
+            self.ranked = self._ranked(json.load(f))
+
+    def _ranked(self, form: dict):
+        """An encoder that merges by rank, if it gives the same ids."""
+        model, byte_level, of = form["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, _byte_of()
+        pre, vocab = form.get("pre_tokenizer") or {}, model.get("vocab", {})
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        known = {k: pre.get(k, True) for k in byte_level} == byte_level and form.get("normalizer") is None and model.get("type") == "BPE"
+        known = known and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not known or len(vocab) != 256 + len(merges) or any(vocab.get(x + y) != 256 + n for n, (x, y) in enumerate(merges)):
+            return None
+        if any(set(t) - set(of) for t in vocab) or any(len(self.tokenizer.model.tokenize(t)) != 1 for t in vocab):
+            return None
+        import tiktoken
+
+        ranks = {bytes(of[c] for c in token): n for token, n in vocab.items()}
+        return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.ranked is None or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.ranked(text)).tobytes()
+
+
+def text_ids(path: str) -> TextIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return hold("packing", path, lambda: WordIds(path))
+    return hold("packing", path, lambda: TextIds(path))
 
 
 def default_vocabulary() -> str:
@@ -137,50 +104,58 @@ def default_vocabulary() -> str:
 
 
 class Packer:
-    """Packs pieces (document number, start, length) into full windows."""
+    """Packs pieces (document number, start, length) into full windows, tier by tier."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS):
         self.tiers, self.longest = sorted(tiers), max(tiers)
-        self.rest: list[tuple[int, int, int]] = []  # (length, document, start), sorted
+        # of each tier the remainders (length, document, start), sorted
+        self.rest: list[list[tuple[int, int, int]]] = [[] for _ in self.tiers]
         self.tokens = 0
 
-    def tier(self, length: int) -> int:
-        return self.tiers[bisect_left(self.tiers, length)]
+    def _put(self, length: int, document: int, start: int) -> None:
+        insort(self.rest[bisect_left(self.tiers, length)], (length, document, start))
+        self.tokens += length
+
+    def _take(self, tier: int, at: int, length: int) -> tuple[int, int, int]:
+        size, document, start = self.rest[tier].pop(at)
+        self.tokens -= size
+        if size > length:
+            self._put(size - length, document, start + length)
+        return document, start, min(size, length)
 
     def add(self, document: int, length: int) -> list[list[tuple[int, int, int]]]:
         """Takes a document; returns the whole windows cut off it."""
         whole = length // self.longest * self.longest
         if length > whole:
-            insort(self.rest, (length - whole, document, whole))
-            self.tokens += length - whole
+            self._put(length - whole, document, whole)
         return [[(document, start, self.longest)] for start in range(0, whole, self.longest)]
 
-    def _take(self, at: int, length: int) -> tuple[int, int, int]:
-        size, document, start = self.rest.pop(at)
-        if size > length:
-            insort(self.rest, (size - length, document, start + length))
-            size = length
-        self.tokens -= size
-        return document, start, size
-
-    def window(self) -> list[tuple[int, int, int]]:
-        """The window of the longest remainder, its gap filled from shorter tiers."""
-        size = self.rest[-1][0]
-        target = self.tier(size)
+    def _filling(self, gap: int) -> tuple[int, int]:
+        """The tier and place of the largest remainder that fits, else of the smallest one."""
+        for tier in range(bisect_left(self.tiers, gap), -1, -1):
+            at = bisect_right(self.rest[tier], (gap, float("inf"), 0)) - 1
+            if at >= 0:
+                return tier, at
+        return next(tier for tier, own in enumerate(self.rest) if own), 0
+
+    def window(self, tier: int) -> list[tuple[int, int, int]]:
+        """A window of a tier, opened by its largest remainder, its gap filled from shorter
+        tiers."""
+        target = self.tiers[tier]
         if self.tokens < target:  # the end: no window of this size can be filled
             target = 1 << (self.tokens.bit_length() - 1)
-        out = [self._take(len(self.rest) - 1, target)]
+        out = [self._take(tier, len(self.rest[tier]) - 1, target)]
         gap = target - out[0][2]
         while gap:
-            at = bisect_right(self.rest, (gap, float("inf"), 0)) - 1
-            out.append(self._take(max(at, 0), gap))
+            out.append(self._take(*self._filling(gap), gap))
             gap -= out[-1][2]
         return out
 
     def windows(self, leave: int):
-        """Windows while more than `leave` tokens remain."""
-        while self.rest and self.tokens > leave:
-            yield self.window()
+        """Windows while more than `leave` tokens remain, the longest tier first."""
+        for tier in range(len(self.tiers) - 1, -1, -1):
+            while self.rest[tier] and self.tokens > leave:
+                yield self.window(tier)
 
 
 def step_groups(lengths: list[int], step_tokens: int) -> list[int]:
@@ -202,7 +177,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str
 
     def run(batches):
         own = TaskContext.get().partitionId() << 33
-        encoder, packer = word_ids(path), Packer(tiers)
+        encoder, packer = text_ids(path), Packer(tiers)
         documents: dict[int, tuple[object, bytes]] = {}
         state = {"sequences": 0, "groups": 0, "documents": 0}
 
@@ -223,16 +198,17 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         names_type, full, tokens = pa.int64(), [], 0
-        for batch in slices(batches, 512):
+        for batch in slices(batches):
             names_type = batch.column(0).type
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
-                number = state["documents"] = state["documents"] + 1
+            for name, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                number, ids = state["documents"] + 1, encoder.ids(text_)
+                state["documents"] = number
                 documents[number] = (name, ids + end)
                 tokens += len(ids) // 4 + 1
                 full += packer.add(number, len(ids) // 4 + 1)
             if tokens > BLOCK_TOKENS:
                 yield emit(full + list(packer.windows(packer.longest * 2)))
-                needed = {document for _, document, _ in packer.rest}
+                needed = {document for own_ in packer.rest for _, document, _ in own_}
                 documents = {n: d for n, d in documents.items() if n in needed}
                 full, tokens = [], 0
         full += packer.windows(0)
