@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,18 +86,51 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Written as Parquet to the shared folder and read again: cuts the lineage, survives lost
     executors and is compressed, unlike checkpoint(). The shuffle files of the query that
-    wrote it are of no more use and go at its end."""
+    wrote it are of no more use and go at its end, where the session allows it; a stored
+    table that this one replaces goes too."""
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = scratch(spark, name)
+    with shuffle_files_dropped(spark):
         df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if instead_of is not None:
+        discard(instead_of)
+    return out
+
+
+_CLEANING = threading.Lock()
+_CLEANING_NOW: dict[str, list] = {}
+
+
+@contextlib.contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """While any query of the session is within, the setting is on; the last one out puts
+    it back."""
+    own = str(spark.sparkContext.applicationId) + spark._jsparkSession.sessionUUID()
+    with _CLEANING:
+        inside = _CLEANING_NOW.setdefault(own, [0, spark.conf.get(CLEANUP, "false")])
+        inside[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _CLEANING:
+            inside[0] -= 1
+            if not inside[0]:
+                spark.conf.set(CLEANUP, _CLEANING_NOW.pop(own)[1])
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def through_csv(df: DataFrame, name: str) -> str:
