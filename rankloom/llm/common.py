@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import stored
+from ..sources.files import discard, stored
 
-__all__ = ["ascii_lower", "hold", "slices", "stored", "table"]
+__all__ = ["ascii_lower", "discard", "hold", "slices", "stored", "table"]
 
 SLICE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = stored(step, "labels")
+        step = stored(step, "labels", instead_of=labels)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = stored(step.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        after = stored(step.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels", instead_of=step)
         labels = after.select("node", "label")
+        labels.stored_at = after.stored_at
         if after.where("old <> label").isEmpty():
+            discard(both)
             return labels
