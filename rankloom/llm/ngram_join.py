@@ -37,7 +37,7 @@ empty table gives an empty table; other columns do not matter.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +74,8 @@ class Bands:
         return int((100 - self.percent) * 2 * int(self.tops[band]) // (100 + self.percent))
 
     def spare(self, band: int) -> int:
-        groups = self.differences(band) // 2 + 1
-        return ceil(0.012 * groups) if groups >= 10 else 0
+        weak = 0.027 * (self.differences(band) // 2 + 1)  # as many as the least set of a band has on average
+        return ceil(weak + sqrt(weak)) if weak > 0.2 else 0
 
     def groups(self, band: int) -> int:
         return self.differences(band) // 2 + 1 + self.spare(band)
