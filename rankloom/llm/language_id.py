@@ -3,15 +3,14 @@
 A document is the average of the embeddings of its hashed subwords (character
 n-grams of its words, with word borders), followed by a linear softmax. Embeddings
 and weights are trained together by stochastic gradient descent in numpy, on
-about SAMPLE_A_LANG labelled rows of each language, chosen by a hash of the id; of
-these rows the whole texts are counted on the executors, so that the driver gets at
-most BUCKETS numbers a row. A part of the sample is kept out of the training to fit
-a temperature and what is rejected: for each band of text lengths a largest share of
-subwords that no learned text has. The rows kept out, and a part of each for every shorter
-band, tell it: all but REJECT_CORRECT of the rightly labelled ones keep to a share, and the
-limit is as far beyond it as it is from the median, so that texts of a known language stay.
-A score is rejected if it is below what REJECT_CORRECT of the rightly labelled rows
-have, but never one that asks for much more than a guess.
+about SAMPLE_A_LANG labelled rows of each language, SAMPLE_ROWS in all, chosen by a hash of
+the id; every language is learned. Of these rows the whole texts are counted on the
+executors, so that the driver gets at most BUCKETS numbers a row. A part of the sample is
+kept out of the training to fit a temperature and what is rejected: the rows kept out, and
+a part of each for every shorter band of lengths, are scored, and the least score is the one
+that all but REJECT_CORRECT of the rightly labelled ones reach. For each band there is also
+a largest share of subwords that no learned text has, as far beyond what all but
+REJECT_CORRECT keep to as that is from the median, so that texts of a known language stay.
 
 As the model is linear, embedding and weights of a subword are multiplied once, and
 the sums of a word are kept in a bounded cache on each worker.
@@ -19,7 +18,7 @@ the sums of a word are kept in a bounded cache on each worker.
 Cases: null texts and texts without a letter are `und` with score 0 and are
 rejected; rows without a label are not learned from; without any label everything
 is `und`; with one language every text gets it; repeated rows are predicted row by row;
-an empty table gives an empty table; other columns pass through, and those named
+of equal scores the language first in the alphabet is taken; an empty table gives an empty table; other columns pass through, and those named
 lang_pred, score or rejected are replaced.
 """
 
@@ -40,13 +39,12 @@ from .common import hold, slices, table
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
 SAMPLE_A_LANG = 600
-MOST_LANGS = 400
+SAMPLE_ROWS = 48_000
 DIMENSION = 16
 STEPS = 1200
 RATE = 4.0
 BATCH = 32
 REJECT_CORRECT = 0.001
-MOST_THRESHOLD = 1.2  # times the score of a guess
 BAND_WORDS = (1, 2, 4, 8, 16, 32, 64)  # the least words of each band
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -91,21 +89,23 @@ def _counts(batches):
             rows.append(counts)
         found = [np.flatnonzero(c) for c in rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), pa.array([f.tolist() for f in found], pa.list_(pa.int32())), pa.array([(c[f] / max(1, c.sum())).tolist() for c, f in zip(rows, found, strict=True)], pa.list_(pa.float32())), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.binary()))],
+            [batch.column("lang"), pa.array([f.astype(np.uint16).tobytes() for f in found]), pa.array([(c[f] / max(1, c.sum())).astype(np.float32).tobytes() for c, f in zip(rows, found, strict=True)]), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.binary()))],
             names=["lang", "feature", "share", "words", "parts"],
         )
 
 
-def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list:
-    """About SAMPLE_A_LANG rows of each language, by a hash of the id, as subword shares in
-    a fixed order."""
+def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[dict]:
+    """About SAMPLE_A_LANG rows of each language, and SAMPLE_ROWS of all, by a hash of the id,
+    as subword shares in a fixed order."""
     labelled = df.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang")).distinct()
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    share = min(SAMPLE_A_LANG, SAMPLE_ROWS / max(1, sizes.count()))
     draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    ids = labelled.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < SAMPLE_A_LANG).select("key", "lang")
-    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(ids), ["key", "lang"])  # about SAMPLE_A_LANG ids for each of MOST_LANGS at most
-    out = own.select("key", "lang", "text").mapInArrow(lambda batches: _counts(batches), "lang string, feature array<int>, share array<float>, words int, parts array<binary>")
-    return sorted((r for r in out.collect() if r["feature"]), key=lambda r: (zlib.crc32(np.asarray(r["feature"], np.int32).tobytes()), r["lang"]))
+    ids = labelled.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < share).select("key", "lang")  # one row a language
+    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(ids), ["key", "lang"])  # about SAMPLE_ROWS ids at most
+    out = own.select("key", "lang", "text").mapInArrow(lambda batches: _counts(batches), "lang string, feature binary, share binary, words int, parts array<binary>")
+    rows = [{"lang": r["lang"], "feature": np.frombuffer(r["feature"], np.uint16), "share": np.frombuffer(r["share"], np.float32), "words": r["words"], "parts": r["parts"]} for r in out.toLocalIterator() if r["feature"]]
+    return sorted(rows, key=lambda r: (zlib.crc32(r["feature"].tobytes()), zlib.crc32(r["share"].tobytes()), r["lang"]))
 
 
 @dataclass
@@ -114,13 +114,13 @@ class Model:
     logits: np.ndarray  # of each subword, BUCKETS x langs
     bias: np.ndarray
     temperature: float
-    threshold: float
+    least: float  # score
     seen: np.ndarray  # whether a learned text has the subword
     most: np.ndarray  # share of subwords that are not seen, by band
 
     def rejects(self, words: int, score: float, unseen: float) -> bool:
         band = _band(words)
-        return bool(words == 0 or score < self.threshold or unseen > self.most[band])
+        return bool(words == 0 or score < self.least or unseen > self.most[band])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -167,23 +167,22 @@ def train(rows: list, seed: int = 5) -> Model | None:
     seen = np.zeros(BUCKETS, bool)
     for r in fit:
         seen[r["feature"]] = True
-    tests = [(_band(r["words"]), z[n], y[n], float(np.asarray(r["share"])[~seen[r["feature"]]].sum())) for n, r in enumerate(held)]
+    tests = [(_band(r["words"]), z[n], y[n], float(r["share"][~seen[r["feature"]]].sum())) for n, r in enumerate(held)]
     for n, r in enumerate(held):
         for band, part in enumerate(r["parts"]):
             found = np.frombuffer(part, np.uint16)
             tests.append((band, logits[found].mean(axis=0) + bias, y[n], float((~seen[found]).mean())))
+    right = [t[1] for t in tests if t[1].argmax() == t[2]]
+    least = float(np.quantile(_softmax(np.array(right) / temperature).max(axis=1), REJECT_CORRECT)) if right else 0.0
     most = np.ones(len(BAND_WORDS))
     for band in range(len(BAND_WORDS)):
         own = [t for t in tests if t[0] == band and t[1].argmax() == t[2]]
         if own:
             unseen = np.array([t[3] for t in own])
             most[band] = 2 * np.quantile(unseen, 1 - REJECT_CORRECT) - np.median(unseen)
-    p = _softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
-    threshold = min(MOST_THRESHOLD / len(langs), float(np.quantile(right, REJECT_CORRECT))) if len(right) else 0.0
     for r in held:
         seen[r["feature"]] = True
-    return Model(langs, logits, bias, temperature, threshold, seen, most)
+    return Model(langs, logits, bias, temperature, least, seen, most)
 
 
 class Predictor:
@@ -228,7 +227,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     if model is None:
         return kept.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     name = f"{zlib.crc32(model.logits.tobytes()):x}-{len(model.langs)}"
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MOST_LANGS numbers
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def run(batches):
         predictor = hold("language_id", name, lambda: Predictor(shared.value))
