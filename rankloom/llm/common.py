@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import discard, stored
 
-__all__ = ["ascii_lower", "discard", "hold", "slices", "stored", "table"]
+__all__ = ["ascii_lower", "bitmaps", "discard", "hold", "probed", "slices", "stored", "table"]
 
 SLICE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,6 +25,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+BITMAP_BITS = 32_768  # of bitmap_construct_agg
+
+
+def bitmaps(cells: DataFrame) -> DataFrame:
+    """(bucket, bitmap): the column `cell` of numbers from 0 as packed bits, 4 KB a bucket."""
+    return cells.groupBy(F.floor(F.col("cell") / BITMAP_BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell") % BITMAP_BITS).alias("bitmap"))
+
+
+def bit(bitmap: Column, cell: Column) -> Column:
+    """Whether a cell is set in the bitmap of its bucket; false without a bitmap."""
+    byte = F.ascii(F.decode(F.substring(bitmap, (F.shiftright(cell.bitwiseAND(F.lit(BITMAP_BITS - 1)), 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    mask = F.element_at(F.array(*(F.lit(1 << n) for n in range(8))), (cell.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    return F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+
+
+def probed(df: DataFrame, filter_: DataFrame, cell: Column, hit: str, broadcast: bool) -> DataFrame:
+    """Adds the column `hit`: whether a cell is set in (bucket, bitmap). Only the bit leaves
+    the join."""
+    own = filter_.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    df = df.withColumn("__cell", cell).withColumn("__bucket", F.floor(F.col("__cell") / BITMAP_BITS).cast("long"))
+    df = df.join(F.broadcast(own) if broadcast else own, "__bucket", "left")
+    return df.withColumn(hit, bit(F.col("__bitmap"), F.col("__cell"))).drop("__bucket", "__bitmap", "__cell")
+
+
 _KEPT: dict[str, tuple] = {}
 
 

@@ -1,7 +1,8 @@
 """Operator 3: exact deduplication by two-pass Bloom filtering (native).
 
 Pass one hashes every text into two cells of a Bloom filter and keeps, as packed
-bitmaps, the cells that at least two rows set. Pass two probes the filter with
+bitmaps, the cells that at least two rows set; for this two numbers a row are counted,
+summed in each task before they shuffle. Pass two probes the filter with
 each row's fingerprint: a row with a cell that nobody else set is certainly
 unique and passes straight through. Only the rest, the true repeats and a few
 false hits, shuffle and are grouped by SHA-256.
@@ -9,9 +10,11 @@ false hits, shuffle and are grouped by SHA-256.
 The text itself is read once; what is written, probed and shuffled are rows of
 an id and a fingerprint. The filter has eight bits a row, so its size is known
 before it is built: up to BROADCAST_BYTES it is broadcast, beyond that its bitmaps
-are joined by their number. Copies of one text may be a third of all rows: they
-are counted by partial aggregation, and groups of over a thousandth of the rows,
-a thousand at most, are told to their rows by a broadcast.
+are joined by their number, and of each only one bit goes on. Copies of one text may be
+a third of all rows: they are counted by partial aggregation, and groups of over a
+thousandth of the rows, a thousand at most, are told to their rows by a broadcast.
+`deduplicate` then drops the rows of repeated texts that don't stay; whole rows shuffle
+only where there are too many repeated texts to be broadcast.
 
 Cases: a null text equals an empty one; rows that repeat an id and its text count
 in group_size, and one of them is kept; an empty table gives an empty table;
@@ -25,11 +28,11 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, bitmaps, probed, stored, table
 
 BITS_A_ROW = 8
 BROADCAST_BYTES = 64 << 20
-BITMAP_BITS = 32_768  # of bitmap_construct_agg
+BROADCAST_ROWS = 500_000
 HEAVY = 1000
 
 
@@ -37,28 +40,18 @@ def _cells(fingerprint: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(fingerprint, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
 
 
-def _bit(bitmap: Column, cell: Column) -> Column:
-    """The bit of a cell in its bitmap of 4 KB."""
-    byte = F.ascii(F.decode(F.substring(bitmap, F.floor(cell % BITMAP_BITS / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
-    return F.floor(byte / F.pow(F.lit(2.0), cell % 8)) % 2 == 1
-
-
 def repeated_cells(fingerprints: DataFrame, bits: int) -> DataFrame:
     """Pass one: the bitmaps (bucket, bitmap) of the cells that two rows or more set."""
     cells = fingerprints.select(F.explode(F.array_distinct(F.array(*_cells(F.col("fingerprint"), bits)))).alias("cell"))
-    twice = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.floor(F.col("cell") / BITMAP_BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell") % BITMAP_BITS).alias("bitmap"))
+    return bitmaps(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
 
 
 def maybe_repeated(df: DataFrame, filter_: DataFrame, bits: int, fingerprint: str = "fingerprint", maybe: str = "maybe") -> DataFrame:
     """Pass two: adds `maybe`, false only for rows whose fingerprint is certainly unique."""
-    if bits / 8 <= BROADCAST_BYTES:
-        filter_ = F.broadcast(filter_)
+    small = bits / 8 <= BROADCAST_BYTES
     for n, cell in enumerate(_cells(F.col(fingerprint), bits)):
-        own = filter_.select(F.col("bucket").alias(f"__bucket{n}"), F.col("bitmap").alias(f"__bitmap{n}"))
-        df = df.withColumn(f"__cell{n}", cell).withColumn(f"__bucket{n}", F.floor(F.col(f"__cell{n}") / BITMAP_BITS).cast("long")).join(own, f"__bucket{n}", "left")
-    hits = [F.coalesce(_bit(F.col(f"__bitmap{n}"), F.col(f"__cell{n}")), F.lit(False)) for n in (0, 1)]
-    return df.withColumn(maybe, hits[0] & hits[1]).drop(*(f"__{name}{n}" for name in ("bucket", "bitmap", "cell") for n in (0, 1)))
+        df = probed(df, filter_, cell, f"__hit{n}", small)
+    return df.withColumn(maybe, F.col("__hit0") & F.col("__hit1")).drop("__hit0", "__hit1")
 
 
 def _fingerprint(text: str) -> Column:
@@ -96,13 +89,22 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns. Only rows that may be repeats
-    shuffle. Of rows that repeat a key and its text, one stays."""
+    """The rows of df that stay, with all their columns. Of rows that repeat a key and its
+    text, one stays."""
     rows, filter_, bits, count = _passes(df, key, text)
-    probed = maybe_repeated(df.withColumn("__own", _fingerprint(text)), filter_, bits, "__own", "__maybe")
-    stays = _told(maybe_repeated(rows, filter_, bits).where("maybe").drop("maybe"), count).where("kept").select(F.col("key").alias("__key"), F.col("fingerprint").alias("__fingerprint"))
-    again = probed.where("__maybe").join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__fingerprint")), "left_semi")
-    return probed.where("not __maybe").unionByName(again.dropDuplicates([key, "__own"])).drop("__maybe", "__own")
+    told = _told(maybe_repeated(rows, filter_, bits).where("maybe").drop("maybe"), count)
+    repeated = told.where("kept AND group_size > 1").select(F.col("fingerprint").alias("__fingerprint"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
+    repeated = stored(repeated, "repeated")
+    n = repeated.count()
+    # the groups of many copies are few, so their rows never meet in one task
+    heavy = repeated.where(F.col("__size") >= max(2, -(-count // HEAVY)) if n > BROADCAST_ROWS else F.lit(True)).drop("__size")
+    own = df.withColumn("__own", _fingerprint(text)).join(F.broadcast(heavy), F.col("__own") == F.col("__fingerprint"), "left")
+    if n > BROADCAST_ROWS:
+        light = repeated.join(heavy.select("__fingerprint"), "__fingerprint", "left_anti").select(F.col("__fingerprint").alias("__other"), F.col("__keep").alias("__kept"))
+        own = own.join(light, (F.col("__own") == F.col("__other")) & F.col("__fingerprint").isNull(), "left")
+        own = own.withColumn("__keep", F.coalesce("__keep", "__kept")).withColumn("__fingerprint", F.coalesce("__fingerprint", "__other")).drop("__other", "__kept")
+    stays = own.where(F.col("__fingerprint").isNotNull() & F.col(key).eqNullSafe(F.col("__keep"))).dropDuplicates([key, "__own"])
+    return own.where("__fingerprint IS NULL").unionByName(stays).drop("__own", "__fingerprint", "__keep")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
