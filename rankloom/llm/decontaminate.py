@@ -10,28 +10,32 @@ fixes where the window would begin; candidates that would begin before the first
 end after the last word of the document are dropped (the length and positional
 bounds), and the words in place are compared with the window word by word.
 
-The corpus is read twice, each time as a stream of word positions that is filtered
-against a broadcast set before anything shuffles: once to count how often the
-benchmark's shingles occur, once to join. The benchmark side is broadcast only
-behind a check of its size; beyond it the same joins shuffle.
+The corpus is read twice as a stream of word positions: once to count how
+often the benchmark's shingles occur, once to join. Both times it first meets a bitmap of
+FILTER_BITS cells into which the benchmark's shingles fall;
+what passes is a small part, and goes on as a hash, or as a hash, a place and
+the few words around it. No document's words leave their task.
 
 Cases: null and empty texts have no words and are not hit; an item without words
-matches nothing; items with equal windows are all reported; a repeated doc_id
-merges into one row (its hits are united, its words those of the longest row); an
-empty benchmark hits nothing.
+matches nothing; items with equal windows are all reported; rows with one key and
+different texts are told apart, rows that repeat both get a result each; an
+empty benchmark hits nothing; other columns do not matter and pass through `decontaminate`.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, bitmaps, probed, stored, table
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
-BROADCAST_ROWS = 500_000
+FILTER_BITS = 1 << 27  # 16 MB
+BROADCAST_ROWS = 1_000_000  # of the rows that `decontaminate` drops
 
 
 def words(text: Column) -> Column:
@@ -52,41 +56,67 @@ def _shingle(words_: str, at: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(words_, at + n) for n in range(size)))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _passing(stream: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Adds `hit`: whether the shingle of a position may be one of these."""
+    bits = min(FILTER_BITS, 2 ** max(15, ceil(log2(64 * max(1, shingles.count())))))
+    cell = F.pmod(F.col("shingle"), F.lit(bits))
+    filter_ = stored(bitmaps(shingles.select(cell.alias("cell")).distinct()), "filter")
+    return probed(stream, filter_, cell, "hit", True)  # FILTER_BITS at most
 
 
-def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: key, n_words, hit_words (positions of hit words), items."""
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, print, text): print tells rows of one key apart by their text."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("key"), F.xxhash64(own, F.lit(5)).alias("print"), own.alias("text"))
+
+
+def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """One row per (key, print): n_rows of the table, n_words, hit_words, items."""
     windows = stored(item_windows(items, item_key, item_text), "windows")
-    n_windows, shortest = windows.agg(F.count("*"), F.coalesce(F.min(F.size("window")), F.lit(1))).first()
+    shortest = windows.agg(F.coalesce(F.min(F.size("window")), F.lit(1))).first()[0]
     size = min(SHINGLE, shortest)
 
     own = windows.select("window", "items", F.posexplode(F.sequence(F.lit(0), F.size("window") - size)).alias("offset", "__at"))
-    own = own.select("window", "items", "offset", _shingle("window", F.col("offset"), size).alias("shingle"))
-    stream = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    stream = stream.select("key", "words", F.posexplode_outer("words").alias("at", "__word"))
-    stream = stream.select("key", "words", "at", F.when(F.col("at") <= F.size("words") - size, _shingle("words", F.col("at"), size)).alias("shingle"))
-
-    known = _small(own.select("shingle").distinct(), n_windows * WINDOW)
-    often = stream.join(known, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("n"))
-    ranked = own.join(often, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    prefix = stored(ranked.groupBy("window", "items").agg(F.min(F.struct("n", "shingle", "offset")).alias("least")).where("least.n > 0").select("window", "items", F.col("least.shingle").alias("shingle"), F.col("least.offset").alias("offset")), "prefixes")
-
-    found = stream.join(_small(prefix, n_windows), "shingle", "left").where(F.col("window").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
-    start, length = F.col("at") - F.col("offset"), F.size("window")
-    holds = F.col("window").isNotNull() & (start >= 0) & (start + length <= F.size("words"))
-    match = F.when(holds, F.slice("words", F.when(holds, start + 1).otherwise(1), F.when(holds, length).otherwise(1)) == F.col("window")).otherwise(False)
-    found = found.select("key", F.size("words").cast("long").alias("n_words"), F.when(match, F.struct(start.alias("start"), length.alias("length"))).alias("span"), F.when(match, F.col("items")).alias("items"))
-    grouped = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    own = stored(own.select("window", "items", "offset", _shingle("window", F.col("offset"), size).alias("shingle")), "shingles")
+    stream = _rows(docs, key, text).select("key", "print", words(F.col("text")).alias("words"))
+    stream = stream.select("key", "print", "words", F.posexplode_outer("words").alias("at", "__word"))
+    stream = stream.select("key", "print", "words", "at", F.when(F.col("at") <= F.size("words") - size, _shingle("words", F.col("at"), size)).alias("shingle"))
+
+    counted = _passing(stream.select("shingle").where("shingle IS NOT NULL"), own).where("hit").groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = own.join(counted, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    least = F.min(F.struct("n", "shingle", "offset")).alias("least")
+    prefix = stored(ranked.groupBy("window", "items").agg(least).where("least.n > 0").select("window", "items", F.col("least.shingle").alias("shingle"), F.col("least.offset").alias("offset")), "prefixes")
+
+    # the words around a shingle hold any window that it is the prefix of
+    start = F.greatest(F.col("at") - (WINDOW - size), F.lit(0))
+    around = F.slice("words", start + 1, F.lit(2 * WINDOW - size))
+    near = _passing(stream, prefix)
+    found = near.where("hit").select("key", "print", "shingle", "at", start.alias("start"), around.alias("around")).join(prefix, "shingle")
+    begin, length = F.col("at") - F.col("offset") - F.col("start"), F.size("window")
+    holds = (begin >= 0) & (begin + length <= F.size("around"))
+    match = F.when(holds, F.slice("around", F.when(holds, begin + 1).otherwise(1), F.when(holds, length).otherwise(1)) == F.col("window")).otherwise(False)
+    spans = found.where(match).groupBy("key", "print").agg(F.collect_set(F.struct((F.col("start") + begin).alias("start"), length.alias("length"))).alias("spans"), F.collect_set("items").alias("items"))
+    sizes = _rows(docs, key, text).select("key", "print", F.size(words(F.col("text"))).cast("long").alias("n_words")).groupBy("key", "print").agg(F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"))
+    # pairs of keys that may be null
+    both = sizes.join(spans.withColumnsRenamed({"key": "__key", "print": "__print"}), (F.col("print") == F.col("__print")) & F.col("key").eqNullSafe(F.col("__key")), "left")
     at = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    return grouped.select(F.col("key").alias(key), "n_words", F.array_distinct(at).alias("hit_words"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    none = F.array().cast("array<int>")
+    return both.select("key", "print", "n_rows", "n_words", F.coalesce(F.array_distinct(at), none).alias("hit_words"), F.coalesce(F.sort_array(F.array_distinct(F.flatten("items"))), F.array().cast("array<string>")).alias("items"))
+
+
+def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: key, n_words, hit_words (positions of hit words), items."""
+    found = _hits(docs, items, key, text, item_key, item_text)
+    again = found.where("n_rows > 1").select("*", F.explode(F.sequence(F.lit(2), F.col("n_rows"))).alias("__n")).drop("__n")
+    return found.unionByName(again).select(F.col("key").alias(key), "n_words", "hit_words", "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    hit = hits(docs, items, key).where(F.size("hit_words") > 0).select(F.col(key).alias("__key"))
-    return docs.join(hit, docs[key].eqNullSafe(hit["__key"]), "left_anti")
+    hit = stored(_hits(docs, items, key, text, "item_id", "text").where(F.size("hit_words") > 0).select(F.col("key").alias("__key"), F.col("print").alias("__print")), "hit")
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(5)))
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
+    return own.join(hit, (F.col("__own") == F.col("__print")) & own[key].eqNullSafe(hit["__key"]), "left_anti").drop("__own")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
