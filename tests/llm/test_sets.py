@@ -208,4 +208,5 @@ def test_equal_passages_around_a_frequent_line(spark):
 def test_passage_verification_is_symmetric():
     words = word_hashes(" ".join(f"w{n}" for n in range(100)))
     a, b = shingle_hashes(words, 5), shingle_hashes(words[20:90], 5)
-    assert (20, 85, 0, 65, 1.0) in S.passages(a, b, 46, 80) and (0, 65, 20, 85, 1.0) in S.passages(b, a, 46, 80)
+    left, right = S.passages(a, b, 46, 80)
+    assert left[0] == (20, 85, 1.0) and right[0] == (0, 65, 1.0) and S.passages(b, a, 46, 80) == (right, left)
