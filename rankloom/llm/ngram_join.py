@@ -41,7 +41,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -138,14 +138,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(key, n, fp, sketch, sigs) of each document; fp is null for an empty set."""
+    """(key, print, n, fp, sketch, sigs) of each document; print is a hash of its text and fp, that
+    of its set, is null for an empty one."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         bands = Bands(percent)
         for batch in slices(batches):
             counts, prints, sketches, signed = [], [], [], []
-            for value in batch.column(1).to_pylist():
+            for value in batch.column(2).to_pylist():
                 features = shingle_set(value, size)
                 counts.append(len(features))
                 prints.append(_print(features))
@@ -155,9 +156,13 @@ def sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataF
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signed)))
             words = SKETCH // 64
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * words), pa.array(np.concatenate(sketches)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), flat, lists], names=["key", "n", "fp", "sketch", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), flat, lists], names=["key", "print", "n", "fp", "sketch", "sigs"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, fp long, sketch array<long>, sigs array<long>")
+    return docs.select(F.col(key).alias("key"), _text_print(text).alias("print"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, print long, n long, fp long, sketch array<long>, sigs array<long>")
+
+
+def _text_print(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(5))
 
 
 def _print(features: np.ndarray) -> int | None:
@@ -224,12 +229,11 @@ def _shared(own: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: key, n_shingles and component_id, the smallest key that links
-    reach. Links are exact: 100 * intersection >= percent * union."""
+def _linked(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(key, print, n, label) of each row; rows of one label are linked, those without are not."""
     whole = stored(sets(docs, key, text, size, percent), "sets")
     members = stored(_shared(whole.where("fp IS NOT NULL").select("fp", "sigs")), "members")
-    own = stored(whole.select("key", "n", "fp"), "sizes")
+    own = stored(whole.select("key", "print", "n", "fp"), "sizes")
     nodes = stored(whole.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     discard(whole)
 
@@ -285,13 +289,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         labels = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = stored(labels.unionByName(joined.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels, "node", "left_anti")), "labels")
 
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(lowest, "label").select("fp", "component_id"), "named")
-    out = own.join(named, "fp", "left")
+    named = stored(nodes.select("fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "named")
+    return stored(own.join(named, "fp", "left").drop("fp"), "linked", instead_of=own)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: key, n_shingles and component_id, the smallest key that links
+    reach. Links are exact: 100 * intersection >= percent * union."""
+    rows = _linked(docs, key, text, size, percent)
+    lowest = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("rows"), F.min("key").alias("component_id")).where("rows > 1").drop("rows")
+    out = rows.join(lowest, "label", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near copies, with all their columns: of each group the row of
+    the smallest key stays. Rows of one key are told apart by their text."""
+    rows = _linked(docs, key, text, size, percent).where("label IS NOT NULL")
+    first = rows.groupBy("label").agg(F.count("*").alias("rows"), F.min(F.struct("key", "print")).alias("first")).where("rows > 1").drop("rows")
+    gone = rows.join(first, "label").where(~F.struct("key", "print").eqNullSafe(F.col("first"))).select(F.col("key").alias("__key"), F.col("print").alias("__print"))
+    gone = stored(gone.distinct(), "gone")
+    own = docs.withColumn("__own", _text_print(text))
+    gone = _small(gone, gone.count())
+    return own.join(gone, (F.col("__own") == F.col("__print")) & own[key].eqNullSafe(gone["__key"]), "left_anti").drop("__own")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
