@@ -4,13 +4,12 @@ passages, packed sequences. Every stage works on all rows that the one before ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankloom.llm.common import stored, table
 from rankloom.llm.decontaminate import decontaminate
 from rankloom.llm.exact_dedup import deduplicate
 from rankloom.llm.language_id import fitted, identify
-from rankloom.llm.ngram_join import near_duplicates
+from rankloom.llm.ngram_join import first_of_groups
 from rankloom.llm.packing import pack
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,13 +27,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one of the smallest id."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Keeps one document of each group of near copies, the one of the smallest id. Rows of
+    one id are told apart by the size of their set and their text: each stays if its own
+    text is the one that stands for its group, or is linked with none."""
+    return first_of_groups(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops rows that hold a window of a benchmark item; other rows of the same id stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
