@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import stored
+
 KNUTH = 2654435761  # fixed value: the multiplier of the tie hash
 
 
@@ -37,17 +39,33 @@ def percentile_rank(value: Column, by: list[str]) -> Column:
     return F.when(n == 1, F.lit(1.0)).otherwise((average_rank(value, by) - 1) / F.nullif(n - 1, F.lit(0)))
 
 
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in ranges of an order, with the number of their range as __part. They are
+    stored: range borders come from a sample, and a second run may cut elsewhere."""
+    return stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
 def numbered(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
     """All rows numbered from 0 in an order. Ranges of the order are numbered on their own
     and shifted by the sizes of those before, so that no task sees all rows; only
     the sizes, one a range, meet in one."""
-    own = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    own = _ranged(df, order)
     sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
     shift = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__shift"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return own.join(F.broadcast(shift), "__part").withColumn(out, (within + F.col("__shift")).cast("long")).drop("__part", "__shift")
 
 
+def exact_percentile(df: DataFrame, column: str, p: float, out: str = "threshold") -> DataFrame:
+    """One row: the interpolated percentile of a column, from the one or two rows at its
+    place in the order; null without a row."""
+    own = stored(numbered(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), [F.col("v").asc()], "i"), "ordered")
+    at = (own.agg(F.count("*").alias("n")).first()["n"] - 1) * p
+    beside = own.where(F.col("i").between(int(at), int(at) + (at > int(at))))
+    low, high = F.min_by("v", "i"), F.max_by("v", "i")
+    return beside.agg((low + (high - low) * (at - int(at))).alias(out))
+
+
 def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
     """Ids numbered 0 to n - 1 in their order."""
     return numbered(df.select(key).distinct(), [F.col(key).asc()], out)
@@ -56,7 +74,7 @@ def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
 def global_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the rank of a column over all rows, from 1; ties share the mean of their ranks."""
     counts = df.groupBy(column).agg(F.count("*").alias("__ties"), F.min(F.lit(0)).alias("__zero"))
-    ranged = counts.repartitionByRange(F.col(column).asc()).withColumn("__part", F.spark_partition_id())
+    ranged = _ranged(counts, [F.col(column).asc()])
     sizes = ranged.groupBy("__part").agg(F.sum("__ties").alias("__n"))
     shift = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__shift"))
     upto = F.sum("__ties").over(Window.partitionBy("__part").orderBy(column))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
 from ..functions.text import tokens
-from ..functions.vectors import normalized
+from ..functions.vectors import dot, every_pair, normalized
 from .stats import POSITIVE
 
+DENSE_SHARE = 0.25  # features of more items than this are dense
+MOST_DENSE = 256
 PROFILES = ("pos_mean", "rating_weighted", "centered", "pos_rating_weighted")
 
 
@@ -60,8 +62,9 @@ def blocks(*weighted: tuple[DataFrame, float, str]) -> DataFrame:
     return normalized(out, "item_id")
 
 
-def profiles(ratings: DataFrame, vectors: DataFrame, variant: str = "pos_mean", threshold: float = POSITIVE) -> DataFrame:
-    """(user_id, feature, value): weighted sums of item vectors, normalised."""
+def profiles(ratings: DataFrame, vectors: DataFrame, variant: str = "pos_mean", threshold: float = POSITIVE, by: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, feature, value): weighted sums of item vectors, normalised, for each value of
+    the columns `by` of the vectors."""
     if variant not in PROFILES:
         raise ValueError(f"variant is one of {', '.join(PROFILES)}")
     rows = ratings.where(F.col("rating") >= threshold) if variant.startswith("pos") else ratings
@@ -70,24 +73,60 @@ def profiles(ratings: DataFrame, vectors: DataFrame, variant: str = "pos_mean",
         means = rows.groupBy("user_id").agg(F.avg("rating").alias("__mean"))
         rows, weight = rows.join(means, "user_id"), F.col("rating") - F.col("__mean")
     weighted = rows.select("user_id", "item_id", weight.alias("w")).join(vectors, "item_id")
-    return normalized(weighted.groupBy("user_id", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value")), "user_id")
-
-
-def scores(users: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(user_id, item_id, score): dot products where a user and an item share a feature."""
-    both = users.join(vectors.withColumnRenamed("value", "x"), "feature")
-    return both.groupBy("user_id", "item_id").agg(F.sum(F.col("value") * F.col("x")).alias("score"))
-
-
-def explained(users: DataFrame, vectors: DataFrame, n: int = 3) -> DataFrame:
-    """The n features that add most to each score, with their share of it in percent."""
-    both = users.join(vectors.withColumnRenamed("value", "x"), "feature").select("user_id", "item_id", "feature", (F.col("value") * F.col("x")).alias("contribution"))
+    return normalized(weighted.groupBy(*by, "user_id", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value")), [*by, "user_id"])
+
+
+def scores(users: DataFrame, vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, item_id, score): dot products where a user and an item share a feature, for
+    each value of the columns `by`, which both have. A feature that a large share of the items
+    have, such as a year, would send a whole catalogue to one task: such features stand side
+    by side in one array, and arrays meet block by block; the rest is joined by feature."""
+    keys = [*by, "user_id", "item_id"]
+    n = vectors.select(*by, "item_id").distinct().count()
+    often = vectors.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > max(1, n * DENSE_SHARE)).orderBy(F.desc("n"), "feature").limit(MOST_DENSE)
+    dense = sorted(r["feature"] for r in often.select("feature").collect())  # at most MOST_DENSE names
+    rare = ~F.col("feature").isin(dense) if dense else F.lit(True)
+    both = users.where(rare).join(vectors.where(rare).withColumnRenamed("value", "x"), [*by, "feature"]).groupBy(*keys).agg(F.sum(F.col("value") * F.col("x")).alias("score"))
+    if not dense:
+        return both
+    at = lambda name: F.coalesce(F.max(F.when(F.col("feature") == name, F.col("value"))), F.lit(0.0))
+    wide = lambda df, key: df.where(~rare).groupBy(*by, key).agg(F.array(*map(at, dense)).alias(f"{key}_dense"))
+    products = F.zip_with("user_id_dense", "item_id_dense", lambda a, b: a * b)
+    met = every_pair(wide(users, "user_id"), wide(vectors, "item_id"), "user_id", "item_id", by).select(*keys, products.alias("products"))
+    met = met.where(F.exists("products", lambda x: x != 0)).select(*keys, F.aggregate("products", F.lit(0.0), lambda s, x: s + x).alias("score"))
+    return met.unionByName(both).groupBy(*keys).agg(F.sum("score").alias("score"))
+
+
+def all_pairs(profiles_: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, item_id, score): the dot product of each dense profile with each dense
+    vector, (user_id, profile) and (item_id, embedding)."""
+    return every_pair(profiles_, vectors, "user_id", "item_id").select("user_id", "item_id", dot(F.col("profile"), F.col("embedding")).alias("score"))
+
+
+def explained(users: DataFrame, vectors: DataFrame, n: int = 3, shown: DataFrame | None = None) -> DataFrame:
+    """The n features that add most to each score, with their share of it in percent; of
+    the (user_id, item_id) that are shown only, if given."""
+    if shown is None:
+        both = users.join(vectors.withColumnRenamed("value", "x"), "feature")
+    else:
+        both = shown.select("user_id", "item_id").join(vectors.withColumnRenamed("value", "x"), "item_id").join(users, ["user_id", "feature"])
+    both = both.select("user_id", "item_id", "feature", (F.col("value") * F.col("x")).alias("contribution"))
     total = both.groupBy("user_id", "item_id").agg(F.sum("contribution").alias("total"))
     rows = both.where("contribution > 1e-7").join(total, ["user_id", "item_id"])
     rows = top_k(rows, ["user_id", "item_id"], [F.desc(F.round("contribution", 9)), F.col("feature").asc()], n)
     return rows.select("user_id", "item_id", "rank", "feature", "contribution", (F.try_divide("contribution", "total") * 100).alias("percent"))
 
 
+def nearest_pick(shown: DataFrame, picks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, item_id, pick, similarity): the pick whose vector is closest to an item that
+    is shown, ties by the smaller pick."""
+    chosen = picks.select("user_id", F.col("item_id").alias("pick"))
+    pairs = shown.select("user_id", "item_id").join(chosen, "user_id").join(vectors, "item_id").join(vectors.toDF("pick", "feature", "x"), ["pick", "feature"])
+    cosines = pairs.groupBy("user_id", "item_id", "pick").agg(F.sum(F.col("value") * F.col("x")).alias("s"))
+    best = cosines.groupBy("user_id", "item_id").agg(F.max(F.struct(F.round("s", 9).alias("r"), (-F.col("pick")).alias("neg"), "s")).alias("b"))
+    return best.select("user_id", "item_id", (-F.col("b.neg")).alias("pick"), F.col("b.s").alias("similarity"))
+
+
 def similar_items(vectors: DataFrame, item_id: int, n: int = 20) -> DataFrame:
     """The items closest to one item, itself left out."""
     one = vectors.where(F.col("item_id") == item_id).select("feature", F.col("value").alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import KNUTH, tie_hash, top_k
+from ..functions.ranking import KNUTH, numbered, tie_hash, top_k
 from .stats import POSITIVE
 
 METRICS = ("precision", "recall", "ndcg", "hit_rate", "mrr")
@@ -52,17 +52,18 @@ def mean_popularity(lists: DataFrame, train: DataFrame) -> DataFrame:
     return lists.join(counts, "item_id", "left").agg(F.avg(F.coalesce("n", F.lit(0))).alias("mean_popularity"))
 
 
-def bootstrap(metrics: DataFrame, metric: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: the mean of a metric and the 2.5 and 97.5 percentiles of its mean over
-    resamples of users. How often a user is drawn into a resample is a fixed function
-    of seed, resample and user (a Poisson bootstrap), so that no resample has to see all
-    users at one place and the weights sum up before they shuffle."""
-    rows = metrics.select("user_id", F.col(metric).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    rows = rows.select("v", "b", draws(F.col("user_id"), F.col("b"), seed).alias("w"))
-    per = rows.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    interval = per.agg(F.percentile("m", Z[0]).alias("low"), F.percentile("m", Z[1]).alias("high"))
-    one = metrics.agg(F.count("*").alias("n_users"), F.coalesce(F.avg(metric), F.lit(0.0)).alias("mean"))
-    return one.join(F.broadcast(interval), F.lit(True)).select("n_users", "mean", F.coalesce("low", "mean").alias("low"), F.coalesce("high", "mean").alias("high"))  # one row each
+def bootstrap(metrics: DataFrame, metric: str, resamples: int = 1000, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each value of `by`: the mean of a metric and the 2.5 and 97.5 percentiles of
+    its mean over resamples of users. How often a user is drawn into a resample is a fixed
+    function of seed, resample and user (a Poisson bootstrap), so that no resample has to see
+    all users at one place and the weights sum up before they shuffle."""
+    rows = metrics.select(*by, "user_id", F.col(metric).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    rows = rows.select(*by, "v", "b", draws(F.col("user_id"), F.col("b"), seed).alias("w"))
+    per = rows.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    interval = per.groupBy(*by).agg(F.percentile("m", Z[0]).alias("low"), F.percentile("m", Z[1]).alias("high"))
+    one = metrics.groupBy(*by).agg(F.count("*").alias("n_users"), F.coalesce(F.avg(metric), F.lit(0.0)).alias("mean"))
+    both = one.join(interval, list(by)) if by else one.join(F.broadcast(interval), F.lit(True))  # one row each
+    return both.select(*by, "n_users", "mean", F.coalesce("low", "mean").alias("low"), F.coalesce("high", "mean").alias("high"))
 
 
 def draws(user: Column, resample: Column, seed: int) -> Column:
@@ -73,13 +74,31 @@ def draws(user: Column, resample: Column, seed: int) -> Column:
     return sum((u > p).cast("int") for p in table)
 
 
-def compared(a: DataFrame, b: DataFrame, metric: str, tolerance: float = 1e-9) -> DataFrame:
-    """One row: the mean difference of two models over the same users, the lift, and how
-    many users win, tie or lose."""
-    rows = a.select("user_id", F.col(metric).alias("x")).join(b.select("user_id", F.col(metric).alias("y")), "user_id")
-    d = F.col("x") - F.col("y")
-    one = rows.agg(F.count("*").alias("n_users"), F.avg("x").alias("a"), F.avg("y").alias("b"), F.avg(d).alias("difference"), F.count_if(d > tolerance).alias("wins"), F.count_if(F.abs(d) <= tolerance).alias("ties"), F.count_if(d < -tolerance).alias("losses"))
-    return one.withColumn("lift", F.when(F.abs("b") > 1e-12, F.col("difference") / F.nullif(F.col("b"), F.lit(0.0))).otherwise(0.0))
+def compared(a: DataFrame, b: DataFrame, metric: str, tolerance: float = 1e-9, resamples: int = 1000, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each value of `by`: the mean difference of two models over the same users
+    with its bootstrap interval, the lift, how many users win, tie or lose, and whether the
+    interval is on one side of zero."""
+    rows = a.select(*by, "user_id", F.col(metric).alias("x")).join(b.select(*by, "user_id", F.col(metric).alias("y")), [*by, "user_id"]).withColumn("d", F.col("x") - F.col("y"))
+    d, zero = F.col("d"), F.lit(0.0)
+    one = rows.groupBy(*by).agg(F.coalesce(F.avg("x"), zero).alias("a"), F.coalesce(F.avg("y"), zero).alias("b"), F.count_if(d >= tolerance).alias("wins"), F.count_if(F.abs(d) < tolerance).alias("ties"), F.count_if(d <= -tolerance).alias("losses"))
+    interval = bootstrap(rows, "d", resamples, seed, by).withColumnRenamed("mean", "difference")
+    both = one.join(interval, list(by)) if by else one.join(F.broadcast(interval), F.lit(True))  # one row each
+    lift = F.when(F.abs("b") > 1e-12, F.col("difference") / F.nullif(F.col("b"), zero)).otherwise(0.0)
+    return both.select("*", lift.alias("lift"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("distinguishable"))
+
+
+def first_unseen(users: DataFrame, seen: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The first k unseen items of each user where a score does not depend on the user:
+    scores is (config, item_id, score). A user's list lies within the first k + n items of
+    the order, n being what the user has seen, so only these are joined."""
+    order = [F.col("config").asc(), F.desc(F.round("score", 9)), tie_hash(F.col("item_id")).asc(), F.col("item_id").asc()]
+    placed = numbered(scores, order, "i")
+    first = placed.groupBy("config").agg(F.min("i").alias("first"), F.count("*").alias("n_items"))
+    placed = placed.join(F.broadcast(first), "config").select("config", "item_id", "n_items", (F.col("i") - F.col("first") + 1).alias("pos"))  # one row a configuration
+    counts = seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
+    asked = users.select("user_id").distinct().join(counts, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0)).cast("long") + k)).alias("pos"))
+    unseen = asked.join(placed, "pos").join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    return top_k(unseen, ["config", "user_id"], [F.col("pos").asc()], k).select("config", "user_id", "item_id", "rank")
 
 
 def strata(metrics: DataFrame, spans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import percentile_rank, tie_hash, top_k
+from ..functions.vectors import every_pair
 
 # fixed values: weights (content, collaborative, popularity) by how many picks there are
 WEIGHTS = [(4, (0.0, 1.0, 0.0)), (7, (0.0, 1.0, 0.0)), (14, (0.0, 1.0, 0.0)), (None, (0.1, 0.9, 0.0))]
@@ -28,7 +29,8 @@ def weights(k: Column, schedule=WEIGHTS) -> list[Column]:
 def pool(users: DataFrame, items: DataFrame, excluded: DataFrame) -> DataFrame:
     """Every user with every candidate that is not excluded for them. The candidates are
     one catalogue; scoring them all for a batch of users is what the operation is."""
-    return users.select("user_id").crossJoin(items.select("item_id")).join(excluded.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    every = every_pair(users.select("user_id"), items.select("item_id"), "user_id", "item_id")
+    return every.join(excluded.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
 def sparse_percentiles(scores: DataFrame, sizes: DataFrame) -> DataFrame:

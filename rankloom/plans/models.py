@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import tie_hash, top_k
-from ..functions.vectors import cosine
+from ..functions import text as T
+from ..functions.ranking import exact_percentile, numbered, tie_hash, top_k
+from ..functions.vectors import cosine, dot
 from ..operators import content, hybrid, itemcf, popularity, stats
 from ..sources import files
 from ..sources import fixtures as X
@@ -205,13 +206,6 @@ def m9(spark, sf_dir):
     return content.scores(profile(spark, sf_dir), _unit(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("m10_content_explanation", f"{PROFILE}, few AS (SELECT * FROM unit WHERE item_id <= 50), c AS (SELECT user_id, item_id, feature, prof.value * few.value AS contribution FROM prof JOIN few USING (feature)), t AS (SELECT *, sum(contribution) OVER (PARTITION BY user_id, item_id) AS total FROM c) SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(contribution, 9) DESC, feature) AS rank, feature, round(contribution, 6) AS contribution, round(contribution / total * 100, 4) AS percent FROM t WHERE contribution > 1e-7 QUALIFY rank <= 3")
-def m10(spark, sf_dir):
-    """Evidence is asked for items that are shown, here those of the first fifty ids."""
-    out = content.explained(profile(spark, sf_dir), _unit(spark, sf_dir).where("item_id <= 50"))
-    return out.withColumns({"contribution": F.round("contribution", 6), "percent": F.round("percent", 4)})
-
-
 @query("k13_top_features", f"{PROFILE}, few AS (SELECT * FROM unit WHERE item_id = 42) SELECT user_id, feature, row_number() OVER (PARTITION BY user_id ORDER BY round(prof.value * few.value, 9) DESC, feature) AS rank FROM prof JOIN few USING (feature) WHERE prof.value * few.value > 1e-7 QUALIFY rank <= 3")
 def k13(spark, sf_dir):
     return content.explained(profile(spark, sf_dir), _unit(spark, sf_dir).where("item_id = 42")).select("user_id", "feature", "rank")
@@ -233,17 +227,17 @@ def q6(spark, sf_dir):
 @query("m16_similarity_threshold", X.with_("vectors", more="v AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM vectors)") + "SELECT round(quantile_cont(round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), 0.95), 5) AS threshold FROM v a JOIN v b ON b.i = (a.i * 48271 + 11) % a.n")
 def m16(spark, sf_dir):
     """Each vector is paired with a pseudo-random other one."""
-    from ..functions.ranking import numbered
-    from ..functions.vectors import dot
-
     own = numbered(X.item_vectors(spark, sf_dir), [F.col("item_id").asc()], "i")
     size = own.agg(F.count("*").alias("n"))
-    left = own.join(F.broadcast(size), F.lit(True)).select(F.col("embedding").alias("x"), ((F.col("i") * 48271 + 11) % F.col("n")).alias("i"))
-    return left.join(own.select("i", "embedding"), "i").agg(F.round(F.percentile(F.round(dot(F.col("x"), F.col("embedding")), 9), 0.95), 5).alias("threshold"))
+    left = own.join(F.broadcast(size), F.lit(True)).select(F.col("embedding").alias("x"), ((F.col("i") * 48271 + 11) % F.col("n")).alias("i"))  # the size is one row
+    pairs = left.join(own.select("i", "embedding"), "i").select(F.round(dot(F.col("x"), F.col("embedding")), 9).alias("dot"))
+    return exact_percentile(pairs, "dot", 0.95).withColumn("threshold", F.round("threshold", 5))
 
 
 # every user of a batch with every candidate: what a request is answered from
-POOL = f"users AS (SELECT DISTINCT user_id FROM picks), cand AS (SELECT DISTINCT item_id FROM rb), pool AS (SELECT user_id, item_id FROM (SELECT * FROM users, cand) ANTI JOIN picks USING (user_id, item_id)), cf AS (SELECT user_id, j AS item_id, sum(sim) / any_value(k) AS cf FROM picks JOIN near ON i = item_id JOIN (SELECT user_id, count(*) AS k FROM picks GROUP BY 1) USING (user_id) GROUP BY 1, 2), pop AS (SELECT item_id, n_i AS popularity FROM counts), con AS (SELECT user_id, item_id, sum(q.value * unit.value) AS content FROM (SELECT user_id, feature, sum(value) AS value FROM picks JOIN unit USING (item_id) GROUP BY 1, 2) q JOIN unit USING (feature) GROUP BY 1, 2), parts AS (SELECT user_id, item_id, round(coalesce(content, 0), 9) AS content, round(coalesce(cf, 0), 9) AS cf, round(coalesce(popularity, 0), 9) AS popularity FROM pool LEFT JOIN con USING (user_id, item_id) LEFT JOIN cf USING (user_id, item_id) LEFT JOIN pop USING (item_id))"
+POOL_ROWS = "users AS (SELECT DISTINCT user_id FROM picks), cand AS (SELECT DISTINCT item_id FROM rb), pool AS (SELECT user_id, item_id FROM (SELECT * FROM users, cand) ANTI JOIN picks USING (user_id, item_id))"
+POOL_PARTS = "cf AS (SELECT user_id, j AS item_id, sum(sim) / any_value(k) AS cf FROM picks JOIN near ON i = item_id JOIN (SELECT user_id, count(*) AS k FROM picks GROUP BY 1) USING (user_id) GROUP BY 1, 2), pop AS (SELECT item_id, n_i AS popularity FROM counts), con AS (SELECT user_id, item_id, sum(q.value * unit.value) AS content FROM (SELECT user_id, feature, sum(value) AS value FROM picks JOIN unit USING (item_id) GROUP BY 1, 2) q JOIN unit USING (feature) GROUP BY 1, 2), parts AS (SELECT user_id, item_id, round(coalesce(content, 0), 9) AS content, round(coalesce(cf, 0), 9) AS cf, round(coalesce(popularity, 0), 9) AS popularity FROM pool LEFT JOIN con USING (user_id, item_id) LEFT JOIN cf USING (user_id, item_id) LEFT JOIN pop USING (item_id))"
+POOL = f"{POOL_ROWS}, {POOL_PARTS}"
 
 
 def _pct(column: str) -> str:
@@ -256,19 +250,38 @@ BLEND = "blend AS (SELECT *, round(0.2 * pct_content + 0.7 * pct_cf + 0.1 * pct_
 RANKED = f"{BATCH}, {BLEND}"
 
 
-def parts(spark, sf_dir):
-    rated, chosen = X.ratings_b(spark, sf_dir), picks(spark, sf_dir)
-    rows = hybrid.pool(chosen.select("user_id").distinct(), rated.select("item_id").distinct(), chosen)
-    cf = itemcf.cold_scores(chosen, near(spark, sf_dir)).withColumnRenamed("score", "cf")
-    unit = _unit(spark, sf_dir)
-    summed = chosen.join(unit, "item_id").groupBy("user_id", "feature").agg(F.sum("value").alias("value"))
-    con = content.scores(summed, unit).withColumnRenamed("score", "content")
+def stored_near(spark, sf_dir, k: int = 20):
+    """Neighbours that a plan reads several times."""
+    return files.stored(near(spark, sf_dir, k), "near")
+
+
+def content_scores(chosen, vectors, by=()):
+    """Scores of the summed vectors of picks against the same vectors."""
+    summed = chosen.join(vectors, "item_id").groupBy(*by, "user_id", "feature").agg(F.sum("value").alias("value"))
+    return content.scores(summed, vectors, by).withColumnRenamed("score", "content")
+
+
+def components(rows, chosen, rated, vectors, found):
+    """The rows of a pool with their three scores, 0 where there is none."""
+    cf = itemcf.cold_scores(chosen, found).withColumnRenamed("score", "cf")
     pop = itemcf.item_counts(rated).select("item_id", F.col("n_i").cast("double").alias("popularity"))
+    con = content_scores(chosen, vectors)
     return rows.join(con, ["user_id", "item_id"], "left").join(cf, ["user_id", "item_id"], "left").join(pop, "item_id", "left").fillna(0.0, ["content", "cf", "popularity"])
 
 
-def blended(spark, sf_dir):
-    return hybrid.blended(parts(spark, sf_dir), [0.2, 0.7, 0.1])
+def served_unit(spark, sf_dir):
+    """The vectors of the candidates, that is of items that have been rated."""
+    return _unit(spark, sf_dir).join(X.ratings_b(spark, sf_dir).select("item_id").distinct(), "item_id", "left_semi")
+
+
+def parts(spark, sf_dir, found=None):
+    rated, chosen = X.ratings_b(spark, sf_dir), picks(spark, sf_dir)
+    rows = hybrid.pool(chosen.select("user_id").distinct(), rated.select("item_id").distinct(), chosen)
+    return components(rows, chosen, rated, served_unit(spark, sf_dir), near(spark, sf_dir) if found is None else found)
+
+
+def blended(spark, sf_dir, found=None):
+    return hybrid.blended(parts(spark, sf_dir, found), [0.2, 0.7, 0.1])
 
 
 @query("j9_user_item_pool", X.with_("rb", more=f"{PICKS}") + "SELECT user_id, item_id FROM (SELECT * FROM (SELECT DISTINCT user_id FROM picks), (SELECT DISTINCT item_id FROM rb)) ANTI JOIN picks USING (user_id, item_id)")
@@ -320,14 +333,17 @@ def sc22(spark, sf_dir):
     return hybrid.component_shares(own).select("user_id", "item_id", F.round("share_content", 6).alias("share_content"), F.round("share_cf", 6).alias("share_cf"))
 
 
-@query("w13_nearest_pick", f"{RANKED} SELECT top.user_id, top.item_id, arg_max(picks.item_id, (round(s, 9), -picks.item_id)) AS pick, round(max(s), 6) AS similarity FROM top JOIN picks USING (user_id) JOIN (SELECT a.item_id AS i, b.item_id AS j, sum(a.value * b.value) AS s FROM unit a JOIN unit b USING (feature) WHERE a.item_id < 100 AND b.item_id < 100 GROUP BY 1, 2) ON i = picks.item_id AND j = top.item_id GROUP BY 1, 2")
+@query("w13_nearest_pick", f"{RANKED} SELECT user_id, item_id, arg_max(pick, (round(s, 9), -pick)) AS pick, round(arg_max(s, (round(s, 9), -pick)), 6) AS similarity FROM (SELECT top.user_id, top.item_id, picks.item_id AS pick, sum(a.value * b.value) AS s FROM top JOIN picks USING (user_id) JOIN unit a ON a.item_id = picks.item_id JOIN unit b ON b.item_id = top.item_id AND a.feature = b.feature GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def w13(spark, sf_dir):
-    top, chosen = hybrid.ranked(blended(spark, sf_dir), 10).select("user_id", "item_id"), picks(spark, sf_dir).withColumnRenamed("item_id", "pick")
-    unit = _unit(spark, sf_dir).where("item_id < 100")
-    pairs = top.join(chosen, "user_id").join(unit, "item_id").join(unit.toDF("pick", "feature", "x"), ["pick", "feature"])
-    cosines = pairs.groupBy("user_id", "item_id", "pick").agg(F.sum(F.col("value") * F.col("x")).alias("s"))
-    best = cosines.groupBy("user_id", "item_id").agg(F.max(F.struct(F.round("s", 9).alias("r"), (-F.col("pick")).alias("neg"), "s")).alias("b"))
-    return best.select("user_id", "item_id", (-F.col("b.neg")).alias("pick"), F.round("b.s", 6).alias("similarity"))
+    out = content.nearest_pick(hybrid.ranked(blended(spark, sf_dir), 10), picks(spark, sf_dir), _unit(spark, sf_dir))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("m10_content_explanation", f"{RANKED}, {_profile_sql('pos_mean')}, c AS (SELECT top.user_id, top.item_id, unit.feature, prof.value * unit.value AS contribution FROM top JOIN unit USING (item_id) JOIN prof ON prof.user_id = top.user_id AND prof.feature = unit.feature), t AS (SELECT *, sum(contribution) OVER (PARTITION BY user_id, item_id) AS total FROM c) SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(contribution, 9) DESC, feature) AS rank, feature, round(contribution, 6) AS contribution, round(contribution / total * 100, 4) AS percent FROM t WHERE contribution > 1e-7 QUALIFY rank <= 3")
+def m10(spark, sf_dir):
+    """Why each user is shown each of their ten items."""
+    out = content.explained(profile(spark, sf_dir), _unit(spark, sf_dir), shown=hybrid.ranked(blended(spark, sf_dir), 10))
+    return out.withColumns({"contribution": F.round("contribution", 6), "percent": F.round("percent", 4)})
 
 
 WEIGHTED = "SELECT user_id, count(*) AS k FROM picks GROUP BY 1"
@@ -340,29 +356,40 @@ def sc20(spark, sf_dir):
     return own.select("user_id", "k", w[0].alias("w_content"), w[1].alias("w_cf"), w[2].alias("w_popularity"), hybrid.by_picks(F.col("k"), hybrid.ALPHAS).alias("alpha"))
 
 
-REASONS = f"{RANKED}, best AS (SELECT user_id, j AS item_id, i AS pick, n_ij FROM picks JOIN near ON i = item_id WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY user_id, j ORDER BY round(sim, 9) DESC, i) = 1), e AS (SELECT top.*, pick, n_ij, 0.2 * pct_content AS c, 0.7 * pct_cf AS f, 0.1 * pct_popularity AS p FROM top LEFT JOIN best USING (user_id, item_id))"
+SIMILAR = 0.6  # a pick this close to an item is named
+TAGGED = f"{TFIDF}, evb AS (SELECT item_id, feature, value FROM unit UNION ALL SELECT item_id, 'tag:' || feature, value FROM tfidf), ev AS (SELECT item_id, feature, value / sqrt(sum(value * value) OVER (PARTITION BY item_id)) AS value FROM evb)"
+REASONS = f"{RANKED}, {TAGGED}, best AS (SELECT user_id, j AS item_id, i AS pick, n_ij FROM picks JOIN near ON i = item_id WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY user_id, j ORDER BY round(sim, 9) DESC, i) = 1), close AS (SELECT user_id, item_id, arg_max(pick, (round(s, 9), -pick)) AS near_pick, arg_max(s, (round(s, 9), -pick)) AS cos FROM (SELECT top.user_id, top.item_id, picks.item_id AS pick, sum(a.value * b.value) AS s FROM top JOIN picks USING (user_id) JOIN ev a ON a.item_id = picks.item_id JOIN ev b ON b.item_id = top.item_id AND a.feature = b.feature GROUP BY 1, 2, 3) GROUP BY 1, 2), sums AS (SELECT user_id, feature, sum(value) AS value FROM picks JOIN ev USING (item_id) GROUP BY 1, 2), why AS (SELECT top.user_id, top.item_id, ev.feature, row_number() OVER (PARTITION BY top.user_id, top.item_id ORDER BY round(sums.value * ev.value, 9) DESC, ev.feature) AS rank FROM top JOIN ev USING (item_id) JOIN sums ON sums.user_id = top.user_id AND sums.feature = ev.feature WHERE sums.value * ev.value > 1e-7 QUALIFY rank <= 3), shared AS (SELECT user_id, item_id, string_agg(substr(feature, 7), ', ' ORDER BY rank) FILTER (feature LIKE 'genre:%') AS genres, string_agg(substr(feature, 5), ', ' ORDER BY rank) FILTER (feature LIKE 'tag:%') AS tags FROM why GROUP BY 1, 2), e AS (SELECT top.*, pick, n_ij, near_pick, cos, shared.genres, shared.tags, 0.2 * pct_content AS c, 0.7 * pct_cf AS f, 0.1 * pct_popularity AS p FROM top LEFT JOIN best USING (user_id, item_id) LEFT JOIN close USING (user_id, item_id) LEFT JOIN shared USING (user_id, item_id))"
 
 
 def evidence(spark, sf_dir):
-    top = hybrid.ranked(blended(spark, sf_dir), 10)
-    best = itemcf.best_pick(picks(spark, sf_dir), near(spark, sf_dir)).select("user_id", "item_id", "pick", "n_ij")
-    rows = top.join(best, ["user_id", "item_id"], "left")
-    empty = F.array().cast("array<string>")
-    return rows.select(
-        "user_id", "item_id", F.lit(0.2).alias("w_content"), F.lit(0.7).alias("w_cf"), F.lit(0.1).alias("w_popularity"), (0.2 * F.col("pct_content")).alias("content"), (0.7 * F.col("pct_cf")).alias("cf"), (0.1 * F.col("pct_popularity")).alias("popularity"),
-        F.col("pct_content").alias("pick_cos"), F.concat(F.lit("item "), F.col("pick").cast("string")).alias("pick_title"), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("small"))).otherwise(empty).alias("shared_genres"), empty.alias("shared_tags"), F.concat(F.lit("item "), F.col("pick").cast("string")).alias("cf_title"), "n_ij",
-    )
-
-
-@query("m15_reason_codes", f"{REASONS} SELECT user_id, item_id, concat_ws(' ', CASE WHEN pct_content >= 0.9 THEN 'SIMILAR_TO_PICK' END, CASE WHEN item_id % 2 = 0 THEN 'SHARED_GENRES' END, CASE WHEN p >= greatest(c, f) THEN 'POPULAR_WITH_VIEWERS' END, CASE WHEN coalesce(n_ij, 0) >= 12 THEN 'CO_LIKED_BY_USERS' END) AS codes FROM e")
+    """What speaks for each of the ten items of a user: the closest pick, the shared genres and
+    tags among the three features that add most, and the pick whose viewers liked it too."""
+    found, chosen = stored_near(spark, sf_dir), picks(spark, sf_dir)
+    top = files.stored(hybrid.ranked(blended(spark, sf_dir, found), 10), "top")
+    shown = top.select("user_id", "item_id")
+    wanted = shown.select("item_id").union(chosen.select("item_id")).distinct()
+    tags = content.tf_idf(X.item_docs(spark, sf_dir), X.items(spark, sf_dir))
+    vectors = files.stored(content.blocks((content.tier_1(X.items(spark, sf_dir)), 1.0, ""), (tags, 1.0, "tag:")).join(wanted, "item_id", "left_semi"), "evidence-vectors")
+    summed = chosen.join(vectors, "item_id").groupBy("user_id", "feature").agg(F.sum("value").alias("value"))
+    why = content.explained(summed, vectors, 3, shown)
+    named = lambda kind: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"].startswith(kind)), lambda x: T.feature_name(x["feature"]))
+    shared = why.groupBy("user_id", "item_id").agg(named("genre:").alias("shared_genres"), named("tag:").alias("shared_tags"))
+    close = content.nearest_pick(shown, chosen, vectors).select("user_id", "item_id", F.col("similarity").alias("pick_cos"), F.concat(F.lit("item "), "pick").alias("pick_title"))
+    best = itemcf.best_pick(chosen, found).select("user_id", "item_id", F.concat(F.lit("item "), "pick").alias("cf_title"), "n_ij")
+    rows = top.join(best, ["user_id", "item_id"], "left").join(close, ["user_id", "item_id"], "left").join(shared, ["user_id", "item_id"], "left")
+    weights = dict(zip(("content", "cf", "popularity"), (0.2, 0.7, 0.1), strict=True))
+    return rows.withColumns({f"w_{p}": F.lit(w) for p, w in weights.items()} | {p: w * F.col(f"pct_{p}") for p, w in weights.items()})
+
+
+@query("m15_reason_codes", f"{REASONS} SELECT user_id, item_id, concat_ws(' ', CASE WHEN cos >= {SIMILAR} THEN 'SIMILAR_TO_PICK' END, CASE WHEN genres IS NOT NULL THEN 'SHARED_GENRES' END, CASE WHEN tags IS NOT NULL THEN 'SHARED_TAGS' END, CASE WHEN p >= greatest(c, f) THEN 'POPULAR_WITH_VIEWERS' END, CASE WHEN coalesce(n_ij, 0) >= 12 THEN 'CO_LIKED_BY_USERS' END) AS codes FROM e")
 def m15(spark, sf_dir):
-    return hybrid.reasons(evidence(spark, sf_dir), 0.9, 12).select("user_id", "item_id", F.array_join("codes", " ").alias("codes"))
+    return hybrid.reasons(evidence(spark, sf_dir), SIMILAR, 12).select("user_id", "item_id", F.array_join("codes", " ").alias("codes"))
 
 
-@query("sc27_label_map", f"{REASONS} SELECT user_id, item_id, format('{{:,}}', n_ij) || ' viewers who liked item ' || pick || ' also liked this' AS label FROM e WHERE n_ij >= 12")
+@query("sc27_label_map", f"{REASONS} SELECT user_id, item_id, concat_ws('; ', CASE WHEN cos >= {SIMILAR} THEN 'Similar to item ' || near_pick END, 'Shared genres: ' || genres, 'Shared tags: ' || tags, CASE WHEN p >= greatest(c, f) THEN 'Popular with viewers' END, CASE WHEN coalesce(n_ij, 0) >= 12 THEN format('{{:,}}', n_ij) || ' viewers who liked item ' || pick || ' also liked this' END) AS labels FROM e")
 def sc27(spark, sf_dir):
-    rows = hybrid.reasons(evidence(spark, sf_dir), 0.9, 12).select("user_id", "item_id", F.element_at("labels", F.lit("CO_LIKED_BY_USERS")).alias("label"))
-    return rows.where("label IS NOT NULL")
+    """The texts of all reasons, in the order of their codes."""
+    return hybrid.reasons(evidence(spark, sf_dir), SIMILAR, 12).select("user_id", "item_id", F.array_join(F.map_values("labels"), "; ").alias("labels"))
 
 
 @query("a28_personalization_report", f"{RANKED} SELECT round(avg(0.2 * pct_content / score), 5) AS content, round(avg(0.7 * pct_cf / score), 5) AS cf, round(avg(0.1 * pct_popularity / score), 5) AS popularity, count(DISTINCT item_id) AS n_items FROM top WHERE score > 0")
@@ -375,9 +402,9 @@ def a28(spark, sf_dir):
 def q8(spark, sf_dir):
     """Users with three picks or more get a picked row, and a row because of each of their
     two most recent picks."""
-    chosen, found = picks(spark, sf_dir), near(spark, sf_dir)
+    chosen, found = files.stored(picks(spark, sf_dir), "picks"), stored_near(spark, sf_dir)
     enough = chosen.groupBy("user_id").agg(F.count("*").alias("k")).where("k >= 3").select("user_id")
-    picked = hybrid.ranked(blended(spark, sf_dir), 10).select("user_id", F.lit("picked").alias("row_name"), F.col("rank").alias("place"), "item_id")
+    picked = hybrid.ranked(blended(spark, sf_dir, found), 10).select("user_id", F.lit("picked").alias("row_name"), F.col("rank").alias("place"), "item_id")
     dated = chosen.join(X.ratings_b(spark, sf_dir).select("user_id", "item_id", "ts"), ["user_id", "item_id"])
     recent = top_k(dated, ["user_id"], [F.desc("ts"), F.col("item_id").asc()], 2, "nth").select("user_id", F.col("item_id").alias("i"), "nth")
     rows = recent.join(found.drop("rank"), "i").withColumnRenamed("j", "item_id").join(chosen, ["user_id", "item_id"], "left_anti")
@@ -394,11 +421,12 @@ def snk4(spark, sf_dir):
 
 
 
-@query("j8_all_pairs_dot", X.with_("vectors") + "SELECT a.item_id AS a, b.item_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS dot FROM vectors a JOIN vectors b ON a.item_id % 25 = b.item_id % 25 AND a.item_id < b.item_id")
+@query("j8_all_pairs_dot", X.with_("rb", "vectors", more="dims AS (SELECT item_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS d FROM vectors), means AS (SELECT user_id, d, avg(v) AS v FROM rb JOIN dims USING (item_id) WHERE rating >= 4 GROUP BY 1, 2), prof AS (SELECT user_id, list(v ORDER BY d) AS profile FROM means GROUP BY 1)") + "SELECT user_id, item_id, round(list_dot_product(profile, CAST(embedding AS DOUBLE[])), 5) AS score FROM prof, vectors")
 def j8(spark, sf_dir):
-    """Dot products of dense vectors within blocks of the catalogue."""
-    from ..functions.vectors import dot
-
-    own = X.item_vectors(spark, sf_dir).withColumn("block", F.col("item_id") % 25)
-    left, right = own.toDF("a", "x", "block"), own.toDF("b", "y", "block")
-    return left.join(right, "block").where("a < b").select("a", "b", F.round(dot(F.col("x"), F.col("y")), 5).alias("dot"))
+    """The profile of each user, the mean of the dense vectors of what they like, against
+    the vectors of all candidates."""
+    vectors = X.item_vectors(spark, sf_dir)
+    liked = stats.positives(X.ratings_b(spark, sf_dir)).join(vectors, "item_id").select("user_id", F.posexplode("embedding").alias("d", "v"))
+    means = liked.groupBy("user_id", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    profiles = means.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("profile"))
+    return content.all_pairs(profiles, vectors).withColumn("score", F.round("score", 5))
