@@ -40,6 +40,8 @@ SENTENCES = {
     "apache-comply": ["You may not use this file except in compliance with the License", "you may not use this file except in compliance with the License"],
     "apache-obtain": ["You may obtain a copy of the License at"],
     "apache-asis": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
+    "apache-define": ['"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document'],
+    "apache-grant": ["Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"],
     "mit-notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "The MIT License", "The MIT License (MIT)", "MIT License"],
     "mit-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
     "mit-keep": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
@@ -54,6 +56,12 @@ SENTENCES = {
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "gpl-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "gpl3-preamble": ["The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "gpl2-preamble": ["The licenses for most software are designed to take away your freedom to share and change it"],
+    "agpl3-preamble": ["The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"],
+    "lgpl3-body": ["This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "gpl2-notice": ["Licensed under the GNU General Public License, version 2"],
     "lgpl3-notice": ["Licensed under the GNU Lesser General Public License, version 3"],
     "agpl3-notice": ["Licensed under the GNU Affero General Public License, version 3"],
@@ -68,6 +76,8 @@ SENTENCES = {
 RULES = [
     ("Apache-2.0", ["apache-notice"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-obtain", "apache-asis"]),
+    ("Apache-2.0", ["apache-define"]),
+    ("Apache-2.0", ["apache-grant"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-grant", "mit-keep", "asis"]),
     ("MIT", ["mit-notice", "mit-grant", "mit-keep", "asis"]),
@@ -78,7 +88,12 @@ RULES = [
     ("ISC", ["isc-grant", "isc-asis"]),
     ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-3.0", ["gpl-free", "gpl-warranty"]),
+    ("GPL-3.0", ["gpl-verbatim", "gpl3-preamble"]),
     ("GPL-2.0", ["gpl2-notice"]),
+    ("GPL-2.0", ["gpl2-free", "gpl-warranty"]),
+    ("GPL-2.0", ["gpl-verbatim", "gpl2-preamble"]),
+    ("LGPL-3.0", ["gpl-verbatim", "lgpl3-body"]),
+    ("AGPL-3.0", ["gpl-verbatim", "agpl3-preamble"]),
     ("LGPL-3.0", ["lgpl3-notice"]),
     ("AGPL-3.0", ["agpl3-notice"]),
     ("MPL-2.0", ["mpl2-notice"]),
