@@ -86,12 +86,17 @@ def visit(parts: Column) -> Column:
     return F.struct(content.alias("content"), attachments.alias("attachments"))
 
 
+def _raw(parts: Column) -> Column:
+    """The texts of a message as they are: they order messages of one turn and role."""
+    return F.coalesce(F.array_join(F.transform(F.filter(parts, _is_text), lambda p: p["text"]), "", ""), F.lit(""))
+
+
 def format_conversations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: its id, formatted, loss_spans (start and length in code
     points), attachments and attachment_tokens."""
-    own = messages.select(F.col(conversation).alias("id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("v"))
+    own = messages.select(F.col(conversation).alias("id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("v"), _raw(F.col(parts)).alias("raw"))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
-    own = own.select("id", F.struct("turn", "role", F.col("v.content").alias("content"), F.char_length(head).alias("head"), F.concat(head, F.col("v.content"), F.lit(END)).alias("text"), F.col("v.attachments").alias("attachments")).alias("m"))
+    own = own.select("id", F.struct("turn", "role", "raw", F.col("v.content").alias("content"), F.char_length(head).alias("head"), F.concat(head, F.col("v.content"), F.lit(END)).alias("text"), F.col("v.attachments").alias("attachments")).alias("m"))
     gathered = own.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
     spans = F.aggregate(
         "ms",
@@ -122,7 +127,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     text = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], own.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     out = format_conversations(own.unionByName(extra).withColumn("parts", text_part(F.col("text"))))
     turns = read_back(F.col("formatted"))
     out = out.withColumn("turns", turns).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
