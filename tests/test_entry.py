@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["m1_most_liked", "a1_item_stats", "it1_k_core", "w3_temporal_split", "k3_neighbors", "e2_user_metrics", "q1_home", "m15_reason_codes"]
+CHECKED = ["m1_most_liked", "a1_item_stats", "it1_k_core", "w3_temporal_split", "k3_neighbors", "e2_user_metrics", "q1_home", "m15_reason_codes", "a22_content_hash", "sc4_display_title", "sc4_item_titles", "e10_bootstrap", "e11_compare", "g1_popularity_grid", "g4_cf_grid", "g7_simplex_grid", "m16_similarity_threshold", "k12_tie_ranks"]
 
 
 def plain(value):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import ranking as R
 from rankloom.functions import vectors as V
 from rankloom.operators import evaluation as E
-from rankloom.operators import hybrid
+from rankloom.operators import content, hybrid, itemcf, tuning
 
 
 def average_ranks(values):
@@ -75,9 +75,13 @@ def test_comparison_of_equal_and_shifted(spark):
     a = spark.createDataFrame([(u, 0.1 * u) for u in range(5)], "user_id int, ndcg double")
     same = E.compared(a, a, "ndcg").first()
     assert (same["difference"], same["wins"], same["ties"], same["losses"]) == (0.0, 0, 5, 0)
+    assert (same["low"], same["high"], same["distinguishable"]) == (0.0, 0.0, False)
     more = E.compared(a.withColumn("ndcg", F.col("ndcg") + 0.05), a, "ndcg").first()
     assert abs(more["difference"] - 0.05) < 1e-12 and more["wins"] == 5
     assert abs(more["lift"] - 0.25) < 1e-9
+    assert np.allclose([more["low"], more["high"]], 0.05) and more["distinguishable"]
+    none = E.compared(a.limit(0), a, "ndcg").first()
+    assert (none["n_users"], none["difference"], none["distinguishable"]) == (0, 0.0, False)
 
 
 def test_bootstrap_of_constant_and_empty(spark):
@@ -85,3 +89,58 @@ def test_bootstrap_of_constant_and_empty(spark):
     one = E.bootstrap(flat, "ndcg", 50).first()
     assert np.allclose([one["mean"], one["low"], one["high"]], 0.3)
     assert E.bootstrap(flat.limit(0), "ndcg", 50).first()["mean"] == 0.0
+
+
+def test_numbers_of_many_rows_with_other_columns(spark):
+    rows = spark.range(400_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("x"), F.expr("repeat('p', 20)").alias("payload"), "id")
+    got = R.numbered(rows, [F.col("x").asc(), F.col("id").asc()], "n")
+    one = got.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(one) == (400_000, 400_000, 0, 399_999)
+    from pyspark.sql.window import Window
+
+    wrong = got.where("n < 1000").withColumn("m", F.row_number().over(Window.orderBy("x", "id")) - 1).where("m <> n")
+    assert wrong.count() == 0
+
+
+def test_exact_percentile(spark):
+    values = [3.0, 1.0, 4.0, 1.5, 9.0, None]
+    got = R.exact_percentile(spark.createDataFrame([(v,) for v in values], "v double"), "v", 0.95).first()[0]
+    assert abs(got - np.percentile([v for v in values if v is not None], 95)) < 1e-12
+
+
+def test_first_unseen_equals_whole_pools(spark):
+    draw = np.random.default_rng(4)
+    scores = spark.createDataFrame([(c, i, float(draw.integers(0, 6))) for c in (0, 1) for i in range(40)], "config int, item_id long, score double")
+    seen = spark.createDataFrame([(u, int(i)) for u in range(8) for i in draw.choice(40, 5 * u, replace=False)], "user_id long, item_id long")
+    users = spark.createDataFrame([(u,) for u in range(9)], "user_id long")
+    got = {(r["config"], r["user_id"], r["rank"], r["item_id"]) for r in E.first_unseen(users, seen, scores, 6).collect()}
+    want = set()
+    for c in (0, 1):
+        pool = hybrid.pool(users, scores.select("item_id").distinct(), seen).join(scores.where(F.col("config") == c), "item_id")
+        want |= {(c, r["user_id"], r["rank"], r["item_id"]) for r in E.recommended(pool, seen, 6).collect()}
+    assert got == want
+
+
+def test_pairs_of_heavy_users(spark):
+    rows = [(u, i, 5.0) for u in range(4) for i in range(600 if u == 0 else 5 * u)]
+    got = {(r["i"], r["j"]): r["n_ij"] for r in itemcf.cooccurrence(spark.createDataFrame(rows, "user_id long, item_id long, rating double")).collect()}
+    assert len(got) == 600 * 599 // 2 and got[(0, 1)] == 4 and got[(5, 6)] == 3 and got[(20, 599)] == 1
+
+
+def test_scores_with_dense_and_rare_features(spark):
+    draw = np.random.default_rng(8)
+    users, items = ({(k, f): float(draw.normal()) for k in range(12) for f in range(30) if f < 2 or draw.random() < 0.1} for _ in range(2))
+    frames = [spark.createDataFrame([(k, f"f{f}", v) for (k, f), v in own.items()], f"{name} long, feature string, value double") for own, name in ((users, "user_id"), (items, "item_id"))]
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in content.scores(*frames).collect()}
+    for u in range(12):
+        for i in range(12):
+            assert abs(got[(u, i)] - sum(v * items.get((i, f), 0.0) for (k, f), v in users.items() if k == u)) < 1e-9
+
+
+def test_adoption_rule(spark):
+    kind = "k int, tail int, difference double, low double, high double"
+    good = [(k, tail, 0.1, 0.05, 0.2) for k in (3, 5, 10, 20) for tail in (0, 1)]
+    rule = lambda rows: tuple(tuning.adopted(spark.createDataFrame(rows, kind)).first())
+    assert rule(good) == (True, False, True)
+    assert rule([*good[:2], (5, 0, -0.1, -0.2, -0.05), *good[3:]]) == (True, True, False)
+    assert rule([(k, t, 0.01, -0.01, 0.03) for k, t, *_ in good]) == (False, False, False)
