@@ -163,7 +163,7 @@ def test_compact_windows_cover_every_passage():
     draw = np.random.default_rng(9)
     for n in (5, 12, 40):
         hashes = draw.integers(0, 1 << 62, n).astype(np.uint64) << np.uint64(1)
-        found = S.compact_windows(hashes, 5)
+        found = list(zip(*(x.tolist() for x in S.compact_windows(hashes, 5)), strict=True))
         for low in range(n):
             for high in range(low + 4, n):
                 c = low + int(np.argmin(hashes[low : high + 1] >> np.uint64(max(1, n.bit_length()))))
