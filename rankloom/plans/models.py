@@ -81,6 +81,12 @@ def k3(spark, sf_dir):
     return near(spark, sf_dir).withColumn("sim", F.round("sim", 6))
 
 
+@query("k3_neighbors_wide", X.with_("ra", more=f"{LIKED.replace('rb', 'ra')}, {PAIRS}, {COUNTS}, {sims(k=200)}") + "SELECT i, j, round(sim, 6) AS sim, n_ij, rank FROM near")
+def k3_wide(spark, sf_dir):
+    """The two hundred most similar items of each, of the wide and sparse ratings."""
+    return itemcf.neighbors(X.ratings_a(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+
+
 @query("j11_remapped_neighbors", f"{CF} SELECT i, j, round(sim, 6) AS sim, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS rank FROM near WHERE i % 3 <> 0 AND j % 3 <> 0")
 def j11(spark, sf_dir):
     served = X.items(spark, sf_dir).select("item_id").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("item_id"))).where("item_id % 3 <> 0")
