@@ -205,6 +205,21 @@ def test_equal_passages_around_a_frequent_line(spark):
     assert got == want
 
 
+def test_equal_passage_of_a_document_with_copies(spark):
+    """The copies cover one another; a third document shares a passage with them, among others
+    that share a line of it."""
+    draw = random.Random(29)
+    say = lambda n: [f"w{draw.randint(0, 5000)}" for _ in range(n)]
+    rows, want = [], {}
+    for n in range(0, 200, 10):
+        line = say(40)
+        whole = say(40) + say(10) + line + say(10) + say(40)
+        rows += [(n + k, whole) for k in (0, 1, 2)] + [(n + k, say(30) + line + say(30)) for k in (3, 4, 6, 7)] + [(n + 5, say(20) + whole[40:100] + say(20))]
+        want[n + 5] = (20, 80)
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in S.repeated_passages(spark.createDataFrame([(n, " ".join(t), "x") for n, t in rows], DOCS)).collect()}
+    assert {n: got.get(n) for n in want} == want
+
+
 def test_passage_verification_is_symmetric():
     words = word_hashes(" ".join(f"w{n}" for n in range(100)))
     a, b = shingle_hashes(words, 5), shingle_hashes(words[20:90], 5)
