@@ -12,8 +12,8 @@ that all but REJECT_CORRECT of the rightly labelled ones reach. For each band th
 a largest share of subwords that no learned text has, as far beyond what all but
 REJECT_CORRECT keep to as that is from the median, so that texts of a known language stay.
 
-As the model is linear, embedding and weights of a subword are multiplied once, and
-the sums of a word are kept in a bounded cache on each worker.
+As the model is linear, embedding and weights of a subword are multiplied once. The
+subwords of a text are hashed in numpy, all at once, and nothing is kept between texts.
 
 Cases: null texts and texts without a letter are `und` with score 0 and are
 rejected; rows without a label are not learned from; without any label everything
@@ -35,9 +35,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hold, slices, table
+from .shingles import mix
 
-BUCKETS = 1 << 14
-GRAMS = (1, 2, 3)
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
+FACTORS = mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 SAMPLE_A_LANG = 600
 SAMPLE_ROWS = 48_000
 DIMENSION = 16
@@ -46,13 +48,16 @@ RATE = 4.0
 BATCH = 32
 REJECT_CORRECT = 0.001
 BAND_WORDS = (1, 2, 4, 8, 16, 32, 64)  # the least words of each band
-CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
+def subwords(words: list[str]) -> np.ndarray:
+    """The hashed n-grams of one to three characters of words between borders."""
+    marked = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = marked == ord(">")  # no n-gram goes on behind the end of a word
+    first, second, third = (marked * x for x in FACTORS)
+    grams = [first, (first[:-1] + second[1:] + np.uint64(1))[~ends[:-1]], (first[:-2] + second[1:-1] + third[2:] + np.uint64(2))[~(ends[:-2] | ends[1:-1])]]
+    return (mix(np.concatenate(grams)) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
 
 
 def text_words(text: str | None) -> list[str]:
@@ -65,7 +70,7 @@ def _parts(words: list[str]) -> list[bytes]:
     """The subwords of a part of each band's length from the middle of a text; none for
     the band of the text and those above, which the whole text stands for."""
     own = _band(len(words))
-    return [np.array([x for w in words[len(words) // 2 :][:n] for x in subwords(w)], np.uint16).tobytes() for n in BAND_WORDS[:own]]
+    return [subwords(words[len(words) // 2 :][:n]).tobytes() for n in BAND_WORDS[:own]]
 
 
 def _band(words: int) -> int:
@@ -77,16 +82,10 @@ def _counts(batches):
     for batch in slices(batches):
         rows, sizes, parts = [], [], []
         for text in batch.column("text").to_pylist():
-            counts = np.zeros(BUCKETS, np.int64)
-            seen: dict[str, int] = {}
             words = text_words(text)
             sizes.append(len(words))
             parts.append(_parts(words))
-            for word in words:
-                seen[word] = seen.get(word, 0) + 1
-            for word, n in seen.items():
-                np.add.at(counts, subwords(word), n)
-            rows.append(counts)
+            rows.append(np.bincount(subwords(words), minlength=BUCKETS) if words else np.zeros(BUCKETS, np.int64))
         found = [np.flatnonzero(c) for c in rows]
         yield pa.RecordBatch.from_arrays(
             [batch.column("lang"), pa.array([f.astype(np.uint16).tobytes() for f in found]), pa.array([(c[f] / max(1, c.sum())).astype(np.float32).tobytes() for c, f in zip(rows, found, strict=True)]), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.binary()))],
@@ -186,24 +185,14 @@ def train(rows: list, seed: int = 5) -> Model | None:
 
 
 class Predictor:
-    """Predicts whole texts; keeps the summed logits of words."""
+    """Predicts whole texts."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, {}
-        self.table = np.zeros((1024, len(model.langs) + 2), np.float32)
-
-    def _row(self, word: str) -> int:
-        n = self.rows[word] = len(self.rows)
-        if n >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        found = subwords(word)
-        self.table[n, :-2], self.table[n, -2], self.table[n, -1] = self.model.logits[found].sum(axis=0), (~self.model.seen[found]).sum(), len(found)
-        return n
+        self.model = model
+        self.table = np.concatenate([model.logits, ~model.seen[:, None]], axis=1).astype(np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        if len(self.rows) > CACHE_WORDS:
-            self.rows.clear()
-        langs, scores, rejected, rows = [], [], [], self.rows
+        langs, scores, rejected = [], [], []
         for text in texts:
             words = text_words(text)
             if not words:
@@ -211,13 +200,13 @@ class Predictor:
                 scores.append(0.0)
                 rejected.append(True)
                 continue
-            at = np.fromiter([rows[w] if w in rows else self._row(w) for w in words], np.int64, len(words))
-            total = self.table[at].sum(axis=0, dtype=np.float64)
-            p = _softmax(((total[:-2] / total[-1] + self.model.bias) / self.model.temperature)[None])[0]
+            found = subwords(words)
+            mean = (np.bincount(found, minlength=BUCKETS) @ self.table.astype(np.float64) if len(found) > BUCKETS else self.table[found].sum(axis=0, dtype=np.float64)) / len(found)
+            p = _softmax(((mean[:-1] + self.model.bias) / self.model.temperature)[None])[0]
             best = int(p.argmax())
             langs.append(self.model.langs[best])
             scores.append(float(p[best]))
-            rejected.append(self.model.rejects(len(words), scores[-1], total[-2] / total[-1]))
+            rejected.append(self.model.rejects(len(words), scores[-1], mean[-1]))
         return langs, scores, rejected
 
 
