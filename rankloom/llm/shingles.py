@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-from .common import hold
-
-CACHE_WORDS = 100_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,18 +16,31 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of an odd factor and of its inverse modulo 2 ** 64, n of them at least."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((int(_FACTOR), pow(int(_FACTOR), -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]))
+    return _POWERS
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of values from a start to an end (exclusive): differences of the
+    prefix sums of a polynomial, so that a run costs the same whatever its length."""
+    up, down = powers(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _FACTOR)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """The hashes of the words of a text: what white space parts, with A-Z lower-cased."""
-    words, known = (text or "").encode("utf-8", "replace").lower().split(), hold("shingles", None, _Words)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
+    inside = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return run_hashes(raw.astype(np.uint64) + np.uint64(1), edges[::2], edges[1::2])
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
