@@ -4,7 +4,7 @@ Nothing else in the library imports this subpackage."""
 
 from importlib import import_module
 
-MODULES = ["token_counts", "substring_dedup", "exact_dedup", "chat_format", "decontaminate", "ngram_join", "language_id", "license_scan", "sharding", "packing"]
+MODULES = ["token_counts", "substring_dedup", "exact_dedup", "chat_format", "decontaminate", "ngram_join", "language_id", "license_scan", "sharding", "packing", "turn_repair", "simhash", "fill_middle"]
 
 
 def queries() -> dict:
