@@ -9,11 +9,14 @@ order of their turns: <|im_start|>role<|im_sep|>content<|im_end|>. The loss mask
 covers the contents of the trained roles and nothing else.
 
 Control strings inside a text or a role are broken by a backslash behind their first
-character, and backslashes are doubled, so that no control string of the template
-can come from a text and every text can be read back exactly.
+character, adjacent text parts are kept apart by one, and backslashes are doubled, so that no
+control string of the template can come from a text or from several, and every text can be read
+back exactly.
 
 Everything is a SQL expression over one row until the messages of a conversation
-are gathered; a formatted conversation is one string and is held by one task.
+are numbered by a window and gathered, in one exchange; a formatted conversation is one string and
+is held by one task. The time is linear in the turns: places are running sums, and what lies under the
+mask is read from its own message.
 
 Cases: a null text or role is empty; a null or empty list of parts is an empty text;
 unknown part types become document placeholders; rows of an equal turn are ordered by role
@@ -25,8 +28,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import table
+from .common import bound, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 # fixed values: control strings of common chat templates, broken wherever a text holds them
@@ -81,7 +85,15 @@ def _is_text(part: Column) -> Column:
 def visit(parts: Column) -> Column:
     """struct(content, attachments): the flattened message."""
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
-    content = F.array_join(F.transform(parts, lambda p: F.when(_is_text(p), escape(p["text"])).otherwise(_placeholder(p))), "")
+    said = F.filter(parts, lambda p: ~_is_text(p) | (F.coalesce(p["text"], F.lit("")) != ""))
+
+    def written(own: Column) -> Column:
+        # what two texts would form together is broken; no control string holds a backslash
+        ends = lambda n: F.get(own, n - 1)["text"].endswith("\\")
+        apart = lambda p, n: F.when((n > 0) & _is_text(F.get(own, n - 1)) & ~ends(n) & ~p["text"].startswith("\\"), "\\").otherwise("")
+        return F.transform(own, lambda p, n: F.when(_is_text(p), F.concat(apart(p, n), escape(p["text"]))).otherwise(_placeholder(p)))
+
+    content = F.array_join(bound(said, written), "")
     attachments = F.transform(F.filter(parts, lambda p: ~_is_text(p)), lambda p, n: F.struct(n.alias("order"), p["type"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
     return F.struct(content.alias("content"), attachments.alias("attachments"))
 
@@ -93,20 +105,16 @@ def _raw(parts: Column) -> Column:
 
 def format_conversations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: its id, formatted, loss_spans (start and length in code
-    points), attachments and attachment_tokens."""
+    points; message and offset tell where in which message that is), attachments and
+    attachment_tokens."""
     own = messages.select(F.col(conversation).alias("id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("v"), _raw(F.col(parts)).alias("raw"))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
-    own = own.select("id", F.struct("turn", "role", "raw", F.col("v.content").alias("content"), F.char_length(head).alias("head"), F.concat(head, F.col("v.content"), F.lit(END)).alias("text"), F.col("v.attachments").alias("attachments")).alias("m"))
-    gathered = own.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    spans = F.aggregate(
-        "ms",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, length: int>>").alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.char_length(m["text"])).alias("at"),
-            F.when(m["role"].isin(*trained), F.array_append(acc["spans"], F.struct((acc["at"] + m["head"]).alias("start"), F.char_length(m["content"]).alias("length")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    own = own.select("id", "turn", "role", "raw", "v.content", "v.attachments", F.char_length(head).alias("head"), F.concat(head, F.col("v.content"), F.lit(END)).alias("text"))
+    order = Window.partitionBy("id").orderBy("turn", "role", "raw", "content", "attachments")
+    before = F.coalesce(F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumns({"number": F.row_number().over(order) - 1, "start": (before + F.col("head")).cast("int"), "length": F.char_length("content")})
+    gathered = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("number", "role", "start", "head", "length", "text", "attachments"))).alias("ms"))
+    spans = F.transform(F.filter("ms", lambda m: m["role"].isin(*trained)), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"), m["number"].alias("message"), m["head"].alias("offset")))
     attachments = F.flatten(F.transform("ms", lambda m, n: F.transform(m["attachments"], lambda a: F.struct(n.alias("message"), a["order"].alias("order"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     out = gathered.select("id", F.array_join(F.transform("ms", lambda m: m["text"]), "").alias("formatted"), spans.alias("loss_spans"), attachments.alias("attachments"))
     return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"])).withColumnRenamed("id", conversation)
@@ -120,8 +128,10 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """The text under the loss mask, unescaped; each span is cut from its own message."""
+    blocks = F.split(formatted, r"<\|im_end\|>")
+    cut = lambda own: F.transform(spans, lambda s: unescape(F.substring(F.get(own, s["message"]), s["offset"] + 1, s["length"])))
+    return F.array_join(bound(blocks, cut), "")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

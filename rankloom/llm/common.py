@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import discard, stored
 
-__all__ = ["ascii_lower", "bitmaps", "discard", "hold", "probed", "slices", "stored", "table"]
+__all__ = ["ascii_lower", "bitmaps", "bound", "discard", "hold", "probed", "slices", "stored", "table"]
 
 SLICE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,6 +25,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: inside a lambda, an outer expression is
+    computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 BITMAP_BITS = 32_768  # of bitmap_construct_agg
 
 

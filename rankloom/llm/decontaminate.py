@@ -107,8 +107,8 @@ def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: key, n_words, hit_words (positions of hit words), items."""
     found = _hits(docs, items, key, text, item_key, item_text)
-    again = found.where("n_rows > 1").select("*", F.explode(F.sequence(F.lit(2), F.col("n_rows"))).alias("__n")).drop("__n")
-    return found.unionByName(again).select(F.col("key").alias(key), "n_words", "hit_words", "items")
+    each = found.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return each.select(F.col("key").alias(key), "n_words", "hit_words", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ sentences, which are few, are gathered by document. A text without any of the wo
 which each known sentence has one is not cut.
 
 Cases: null and empty texts have no licence and no row; a sentence that is
-repeated starts a match of its own; repeated rows are merged with their document;
+repeated starts a match of its own; repeated rows are merged with their document, other texts of one key are scanned apart;
 an empty table gives an empty table; other columns do not matter.
 """
 
@@ -166,41 +166,42 @@ class Finder:
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, at, to, before, after, id): the known sentences of each document, by position."""
+    """(key, print, at, to, before, after, id): the known sentences of each document, by position;
+    print tells rows of one key apart by their text."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         finder = hold("license_scan", None, Finder)
         for batch in slices(batches):
             rows, found = [], []
-            for n, value in enumerate(batch.column(1).to_pylist()):
+            for n, value in enumerate(batch.column(2).to_pylist()):
                 own = finder.find(value)
                 rows += [n] * len(own)
                 found += own
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "at", "to", "before", "after", "id"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "print", "at", "to", "before", "after", "id"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, at int, to int, before int, after int, id string")
+    return df.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(5)).alias("print"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, print long, at int, to int, before int, after int, id string")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per match: key, license, rule (its identifiers), first and last (piece
     numbers from 0)."""
     spark = df.sparkSession
-    found = sentences(df, key, text).dropDuplicates(["key", "at", "id"])
+    found = sentences(df, key, text).dropDuplicates(["key", "print", "at", "id"])
     longest = max(len(ids) for _, ids in RULES)
     steps = spark.createDataFrame([(" ".join(ids), name, ids[0], ids[1:]) for name, ids in RULES], "rule string, license string, id string, tail array<string>")
     # each known sentence may open the rules that begin with it; their tails are the next known sentences
-    order = Window.partitionBy("key").orderBy("at")
+    order = Window.partitionBy("key", "print").orderBy("at")
     follow = [F.struct(*(F.lead(x, n).over(order).alias(x) for x in ("id", "at", "to", "before", "after"))) for n in range(1, longest)]
     opened = found.withColumn("next", F.array(*follow)).join(F.broadcast(steps), "id")
     last = lambda n, x: F.when(n == 0, F.col(x)).otherwise(F.get("next", n - 1)[x])
     gap = lambda n: F.when(F.get("next", n)["at"] > last(n, "to") + 1, F.get("next", n)["before"] - last(n, "after") + 1).otherwise(0)
     fits = F.forall(F.transform("tail", lambda t, n: (F.get("next", n)["id"] == t) & (F.get("next", n)["at"] > last(n, "to")) & (gap(n) <= MAX_GAP)), lambda x: F.coalesce(x, F.lit(False)))
-    matched = opened.where(fits).select("key", "license", "rule", F.col("at").alias("first"), F.when(F.size("tail") == 0, F.col("to")).otherwise(F.get("next", F.size("tail") - 1)["to"]).alias("last"))
+    matched = opened.where(fits).select("key", "print", "license", "rule", F.col("at").alias("first"), F.when(F.size("tail") == 0, F.col("to")).otherwise(F.get("next", F.size("tail") - 1)["to"]).alias("last"))
     # a match inside a longer one that began no later is part of it
-    reach = Window.partitionBy("key").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = Window.partitionBy("key", "print").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     kept = matched.withColumn("reach", F.max("last").over(reach)).where("reach IS NULL OR last > reach")
     return kept.select(F.col("key").alias(key), "license", "rule", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 

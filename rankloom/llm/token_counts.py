@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import hold, slices, table
 
 CACHE_WORDS = 1_000_000
+CACHE_CHARS = 16_000_000  # of all words kept
+LONGEST_KEPT = 64  # characters of a word
 SPACE = "▁"
 
 
@@ -146,6 +148,7 @@ class WordCounts:
         for counts in (spaced, bare):
             if len(counts) > self.cache_words:
                 counts.clear()
+                counts.chars = 0
         return total
 
     def table(self, text: str | None) -> list[int]:
@@ -176,10 +179,16 @@ class WordCounts:
 class _Counts(dict):
     def __init__(self, owner: WordCounts, before: str):
         super().__init__()
-        self.owner, self.before = owner, before
+        self.owner, self.before, self.chars = owner, before, 0
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = self.owner.prefixes(self.before + word)[-1]
+        found = self.owner.prefixes(self.before + word)[-1]
+        if len(word) <= LONGEST_KEPT:
+            if self.chars + len(word) > CACHE_CHARS:
+                self.clear()
+                self.chars = 0
+            self[word] = found
+            self.chars += len(word)
         return found
 
 

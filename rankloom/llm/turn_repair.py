@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import bound, table
 
 RENAME, REMOVE, INSERT, UNFINISHED = 3, 4, 3, 3
 FAR = 1 << 40  # the cost of what can't be
@@ -106,8 +106,12 @@ def repaired(turns: Column, audit: Column) -> Column:
 
     steps = F.zip_with(turns, F.regexp_extract_all(audit, F.lit("(I*[KRD])"), F.lit(1)), edited)
     items = F.concat(F.flatten(steps), F.array_repeat(new, F.length(F.regexp_extract(audit, "(I*)$", 1))))
-    shift = F.when(F.coalesce(F.get(items, 0)["role"], F.lit("")).startswith("s"), 1).otherwise(0)
-    return F.transform(items, lambda x, n: F.struct(F.coalesce(x["role"], F.when((n - shift) % 2 == 0, "user").otherwise("assistant")).alias("role"), x["text"].alias("text")))
+
+    def named(own: Column, shift: Column) -> Column:
+        return F.transform(own, lambda x, n: F.struct(F.coalesce(x["role"], F.when((n - shift) % 2 == 0, "user").otherwise("assistant")).alias("role"), x["text"].alias("text")))
+
+    shift = lambda own: F.when(F.coalesce(F.get(own, 0)["role"], F.lit("")).startswith("s"), 1).otherwise(0)
+    return bound(items, lambda own: bound(shift(own), lambda n: named(own, n)))
 
 
 def repair(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 plans on the far side of each size check."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from rankloom.llm import packing as P
 from rankloom.llm import sharding as H
 from rankloom.llm import substring_dedup as S
 from rankloom.llm import token_counts as T
+from rankloom.llm.shingles import word_hashes
 
 DRAW = random.Random(23)
 PROSE = " ".join(f"word{DRAW.randint(0, 900)}" for _ in range(120))
@@ -113,3 +115,75 @@ def test_similar_passages_among_outsiders(spark):
     got = {r["doc_id"] for r in S.repeated_passages(spark.createDataFrame([(n, " ".join(t)) for n, t in rows], "doc_id long, text string")).collect()}
     assert all(n in got for n, kind in want.items() if kind == 0)
     assert sum(n in got for n in want) >= 0.97 * len(want)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words of 4,096 letters, and texts of half such words."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{n}" for n in range(12)]
+    rows = [(1, one), (2, two), (3, " ".join([one, *rest])), (4, " ".join([two, *rest])), (5, " ".join([*rest[:6], one, *rest[6:]])), (6, " ".join([*rest[:6], two, *rest[6:]]))]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: n for n in range(1, 7)}
+
+
+def test_word_hashes_tell_words_apart():
+    words = {f"{a}{'x' * n}{b}" for a in ("", "é", "\0", "ab") for b in ("", "\0", "z") for n in range(30)} - {""}
+    own = sorted(words)
+    assert len({int(h) for h in word_hashes(" ".join(own))}) == len(own) == len(word_hashes("\n " + "\t".join(own) + " "))
+    assert (word_hashes("One  TWO") == word_hashes("one\ntwo")).all() and len(word_hashes(" \n")) == len(word_hashes(None)) == 0
+
+
+def test_passages_and_licences_of_rows_with_one_id(spark):
+    say = lambda n: " ".join(f"w{DRAW.randint(0, 5000)}" for _ in range(n))
+    one, two = say(70), say(60)
+    rows = [(1, "aaa " + one), (1, "zzz " + two), (2, one), (3, two), (4, say(80)), (None, one)]
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["other"]) for r in S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 61, 3), (1, 1, 71, 2), (2, 0, 70, 1), (3, 0, 60, 1)]
+    ids = next(own for name, own in I.RULES if len(own) > 1)
+    halves = [I.SENTENCES[ids[0]][0] + ".", "\n\n".join(I.SENTENCES[x][0] + "." for x in ids[1:])]
+    whole = [(r["doc_id"], r["rule"]) for r in I.scan(spark.createDataFrame([(1, halves[0]), (1, halves[1]), (2, "\n\n".join(halves))], "doc_id long, text string")).collect()]
+    assert (2, " ".join(ids)) in whole and (1, " ".join(ids)) not in whole
+
+
+def test_control_strings_across_parts(spark):
+    part = lambda text: ("text", text, None, None, None, None, None)
+    rows, want = [], []
+    for control in [*C.CONTROLS, "\\\\", "\\<s>"]:
+        for a in range(1, len(control)):
+            for b in (a, DRAW.randint(a, len(control))):
+                texts = [control[:a], control[a:b], control[b:], "\\"]
+                rows.append((1, len(rows), "user" if len(rows) % 2 else "assistant", [part(x) for x in texts]))
+                want.append("".join(texts))
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, parts array<{C.PART}>")
+    out = C.format_conversations(df).select(C.read_back(F.col("formatted")).alias("turns"), C.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted", "loss_spans").first()
+    assert [t["content"] for t in out["turns"]] == want and out["loss"] == "".join(want[::2])
+    assert out["formatted"].count(C.END) == len(rows) and not any(c in out["formatted"] for c in C.CONTROLS if c not in (C.START, C.SEP, C.END))
+    first = out["loss_spans"][1]
+    assert out["formatted"][first["start"] - len(C.SEP) : first["start"]] == C.SEP and out["formatted"][first["start"] + first["length"] :].startswith(C.END)
+
+
+def test_long_chats_take_linear_time(spark):
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), "id").alias("text"))
+        began = time.time()
+        out = C.format_conversations(rows.withColumn("parts", C.text_part(F.col("text"))))
+        row = out.select(F.size(C.read_back(F.col("formatted"))).alias("n"), F.length(C.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("loss")).first()
+        assert row["n"] == n and row["loss"] == sum(len(f"turn {x}") for x in range(1, n, 2))
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(20_000) < 15
+
+
+def test_token_cache_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_CHARS", 20_000)
+    counts = T.WordCounts(T.default_model())
+    lines = ["".join(DRAW.choice("語文字数目的是了") for _ in range(400)) for _ in range(30)]
+    texts = ["\n".join(lines), *(" ".join(f"{a}{b}" for b in range(2000)) for a in "abcdef")]
+    found = [counts.count(x) for x in texts]
+    for own in (counts.spaced, counts.bare):
+        assert sum(map(len, own)) == own.chars <= 20_000 and max(map(len, own), default=0) <= T.LONGEST_KEPT
+    assert found == [T.WordCounts(T.default_model()).count(x) for x in texts]
