@@ -9,6 +9,7 @@ from ..functions.ranking import percentile_rank, tie_hash, top_k
 from ..functions.vectors import normalized
 from ..operators import content, hybrid, itemcf, popularity, split, stats, tuning
 from ..operators import evaluation as E
+from ..operators import protocol as P
 from ..sources import files
 from ..sources import fixtures as X
 from . import models
@@ -201,6 +202,60 @@ def e13(spark, sf_dir):
     return rounded(E.means(E.user_metrics(lists, wanted, K)))
 
 
+COLD_KS, COLD_HEAD = (3, 5, 10), 20
+_BUCKET = "CASE WHEN d < 1 THEN '<1' WHEN d < 30 THEN '1-30' ELSE '>=30' END"
+
+
+def cold_sql(model: str, scores: str, more: str = "", *tables: str) -> str:
+    """The whole protocol over (k, user_id, item_id, score): every candidate of every cohort in one pool."""
+    ideal = f"list_sum(list_transform(range(1, least(nr, {K}) + 1), lambda r: 1 / log2(r + 1)))"
+    per = ", ".join(f"sum(w * {m}) / sum(w) AS {m}" for m in E.METRICS)
+    rows = " UNION ALL ".join(f"SELECT k, variant, stratum, '{m}' AS metric, {m} AS v FROM st" for m in E.METRICS)
+    ends = " UNION ALL ".join(f"SELECT k, variant, stratum, '{m}' AS metric, {m} AS x FROM per" for m in E.METRICS)
+    return X.with_("rb", *tables, more=f"""{ONBOARD}, ks AS (SELECT unnest([{", ".join(map(str, COLD_KS))}]) AS k), head AS (SELECT item_id FROM rb GROUP BY 1 ORDER BY count(*) DESC, item_id LIMIT {COLD_HEAD}),
+vs AS (SELECT unnest(['all', 'tail']) AS variant), asked AS (SELECT k, user_id, item_id FROM pos, ks WHERE c >= k + 20 AND s <= k),
+rel AS (SELECT k, variant, user_id, item_id FROM pos, ks, vs WHERE c >= k + 20 AND s > k AND s <= k + 20 AND (variant = 'all' OR item_id NOT IN (SELECT item_id FROM head))),
+cand AS (SELECT DISTINCT item_id FROM rb), {more + ", " if more else ""}own AS ({scores}),
+pool AS (SELECT k, variant, user_id, item_id FROM (SELECT * FROM (SELECT DISTINCT k, variant, user_id FROM rel), cand) ANTI JOIN asked USING (k, user_id, item_id) WHERE variant = 'all' OR item_id NOT IN (SELECT item_id FROM head)),
+lists AS (SELECT k, variant, user_id, item_id, row_number() OVER (PARTITION BY k, variant, user_id ORDER BY round(coalesce(score, 0), 9) DESC, {HASH}, item_id) AS rank FROM pool LEFT JOIN own USING (k, user_id, item_id) QUALIFY rank <= {K}),
+m AS (SELECT k, variant, user_id, coalesce(h, 0) / {K} AS precision, coalesce(h, 0) / nr AS recall, coalesce(dcg, 0) / {ideal} AS ndcg, CAST(CASE WHEN h > 0 THEN 1 ELSE 0 END AS DOUBLE) AS hit_rate, coalesce(1 / f, 0) AS mrr FROM (SELECT k, variant, user_id, count(*) AS nr FROM rel GROUP BY ALL) LEFT JOIN (SELECT k, variant, user_id, count(*) AS h, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS f FROM lists SEMI JOIN rel USING (k, variant, user_id, item_id) GROUP BY ALL) USING (k, variant, user_id)),
+spans AS (SELECT user_id, (max(ts) - min(ts)) / 86400000000.0 AS d FROM rb GROUP BY 1), st AS (SELECT *, 'everyone' AS stratum FROM m UNION ALL SELECT m.*, {_BUCKET} FROM m JOIN spans USING (user_id)),
+per AS (SELECT k, variant, stratum, b, {per} FROM (SELECT *, {_DRAW} AS w FROM st, (SELECT unnest(range(1, 1001)) AS b)) GROUP BY ALL),
+cis AS (SELECT k, variant, stratum, metric, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM ({ends}) GROUP BY ALL),
+means AS (SELECT k, variant, stratum, metric, count(*) AS n_users, avg(v) AS mean FROM ({rows}) GROUP BY ALL)""") + f"SELECT '{model}' AS model, k, variant, stratum, metric, n_users, CASE WHEN stratum = 'everyone' THEN (SELECT count(DISTINCT user_id) FROM rb) - n_users END AS n_excluded, round(mean, 6) AS mean, round(coalesce(low, mean), 6) AS low, round(coalesce(high, mean), 6) AS high FROM means JOIN cis USING (k, variant, stratum, metric)"
+
+
+def cold_report(spark, sf_dir, model):
+    rated = X.ratings_b(spark, sf_dir)
+    spans = stats.spans(rated, 86400000000.0)
+    strata = spans.select("user_id", F.when(F.col("span_days") < 1, "<1").when(F.col("span_days") < 30, "1-30").otherwise(">=30").alias("stratum"))
+    return rounded(P.cold_evaluation(model, rated, P.cohorts(rated, COLD_KS, head=COLD_HEAD), strata, K), ("mean", "low", "high"))
+
+
+@query("e13_cold_report_popularity", cold_sql("popularity_most_liked", "SELECT k, user_id, item_id, score FROM (SELECT DISTINCT k, user_id FROM asked), (SELECT item_id, count(*) AS score FROM rb WHERE rating >= 4 GROUP BY 1)"))
+def e13_popularity(spark, sf_dir):
+    return cold_report(spark, sf_dir, P.Popular())
+
+
+@query("e13_cold_content", cold_sql("content", "SELECT k, user_id, unit.item_id, sum(p.value * unit.value) AS score FROM p JOIN unit USING (feature) GROUP BY ALL", f"{models.TIER1}, {models.UNIT}, p0 AS (SELECT k, user_id, feature, sum(value) AS value FROM asked JOIN unit USING (item_id) GROUP BY ALL), p AS (SELECT k, user_id, feature, value / sqrt(sum(value * value) OVER (PARTITION BY k, user_id)) AS value FROM p0)", "items"))
+def e13_content(spark, sf_dir):
+    """New users scored by the mean vector of their picks: three numbers of picks, all
+    candidates and the tail, strata of history, all metrics with their intervals."""
+    return cold_report(spark, sf_dir, P.ByContent(normalized(content.tier_1(X.items(spark, sf_dir)), "item_id")))
+
+
+@query("e13_cold_item_cf", cold_sql("item_cf", "SELECT k, user_id, j AS item_id, sum(sim / k) AS score FROM asked JOIN near ON i = item_id WHERE sim > 0 GROUP BY ALL", f"liked AS (SELECT DISTINCT user_id, item_id FROM rb WHERE rating >= 4), {models.PAIRS}, {models.COUNTS}, {models.sims()}"))
+def e13_item_cf(spark, sf_dir):
+    return cold_report(spark, sf_dir, P.ByItems(20))
+
+
+@query("e13_cold_scores", cold_sql("mean_price", "SELECT DISTINCT k, user_id, item_id, score FROM (SELECT DISTINCT k, user_id FROM asked) JOIN (SELECT user_id, item_id, rating * ln(1 + price) AS score FROM rb JOIN items USING (item_id)) USING (user_id)", "", "items"))
+def e13_scores(spark, sf_dir):
+    """Scores that another system has computed: here each user's ratings, weighted by price."""
+    rows = X.ratings_b(spark, sf_dir).join(X.items(spark, sf_dir), "item_id").select("user_id", "item_id", (F.col("rating") * F.ln(1 + F.col("price"))).alias("score"))
+    return cold_report(spark, sf_dir, P.Given(rows, "mean_price"))
+
+
 @query("e15_cold_long_tail", f"{COLD}, head AS (SELECT item_id FROM rb GROUP BY 1 ORDER BY count(*) DESC, item_id LIMIT 20), tail AS (SELECT * FROM rel WHERE item_id NOT IN (SELECT item_id FROM head)), {lists_sql('lists', 'SELECT user_id, item_id, score FROM (SELECT DISTINCT user_id FROM tail), pop WHERE item_id NOT IN (SELECT item_id FROM head)')}, {metrics_sql('m', 'lists', 'tail')} SELECT count(*) AS n_users, {MEANS} FROM m")
 def e15(spark, sf_dir):
     lists, wanted = cold(spark, sf_dir, tail=True)
