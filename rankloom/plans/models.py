@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.ranking import exact_percentile, numbered, tie_hash, top_k
 from ..functions.vectors import cosine, dot
-from ..operators import content, hybrid, itemcf, popularity, stats
+from ..operators import content, hybrid, itemcf, popularity, similar, stats
 from ..sources import files
 from ..sources import fixtures as X
 from .registry import query
@@ -225,6 +225,14 @@ def m14(spark, sf_dir):
     return rows.select("item_id", F.round(cosine(F.col("x"), F.col("embedding")), 6).alias("similarity"))
 
 
+@query("m14_similar_all", X.with_("items", more=f"{TIER1}, {UNIT}, sums AS (SELECT a.item_id AS q, b.item_id, sum(a.value * b.value) AS s FROM unit a JOIN unit b USING (feature) WHERE a.item_id <> b.item_id GROUP BY 1, 2), known AS (SELECT DISTINCT item_id FROM unit)") + f"SELECT q, item_id, row_number() OVER (PARTITION BY q ORDER BY round(coalesce(s, 0), 9) DESC, {HASH}, item_id) AS rank, round(coalesce(s, 0), 6) AS similarity FROM (SELECT p.item_id AS q, r.item_id FROM known p, known r WHERE p.item_id <> r.item_id) LEFT JOIN sums USING (q, item_id) QUALIFY rank <= 80")
+def m14_all(spark, sf_dir):
+    """The eighty closest items of every item, by an inverted index with bounds."""
+    unit = _unit(spark, sf_dir)
+    out = similar.similar_items(unit.select(F.col("item_id").alias("q")).distinct(), unit, 80)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("q6_similar_top", X.with_("items", more=f"{TIER1}, {UNIT}") + "SELECT b.item_id, round(sum(a.value * b.value), 6) AS similarity FROM unit a JOIN unit b USING (feature) WHERE a.item_id = 42 AND b.item_id <> 42 GROUP BY 1 ORDER BY round(sum(a.value * b.value), 9) DESC, b.item_id LIMIT 20")
 def q6(spark, sf_dir):
     return content.similar_items(_unit(spark, sf_dir), 42, 20).withColumn("similarity", F.round("similarity", 6))
@@ -404,19 +412,28 @@ def a28(spark, sf_dir):
     return top.agg(*(F.round(F.avg(w * F.col(f"pct_{p}") / F.col("score")), 5).alias(p) for w, p in ((0.2, "content"), (0.7, "cf"), (0.1, "popularity"))), F.countDistinct("item_id").alias("n_items"))
 
 
-@query("q8_personalized_home", f"{RANKED}, pos AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {HASH}, item_id) AS place FROM blend QUALIFY place <= 10), enough AS (SELECT user_id FROM picks GROUP BY 1 HAVING count(*) >= 3), recent AS (SELECT user_id, item_id AS pick, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS nth FROM rb JOIN picks USING (user_id, item_id) QUALIFY nth <= 2), because AS (SELECT user_id, nth, j AS item_id, row_number() OVER (PARTITION BY user_id, nth ORDER BY round(sim, 9) DESC, j) AS place FROM recent JOIN near ON i = pick WHERE (user_id, j) NOT IN (SELECT (user_id, item_id) FROM picks) QUALIFY place <= 10) SELECT user_id, 'picked' AS row_name, place, item_id FROM pos WHERE user_id IN (SELECT user_id FROM enough) UNION ALL SELECT user_id, 'because_' || nth, place, item_id FROM because WHERE user_id IN (SELECT user_id FROM enough)")
+TARGET, POOL, CLOSE = 20, 100, 80  # places of a row, and how far its candidates go
+BECAUSE = f"shown AS (SELECT page_id AS item_id FROM pages WHERE url IS NOT NULL), sv AS (SELECT * FROM unit WHERE item_id IN (SELECT item_id FROM rb)), recent AS (SELECT user_id, item_id AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS nth FROM rb JOIN picks USING (user_id, item_id) SEMI JOIN sv USING (item_id) QUALIFY nth <= 2), sums AS (SELECT a.item_id AS q, b.item_id, sum(a.value * b.value) AS s FROM sv a JOIN sv b USING (feature) WHERE a.item_id <> b.item_id GROUP BY 1, 2), known AS (SELECT DISTINCT item_id FROM sv), sim AS (SELECT q, item_id, row_number() OVER (PARTITION BY q ORDER BY round(coalesce(s, 0), 9) DESC, {HASH}, item_id) AS close FROM (SELECT p.item_id AS q, r.item_id FROM known p, known r WHERE p.item_id <> r.item_id) LEFT JOIN sums USING (q, item_id) QUALIFY close <= {CLOSE}), because AS (SELECT user_id, nth, item_id, row_number() OVER (PARTITION BY user_id, nth ORDER BY close) AS place FROM recent JOIN sim USING (q) SEMI JOIN shown USING (item_id) ANTI JOIN picks USING (user_id, item_id) QUALIFY place <= {TARGET})"
+Q8 = f"{RANKED}, {BECAUSE}, wide AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {HASH}, item_id) AS r FROM blend QUALIFY r <= {POOL}), pos AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY r) AS place FROM wide SEMI JOIN shown USING (item_id) QUALIFY place <= {TARGET}), enough AS (SELECT user_id FROM picks GROUP BY 1 HAVING count(*) >= 3)"
+
+
+@query("q8_personalized_home", f"{Q8} SELECT user_id, 'picked' AS row_name, place, item_id FROM pos WHERE user_id IN (SELECT user_id FROM enough) UNION ALL SELECT user_id, 'because_' || nth, place, item_id FROM because WHERE user_id IN (SELECT user_id FROM enough)")
 def q8(spark, sf_dir):
-    """Users with three picks or more get a picked row, and a row because of each of their
-    two most recent picks."""
+    """Users with three picks or more get a picked row, from the hundred best, and a row because
+    of each of their two most recent picks, from the eighty items closest to it by content. Only
+    items with a picture are shown, nothing that was picked."""
     chosen, found = files.stored(picks(spark, sf_dir), "picks"), stored_near(spark, sf_dir)
+    pages = X.table(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("item_id")).distinct()
     enough = chosen.groupBy("user_id").agg(F.count("*").alias("k")).where("k >= 3").select("user_id")
-    picked = hybrid.ranked(blended(spark, sf_dir, found), 10).select("user_id", F.lit("picked").alias("row_name"), F.col("rank").alias("place"), "item_id")
-    dated = chosen.join(X.ratings_b(spark, sf_dir).select("user_id", "item_id", "ts"), ["user_id", "item_id"])
-    recent = top_k(dated, ["user_id"], [F.desc("ts"), F.col("item_id").asc()], 2, "nth").select("user_id", F.col("item_id").alias("i"), "nth")
-    rows = recent.join(found.drop("rank"), "i").withColumnRenamed("j", "item_id").join(chosen, ["user_id", "item_id"], "left_anti")
-    because = top_k(rows, ["user_id", "nth"], [F.desc(F.round("sim", 9)), F.col("item_id").asc()], 10, "place")
-    because = because.select("user_id", F.concat(F.lit("because_"), F.col("nth").cast("string")).alias("row_name"), "place", "item_id")
-    return picked.unionByName(because).join(enough, "user_id", "left_semi")
+    wide = hybrid.ranked(blended(spark, sf_dir, found), POOL).join(pages, "item_id", "left_semi").withColumnRenamed("rank", "r")
+    picked = top_k(wide, ["user_id"], [F.col("r").asc()], TARGET, "place").select("user_id", F.lit("picked").alias("row_name"), "place", "item_id")
+    served = files.stored(served_unit(spark, sf_dir), "served")
+    dated = chosen.join(X.ratings_b(spark, sf_dir).select("user_id", "item_id", "ts"), ["user_id", "item_id"]).join(served.select("item_id").distinct(), "item_id", "left_semi")
+    recent = top_k(dated, ["user_id"], [F.desc("ts"), F.col("item_id").asc()], 2, "nth").select("user_id", F.col("item_id").alias("q"), "nth")
+    close = similar.similar_items(recent.select("q").distinct(), served, CLOSE)
+    rows = similar.because(recent, close, chosen, pages, TARGET)
+    rows = rows.select("user_id", F.concat(F.lit("because_"), F.col("nth").cast("string")).alias("row_name"), "place", "item_id")
+    return picked.unionByName(rows).join(enough, "user_id", "left_semi")
 
 
 @query("snk4_serving_vectors", X.with_("items", more=f"{TIER1}, {UNIT}") + "SELECT item_id, count(*) AS n, round(sqrt(sum(value * value)), 6) AS norm FROM unit WHERE item_id % 10 <> 0 GROUP BY 1")
