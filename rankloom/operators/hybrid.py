@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import percentile_rank, tie_hash, top_k
+from ..functions.ranking import global_average_rank, numbered, percentile_rank, tie_hash, top_k
 from ..functions.vectors import every_pair
+from ..sources.files import stored
 
 # fixed values: weights (content, collaborative, popularity) by how many picks there are
 WEIGHTS = [(4, (0.0, 1.0, 0.0)), (7, (0.0, 1.0, 0.0)), (14, (0.0, 1.0, 0.0)), (None, (0.1, 0.9, 0.0))]
@@ -58,6 +59,47 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     return top_k(rows, ["user_id"], [F.desc("score"), tie_hash(F.col("item_id")).asc(), F.col("item_id").asc()], k)
 
 
+def best_blends(scores: dict[str, DataFrame], popularity: DataFrame, excluded: DataFrame, w: dict[str, float], k: int, round_to: int = 9) -> DataFrame:
+    """(user_id, item_id, rank, score, pct_<part>): the first k of what `ranked(blended(pool))` gives,
+    without the pool. scores has rows (user_id, item_id, score), none below zero, of each part but
+    popularity, which is (item_id, popularity) of every candidate; excluded (user_id, item_id)
+    names all users. Items that a part scores zero share one percentile, which their number
+    tells. The percentile of popularity in a user's pool is the rank among all candidates less the
+    excluded ones below. So only items with a positive part are scored, and, where fewer than k of
+    them beat whatever has none, the most popular others."""
+    catalogue = stored(global_average_rank(popularity.select("item_id", F.round(F.coalesce("popularity", F.lit(0.0)), round_to).alias("pop")), "pop", "r"), "catalogue")
+    n_all = catalogue.count()
+    known = excluded.select("user_id", "item_id").distinct().join(catalogue, "item_id", "left")
+    users = stored(known.groupBy("user_id").agg((n_all - F.count("pop")).alias("n"), F.collect_list("pop").alias("gone")), "users")
+    wide, zero = None, users
+    for part, rows in scores.items():
+        own = rows.select("user_id", "item_id", F.round("score", round_to).alias("score")).where("score > 0").join(catalogue.select("item_id"), "item_id", "left_semi").join(excluded.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        own = stored(sparse_percentiles(own, users.select("user_id", "n")).withColumnRenamed("pct", f"pct_{part}"), f"pct-{part}")
+        zeros = F.col("n") - F.coalesce("__n", F.lit(0))
+        zero = zero.join(own.groupBy("user_id").agg(F.count("*").alias("__n")), "user_id", "left").withColumn(f"zero_{part}", F.when(F.col("n") == 1, 1.0).otherwise((zeros - 1) / F.nullif(2 * (F.col("n") - 1), F.lit(0)))).drop("__n")
+        wide = own if wide is None else wide.join(own, ["user_id", "item_id"], "full")
+    zero = stored(zero, "zeros", instead_of=users)
+    placed = numbered(catalogue, [F.desc("pop"), tie_hash(F.col("item_id")).asc(), F.col("item_id").asc()], "i")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """Of (user_id, item_id, n, gone, pop, r and the percentiles that are known)."""
+        below = F.aggregate("gone", F.lit(0.0), lambda s, x: s + F.when(x < F.col("pop"), 1.0).when(x == F.col("pop"), 0.5).otherwise(0.0))
+        rows = rows.withColumn("pct_popularity", F.when(F.col("n") == 1, 1.0).otherwise((F.col("r") - below - 1) / F.nullif(F.col("n") - 1, F.lit(0))))
+        rows = rows.withColumns({f"pct_{part}": F.coalesce(f"pct_{part}", f"zero_{part}") for part in scores})
+        total = sum(F.lit(float(x)) * F.col(f"pct_{part}") for part, x in w.items())
+        return rows.select("user_id", "item_id", *(f"pct_{part}" for part in (*scores, "popularity")), F.round(total, round_to).alias("score"))
+
+    rows = stored(scored(wide.join(zero, "user_id").join(catalogue, "item_id")), "scored")
+    ceiling = F.round(sum(F.lit(float(w[part])) * F.col(f"zero_{part}") for part in scores) + float(w["popularity"]), round_to)
+    held = rows.join(zero.select("user_id", ceiling.alias("ceiling")), "user_id").groupBy("user_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") > F.col("ceiling")).alias("above"))
+    few = zero.join(held, "user_id", "left").where(F.coalesce("above", F.lit(0)) < k)
+    reach = F.least(F.lit(n_all).cast("long"), F.size("gone") + F.coalesce("n_rows", F.lit(0)) + k)
+    rest = few.where(F.lit(n_all > 0)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), reach - 1))).join(placed, "i")
+    rest = rest.join(excluded.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(rows.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    rest = scored(rest.withColumns({f"pct_{part}": F.lit(None).cast("double") for part in scores}))
+    return ranked(rows.unionByName(rest), k)
+
+
 def match_percent(pct: Column) -> Column:
     return F.least(F.lit(100), F.greatest(F.lit(0), F.rint(pct * 100))).cast("long")
 

@@ -298,6 +298,14 @@ def blended(spark, sf_dir, found=None):
     return hybrid.blended(parts(spark, sf_dir, found), [0.2, 0.7, 0.1])
 
 
+def listed(spark, sf_dir, k: int, found=None):
+    """The first k of the blend for each user, without a pool."""
+    rated, chosen = X.ratings_b(spark, sf_dir), files.stored(picks(spark, sf_dir), "picks")
+    scores = {"content": content_scores(chosen, served_unit(spark, sf_dir)).withColumnRenamed("content", "score"), "cf": itemcf.cold_scores(chosen, near(spark, sf_dir) if found is None else found)}
+    pop = rated.groupBy("item_id").agg(F.count_if(F.col("rating") >= stats.POSITIVE).cast("double").alias("popularity"))
+    return hybrid.best_blends(scores, pop, chosen, {"content": 0.2, "cf": 0.7, "popularity": 0.1}, k)
+
+
 @query("j9_user_item_pool", X.with_("rb", more=f"{PICKS}") + "SELECT user_id, item_id FROM (SELECT * FROM (SELECT DISTINCT user_id FROM picks), (SELECT DISTINCT item_id FROM rb)) ANTI JOIN picks USING (user_id, item_id)")
 def j9(spark, sf_dir):
     chosen = picks(spark, sf_dir)
@@ -332,7 +340,7 @@ def m12(spark, sf_dir):
 
 @query("m13_serving_top", f"{RANKED} SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {HASH}, item_id) AS rank, round(score, 6) AS score FROM blend QUALIFY rank <= 10")
 def m13(spark, sf_dir):
-    return hybrid.ranked(blended(spark, sf_dir), 10).select("user_id", "item_id", "rank", F.round("score", 6).alias("score"))
+    return listed(spark, sf_dir, 10).select("user_id", "item_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("sc21_match_percent", f"{RANKED}, f AS (SELECT *, {_pct('score')} AS pct FROM blend) SELECT user_id, item_id, CAST(greatest(0, least(100, round_even(round(pct * 100, 6), 0))) AS BIGINT) AS match_percent FROM f")
@@ -342,21 +350,21 @@ def sc21(spark, sf_dir):
 
 @query("sc22_component_shares", f"{RANKED} SELECT user_id, item_id, round(0.2 * pct_content / (0.2 * pct_content + 0.7 * pct_cf + 0.1 * pct_popularity), 6) AS share_content, round(0.7 * pct_cf / (0.2 * pct_content + 0.7 * pct_cf + 0.1 * pct_popularity), 6) AS share_cf FROM top WHERE score > 0")
 def sc22(spark, sf_dir):
-    top = hybrid.ranked(blended(spark, sf_dir), 10).where("score > 0")
+    top = listed(spark, sf_dir, 10).where("score > 0")
     own = top.select("user_id", "item_id", (0.2 * F.col("pct_content")).alias("content"), (0.7 * F.col("pct_cf")).alias("cf"), (0.1 * F.col("pct_popularity")).alias("popularity"))
     return hybrid.component_shares(own).select("user_id", "item_id", F.round("share_content", 6).alias("share_content"), F.round("share_cf", 6).alias("share_cf"))
 
 
 @query("w13_nearest_pick", f"{RANKED} SELECT user_id, item_id, arg_max(pick, (round(s, 9), -pick)) AS pick, round(arg_max(s, (round(s, 9), -pick)), 6) AS similarity FROM (SELECT top.user_id, top.item_id, picks.item_id AS pick, sum(a.value * b.value) AS s FROM top JOIN picks USING (user_id) JOIN unit a ON a.item_id = picks.item_id JOIN unit b ON b.item_id = top.item_id AND a.feature = b.feature GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def w13(spark, sf_dir):
-    out = content.nearest_pick(hybrid.ranked(blended(spark, sf_dir), 10), picks(spark, sf_dir), _unit(spark, sf_dir))
+    out = content.nearest_pick(listed(spark, sf_dir, 10), picks(spark, sf_dir), _unit(spark, sf_dir))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("m10_content_explanation", f"{RANKED}, {_profile_sql('pos_mean')}, c AS (SELECT top.user_id, top.item_id, unit.feature, prof.value * unit.value AS contribution FROM top JOIN unit USING (item_id) JOIN prof ON prof.user_id = top.user_id AND prof.feature = unit.feature), t AS (SELECT *, sum(contribution) OVER (PARTITION BY user_id, item_id) AS total FROM c) SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(contribution, 9) DESC, feature) AS rank, feature, round(contribution, 6) AS contribution, round(contribution / total * 100, 4) AS percent FROM t WHERE contribution > 1e-7 QUALIFY rank <= 3")
 def m10(spark, sf_dir):
     """Why each user is shown each of their ten items."""
-    out = content.explained(profile(spark, sf_dir), _unit(spark, sf_dir), shown=hybrid.ranked(blended(spark, sf_dir), 10))
+    out = content.explained(profile(spark, sf_dir), _unit(spark, sf_dir), shown=listed(spark, sf_dir, 10))
     return out.withColumns({"contribution": F.round("contribution", 6), "percent": F.round("percent", 4)})
 
 
@@ -379,7 +387,7 @@ def evidence(spark, sf_dir):
     """What speaks for each of the ten items of a user: the closest pick, the shared genres and
     tags among the three features that add most, and the pick whose viewers liked it too."""
     found, chosen = stored_near(spark, sf_dir), picks(spark, sf_dir)
-    top = files.stored(hybrid.ranked(blended(spark, sf_dir, found), 10), "top")
+    top = files.stored(listed(spark, sf_dir, 10, found), "top")
     shown = top.select("user_id", "item_id")
     wanted = shown.select("item_id").union(chosen.select("item_id")).distinct()
     tags = content.tf_idf(X.item_docs(spark, sf_dir), X.items(spark, sf_dir))
@@ -408,7 +416,7 @@ def sc27(spark, sf_dir):
 
 @query("a28_personalization_report", f"{RANKED} SELECT round(avg(0.2 * pct_content / score), 5) AS content, round(avg(0.7 * pct_cf / score), 5) AS cf, round(avg(0.1 * pct_popularity / score), 5) AS popularity, count(DISTINCT item_id) AS n_items FROM top WHERE score > 0")
 def a28(spark, sf_dir):
-    top = hybrid.ranked(blended(spark, sf_dir), 10).where("score > 0")
+    top = listed(spark, sf_dir, 10).where("score > 0")
     return top.agg(*(F.round(F.avg(w * F.col(f"pct_{p}") / F.col("score")), 5).alias(p) for w, p in ((0.2, "content"), (0.7, "cf"), (0.1, "popularity"))), F.countDistinct("item_id").alias("n_items"))
 
 
@@ -425,7 +433,7 @@ def q8(spark, sf_dir):
     chosen, found = files.stored(picks(spark, sf_dir), "picks"), stored_near(spark, sf_dir)
     pages = X.table(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.col("page_id").alias("item_id")).distinct()
     enough = chosen.groupBy("user_id").agg(F.count("*").alias("k")).where("k >= 3").select("user_id")
-    wide = hybrid.ranked(blended(spark, sf_dir, found), POOL).join(pages, "item_id", "left_semi").withColumnRenamed("rank", "r")
+    wide = listed(spark, sf_dir, POOL, found).join(pages, "item_id", "left_semi").withColumnRenamed("rank", "r")
     picked = top_k(wide, ["user_id"], [F.col("r").asc()], TARGET, "place").select("user_id", F.lit("picked").alias("row_name"), "place", "item_id")
     served = files.stored(served_unit(spark, sf_dir), "served")
     dated = chosen.join(X.ratings_b(spark, sf_dir).select("user_id", "item_id", "ts"), ["user_id", "item_id"]).join(served.select("item_id").distinct(), "item_id", "left_semi")

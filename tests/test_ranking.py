@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranking as R
@@ -144,3 +147,23 @@ def test_adoption_rule(spark):
     assert rule(good) == (True, False, True)
     assert rule([*good[:2], (5, 0, -0.1, -0.2, -0.05), *good[3:]]) == (True, True, False)
     assert rule([(k, t, 0.01, -0.01, 0.03) for k, t, *_ in good]) == (False, False, False)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.9])
+def test_best_blends_equal_the_pool(spark, share):
+    draw = random.Random(share)
+    users, items, k = range(12), range(60), 9
+    popularity = spark.createDataFrame([(i, float(draw.choice([0, 0, 1, 2, 5, 9]))) for i in items], "item_id long, popularity double")
+    excluded = spark.createDataFrame([(u, i) for u in users for i in draw.sample(items, 58 if u == 3 else 59 if u == 4 else 5)] + [(0, 900)], "user_id long, item_id long")
+    rows = lambda: spark.createDataFrame([(u, i, float(draw.choice([0.0, 0.25, 0.5, 0.75]))) for u in users for i in items if draw.random() < share], "user_id long, item_id long, score double")
+    scores, w = {"content": rows(), "cf": rows()}, {"content": 0.2, "cf": 0.7, "popularity": 0.1}
+    pool = hybrid.pool(excluded.select("user_id").distinct(), popularity, excluded)
+    for part, own in scores.items():
+        pool = pool.join(own.withColumnRenamed("score", part), ["user_id", "item_id"], "left")
+    pool = pool.join(popularity, "item_id").fillna(0.0, list(scores))
+    want = {(r["user_id"], r["rank"]): r for r in hybrid.ranked(hybrid.blended(pool, list(w.values())), k).collect()}
+    got = {(r["user_id"], r["rank"]): r for r in hybrid.best_blends(scores, popularity, excluded, w, k).collect()}
+    assert set(got) == set(want)
+    for x, r in want.items():
+        assert got[x]["item_id"] == r["item_id"] and got[x]["score"] == pytest.approx(r["score"])
+        assert all(got[x][f"pct_{p}"] == pytest.approx(r[f"pct_{p}"]) for p in w)
