@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,17 @@ def fold(text: Column) -> Column:
     return F.collate(F.lower(text), "UNICODE_CI_AI")
 
 
+def folded(text: Column) -> Column:
+    """Lower case, compatibility forms taken apart, accents dropped: the stored text that searches
+    look into. Spark has no such function, so an Arrow-batched one calls Python's."""
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        apart = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
+        return texts.map(lambda x: x if x is None else x.lower() if x.isascii() else apart(x))
+
+    return plain(text)
+
+
 def clean_tag(tag: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(tag, F.lit(""))), r"(?U)[^\w\s-]", ""))
 

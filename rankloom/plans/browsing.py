@@ -107,6 +107,17 @@ def f14(spark, sf_dir):
     return one.select(F.posexplode(C.id_list(F.col("ids"))).alias("pos", "item_id")).select((F.col("pos") + 1).alias("pos"), "item_id")
 
 
+ASKED = "CASE WHEN l_linenumber % 4 = 0 THEN 'x' || l_partkey WHEN l_linenumber % 3 = 0 THEN '-' || l_partkey ELSE CAST(l_partkey % 20 AS VARCHAR) END"
+
+
+@query("f14_asked_ids", "WITH t AS (SELECT l_orderkey AS request, l_linenumber AS n, l_partkey % 20 AS id FROM lineitem WHERE l_linenumber % 4 <> 0 AND l_linenumber % 3 <> 0), f AS (SELECT request, id, min(n) AS n FROM t WHERE id > 0 GROUP BY 1, 2) SELECT request, row_number() OVER (PARTITION BY request ORDER BY n, CAST(id AS VARCHAR)) AS pos, id AS item_id FROM f")
+def f14_asked(spark, sf_dir):
+    """The id lists of many requests, an order each: its lines are the list, some of them no ids."""
+    own = X.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("request")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.expr(ASKED.replace("VARCHAR", "STRING")).alias("id")))).alias("ids"))
+    text = F.array_join(F.transform("ids", lambda x: x["id"]), ",")
+    return own.select("request", F.posexplode(C.id_list(text)).alias("pos", "item_id")).select("request", (F.col("pos") + 1).cast("long").alias("pos"), "item_id")
+
+
 @query("f15_liked_ids", X.with_("items") + "SELECT pos, a.item_id, items.item_id IS NOT NULL AS valid FROM (SELECT unnest([0, 1, 2, 3]) AS pos, unnest([5, 999999999, 12, 7]) AS item_id) a LEFT JOIN items USING (item_id)")
 def f15(spark, sf_dir):
     return C.liked_ids(X.items(spark, sf_dir), [5, 999999999, 12, 5, 7]).select(F.col("pos").cast("int").alias("pos"), F.col("item_id"), "valid")

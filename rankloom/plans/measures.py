@@ -89,13 +89,13 @@ def k1(spark, sf_dir):
     return pop_lists(spark, sf_dir)
 
 
-@query("k2_clamped_top_k", f"{BASE}, p AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, {HASH}, item_id) AS rank FROM pop) SELECT item_id, rank FROM p WHERE rank <= 1000000")
+@query("k2_clamped_top_k", f"{BASE}, p AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, {HASH}, item_id) AS rank FROM pop) SELECT item_id, rank FROM p")
 def k2(spark, sf_dir):
     train, _ = parts(spark, sf_dir)
     from ..functions.ranking import numbered
 
     own = numbered(popularity.popularity(train), [F.desc("score"), tie_hash(F.col("item_id")).asc(), F.col("item_id").asc()], "rank")
-    return own.select("item_id", (F.col("rank") + 1).alias("rank")).where("rank <= 1000000")
+    return own.select("item_id", (F.col("rank") + 1).alias("rank"))
 
 
 @query("k11_head_items", X.with_("rb", more=SPLIT) + "SELECT item_id, count(*) AS n FROM train GROUP BY 1 ORDER BY n DESC, item_id LIMIT 20")

@@ -209,17 +209,63 @@ def a12(spark, sf_dir):
     return stats.checks(X.ratings_b(spark, sf_dir), known, links=X.items(spark, sf_dir))
 
 
+VALID = X.with_("rb", "items", more=f"{TAGS}, links AS (SELECT page_id AS item_id, CASE WHEN length(url) % 4 <> 0 THEN page_id END AS tmdb_id FROM pages), scores AS (SELECT vec_id AS item_id, unnest(range(8)) AS tag_id FROM embeddings), v AS (SELECT 'users' AS \"check\", count(DISTINCT user_id) AS value, NULL AS part, NULL AS lo, NULL AS hi FROM rb")
+VALID = VALID.rstrip() + "".join(
+    f" UNION ALL SELECT {row}"
+    for row in (
+        "'rated_items', count(DISTINCT item_id), NULL, NULL, NULL FROM rb",
+        *(f"'n_{t}', count(*), NULL, NULL, NULL FROM {name}" for t, name in (("ratings", "rb"), ("items", "items"), ("tags", "tags"), ("links", "links"), ("scores", "scores"))),
+        "'rating_low', min(rating), NULL, 0.5, 1e18 FROM rb",
+        "'rating_high', max(rating), NULL, -1e18, 5 FROM rb",
+        "'time_first', min(ts), NULL, 780000000000000, 1e18 FROM rb",
+        "'time_last', max(ts), NULL, -1e18, 4102444800000000 FROM rb",
+        "'duplicate_ratings', count(*) - count(DISTINCT (user_id, item_id)), NULL, 0, 0 FROM rb",
+        "'duplicate_items', count(*) - count(DISTINCT item_id), NULL, 0, 0 FROM items",
+        "'year_failures', count(*) FILTER (year IS NULL), 100 * count(*) FILTER (year IS NULL) / count(*), NULL, NULL FROM items",
+        "'no_genres', count(*) FILTER (len(genres) = 0), 100 * count(*) FILTER (len(genres) = 0) / count(*), NULL, NULL FROM items",
+        *(f"'{c}', count(DISTINCT item_id), NULL, 0, 0 FROM {t} ANTI JOIN items USING (item_id)" for c, t in (("orphan_rated_items", "rb"), ("orphan_links", "links"), ("orphan_tags", "tags"), ("orphan_score_items", "scores"))),
+        "'missing_external', count(*) FILTER (tmdb_id IS NULL), 100 * count(*) FILTER (tmdb_id IS NULL) / count(*), NULL, NULL FROM links",
+        "'unique_tags', count(DISTINCT tag), NULL, NULL, NULL FROM tags",
+        "'items_with_scores', count(DISTINCT item_id), 100 * count(DISTINCT item_id) / (SELECT count(*) FROM items), NULL, NULL FROM scores",
+        "'orphan_score_tags', count(DISTINCT tag_id), NULL, 0, 0 FROM scores WHERE tag_id NOT IN (SELECT r_regionkey FROM region)",
+    )
+)
+
+
+@query("a12_validation", VALID + ') SELECT "check", CAST(value AS DOUBLE) AS value, round(part, 2) AS percent, value BETWEEN lo AND hi AS valid FROM v')
+def a12_validation(spark, sf_dir):
+    """Every check of a data set of six tables, each table scanned once."""
+    pages = X.table(spark, sf_dir, "pages")
+    own = pages.select(F.col("page_id").alias("item_id"), F.when(F.length("url") % 4 != 0, F.col("page_id")).alias("tmdb_id"))
+    scores = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("tag_id"))
+    known = X.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("tag_id"))
+    return stats.validation(X.ratings_b(spark, sf_dir), X.items(spark, sf_dir), tags(spark, sf_dir), own, scores, known, since=780_000_000 * 10**6, until=4_102_444_800 * 10**6)
+
+
+@query("a10_span_summary", f"{RA}, s AS (SELECT (max(ts) - min(ts)) / 86400.0 AS d FROM ra GROUP BY user_id) SELECT count(*) AS n_users, round(avg(CASE WHEN d < 1 THEN 1.0 ELSE 0.0 END), 6) AS under_a_day, round(median(d), 6) AS median_days FROM s".replace("WITH ra", "WITH ra").replace(") , s AS", "), s AS"))
+def a10_summary(spark, sf_dir):
+    return stats.span_summary(X.ratings_a(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("under_a_day", "median_days")})
+
+
+GRID_USERS, GRID_ITEMS, UNROLLED = (20, 50, 100), (5, 20, 50), 24
+
+
 def _grid_sql() -> str:
-    rows = []
-    for least in (10, 20):
-        rows.append(f"SELECT * FROM (WITH ra AS ({X.CTE['ra'][7:-1]}), {core_sql(least, 6)} SELECT {least} AS min_user, {least} AS min_item, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_ratings FROM c5)")
-    return " UNION ALL ".join(rows)
+    """All settings in one table, pass by pass; a pass that changes nothing is the last."""
+    pairs = ", ".join(f"({n}, {u}, {i})" for n, (u, i) in enumerate((u, i) for u in GRID_USERS for i in GRID_ITEMS))
+    steps = ["c0 AS MATERIALIZED (SELECT s, mu, mi, user_id, item_id FROM ra, st)"]
+    for n in range(1, UNROLLED + 1):
+        steps += [f"u{n} AS (SELECT * FROM c{n - 1} QUALIFY count(*) OVER (PARTITION BY s, user_id) >= mu)", f"c{n} AS MATERIALIZED (SELECT * FROM u{n} QUALIFY count(*) OVER (PARTITION BY s, item_id) >= mi)"]
+    sizes = " UNION ALL ".join(f"SELECT s, {n} AS p, count(*) AS n FROM c{n} GROUP BY s" for n in range(UNROLLED + 1))
+    last = f"c{UNROLLED}"
+    return X.with_("ra", more=f"st(s, mu, mi) AS (VALUES {pairs}), {', '.join(steps)}, sizes AS (SELECT st.s, p, coalesce(n, 0) AS n FROM st CROSS JOIN (SELECT unnest(range({UNROLLED + 1})) AS p) LEFT JOIN ({sizes}) USING (s, p)), done AS (SELECT s, min(p) AS passes FROM (SELECT s, p, n = lag(n) OVER (PARTITION BY s ORDER BY p) AS same FROM sizes) WHERE same GROUP BY 1), k AS (SELECT s, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_ratings FROM {last} GROUP BY 1)") + "SELECT mu AS min_user, mi AS min_item, coalesce(n_users, 0) AS n_users, coalesce(n_items, 0) AS n_items, coalesce(n_ratings, 0) AS n_ratings, round(coalesce(n_ratings / (CAST(n_users AS DOUBLE) * n_items), 0), 6) AS density, round(1 - coalesce(n_ratings / (CAST(n_users AS DOUBLE) * n_items), 0), 6) AS sparsity, CAST(passes AS INT) AS passes FROM st LEFT JOIN k USING (s) LEFT JOIN done USING (s)"
 
 
 @query("a13_threshold_grid", _grid_sql())
 def a13(spark, sf_dir):
-    rated = X.ratings_a(spark, sf_dir)
-    return kcore.threshold_grid(rated, (10,), (10,)).unionByName(kcore.threshold_grid(rated, (20,), (20,))).drop("passes")
+    """Nine pairs of thresholds at once."""
+    out = kcore.threshold_grid(X.ratings_a(spark, sf_dir), GRID_USERS, GRID_ITEMS)
+    return out.withColumns({"density": F.round("density", 6), "sparsity": F.round("sparsity", 6)})
 
 
 @query("a22_content_hash", X.with_("items") + "SELECT count(*) AS n_rows, CAST(coalesce(sum(CAST('0x' || substr(sha256(concat_ws(',', CAST(item_id AS VARCHAR), coalesce(kind, ''), coalesce(CAST(price AS VARCHAR), ''), coalesce(title, ''), coalesce(CAST(year AS VARCHAR), ''))), 1, 12) AS BIGINT)) % 1000000007, 0) AS BIGINT) AS content_hash FROM items")
@@ -369,6 +415,22 @@ def sc5(spark, sf_dir):
     return titles(spark).select("n", *(F.contains(folded, F.collate(F.lit(w), "UNICODE_CI_AI")).alias(w) for w in ("zoe", "etoiles")))
 
 
+@query("sc3_title_failures", f"WITH t AS (SELECT p_partkey AS item_id, {MADE} AS raw FROM part), bad AS (SELECT *, row_number() OVER (ORDER BY item_id) AS nth FROM t WHERE NOT regexp_matches(raw, '\\(\\d{{4}}\\)\\s*$')) SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM bad) AS failures, string_agg(raw, '; ' ORDER BY nth) AS first FROM bad WHERE nth <= 15")
+def sc3_titles(spark, sf_dir):
+    """How many titles of the catalogue have no year, and the first fifteen of them."""
+    rows = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.expr(MADE).alias("raw"))
+    bad = rows.where(T.title_year(F.col("raw")).isNull())
+    first = bad.orderBy("item_id").limit(15).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "raw"))), lambda x: x["raw"]), "; ").alias("first"))
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(T.title_year(F.col("raw")).isNull()).alias("failures"))
+    return counts.join(F.broadcast(first), F.lit(True))  # one row each
+
+
+@query("sc5_folded_titles", "SELECT p_partkey AS item_id, strip_accents(lower('Été ' || replace(replace(p_name, 'a', 'Á'), 'o', 'ö'))) AS folded FROM part")
+def sc5_titles(spark, sf_dir):
+    """The stored search text of every title, here with accents put in."""
+    return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), T.folded(F.concat(F.lit("Été "), F.replace(F.replace("p_name", F.lit("a"), F.lit("Á")), F.lit("o"), F.lit("ö")))).alias("folded"))
+
+
 @query("sc6_clean_tag", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\\pL\\pM\\p{Nd}\\p{Pc}\\s-]', '', 'g'))) AS cleaned FROM documents")
 def sc6(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_tag(F.col("text")).cast("binary")).alias("cleaned"))
@@ -416,6 +478,18 @@ def sc19(spark, sf_dir):
     return raw.select(T.feature_type(F.col("raw")).alias("kind"), T.feature_name(F.col("raw")).alias("name"))
 
 
+FEATURES = "f AS (SELECT 'genre:' || unnest(string_split(p_name, ' ')) AS raw FROM part UNION ALL SELECT 'tag:' || p_type FROM part UNION ALL SELECT 'genome:' || event_type FROM events UNION ALL SELECT CASE WHEN p_size % 17 <> 0 THEN 'year_norm' ELSE 'year_missing' END FROM part)"
+
+
+@query("sc19_feature_labels", f"WITH {FEATURES} SELECT CASE WHEN raw LIKE 'genre:%' THEN 'genre' WHEN raw LIKE 'year%' THEN 'release_era' WHEN raw LIKE 'genome:%' THEN 'genome_tag' ELSE 'tag' END AS kind, regexp_replace(raw, '^(genre|genome|tag):', '') AS name, count(*) AS n FROM f GROUP BY 1, 2")
+def sc19_labels(spark, sf_dir):
+    """Kind and shown name of every feature of the catalogue, and how often it occurs."""
+    part, events = X.table(spark, sf_dir, "part"), X.table(spark, sf_dir, "events")
+    raw = part.select(F.explode(F.transform(F.split("p_name", " "), lambda g: F.concat(F.lit("genre:"), g))).alias("raw"))
+    raw = raw.union(part.select(F.concat(F.lit("tag:"), "p_type"))).union(events.select(F.concat(F.lit("genome:"), "event_type"))).union(part.select(F.when(F.col("p_size") % 17 != 0, "year_norm").otherwise("year_missing")))
+    return raw.groupBy(T.feature_type(F.col("raw")).alias("kind"), T.feature_name(F.col("raw")).alias("name")).agg(F.count("*").alias("n"))
+
+
 @query("sc26_iso_times", f"{RA} SELECT strftime(to_timestamp(min(ts)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS first, strftime(to_timestamp(max(ts)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS last FROM ra")
 def sc26(spark, sf_dir):
     return X.ratings_a(spark, sf_dir).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(T.iso_seconds(F.col("a")).alias("first"), T.iso_seconds(F.col("b")).alias("last"))

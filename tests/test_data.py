@@ -1,7 +1,12 @@
+import random
+import unicodedata
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import content, itemcf, kcore, popularity, split
+from rankloom.functions import text
+from rankloom.operators import content, itemcf, kcore, popularity, split, stats
 from rankloom.schema import DatasetConfig, config
 from rankloom.sources import files
 
@@ -111,3 +116,45 @@ def test_sampling_is_fixed(spark):
     users = spark.range(1000).select(F.col("id").alias("user_id"))
     parts = {r["part"]: r["count"] for r in split.cold_partition(users.limit(501)).groupBy("part").count().collect()}
     assert parts == {"dev": 250, "final": 251}
+
+
+def test_cores_of_many_settings(spark):
+    """Users, items, ratings and passes under each pair of thresholds, by hand; rows may repeat."""
+    draw = random.Random(19)
+    rows = [(int(draw.paretovariate(0.7)) % 40, int(draw.paretovariate(0.6)) % 50, 4.0, n) for n in range(700)]
+    got = {(r["min_user"], r["min_item"]): r for r in kcore.threshold_grid(spark.createDataFrame(rows, RATINGS), (1, 4, 9, 500), (1, 5, 11)).collect()}
+    assert len(got) == 12
+    for (u, i), r in got.items():
+        own, passes = rows, 0
+        while True:
+            before, passes = len(own), passes + 1
+            for place, least in ((0, u), (1, i)):
+                counts = Counter(x[place] for x in own)
+                own = [x for x in own if counts[x[place]] >= least]
+            if len(own) == before:
+                break
+        n_users, n_items = len({x[0] for x in own}), len({x[1] for x in own})
+        assert (r["n_users"], r["n_items"], r["n_ratings"], r["passes"]) == (n_users, n_items, len(own), passes)
+        assert r["density"] == pytest.approx(len(own) / (n_users * n_items) if own else 0) and r["sparsity"] == pytest.approx(1 - r["density"])
+
+
+def test_validation_of_bad_tables(spark):
+    ratings = spark.createDataFrame([(1, 10, 4.0, 800000000), (1, 10, 9.0, 800000001), (2, 99, 0.0, 5)], RATINGS)
+    items = spark.createDataFrame([(10, 1990, ["a"]), (10, None, []), (11, 2000, None)], "item_id long, year int, genres array<string>")
+    tags = spark.createDataFrame([(1, 10, "x"), (1, 98, "y"), (2, 98, "y")], "user_id long, item_id long, tag string")
+    links = spark.createDataFrame([(10, 5), (97, None)], "item_id long, tmdb_id long")
+    scores = spark.createDataFrame([(10, 1), (96, 2), (95, 2)], "item_id long, tag_id long")
+    got = {r["check"]: (r["value"], r["percent"], r["valid"]) for r in stats.validation(ratings, items, tags, links, scores, spark.createDataFrame([(1,)], "tag_id long")).collect()}
+    assert got["rating_low"] == (0.0, None, False) and got["rating_high"] == (9.0, None, False) and got["time_first"] == (5.0, None, False) and got["time_last"][2]
+    assert got["duplicate_ratings"] == (1.0, None, False) and got["duplicate_items"] == (1.0, None, False) and got["orphan_rated_items"] == (1.0, None, False)
+    assert got["year_failures"] == (1.0, 33.33, None) and got["no_genres"] == (2.0, 66.67, None)
+    assert got["orphan_tags"] == (1.0, None, False) and got["unique_tags"][0] == 2 and got["orphan_links"][0] == 1 and got["missing_external"] == (1.0, 50.0, None)
+    assert got["items_with_scores"][0] == 3 and got["orphan_score_items"][0] == 2 and got["orphan_score_tags"] == (1.0, None, False)
+    few = {r["check"]: r["valid"] for r in stats.validation(ratings.limit(0), items.limit(0)).collect()}
+    assert few["duplicate_ratings"] and few["orphan_rated_items"] and "rating_low" not in few
+
+
+def test_folded_text(spark):
+    rows = [("Été à la Plage",), ("ﬁn ½ Ⅳ ÅNGSTRÖM",), ("plain",), (None,), ("",), ("한글 ́",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.folded(F.col("t"))).collect()]
+    assert got == ["ete a la plage", "fin 1⁄2 iv angstrom", "plain", None, "", unicodedata.normalize("NFKD", "한글 ")]
