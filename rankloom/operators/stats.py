@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_average_rank
@@ -80,46 +80,42 @@ def checks(ratings: DataFrame, items: DataFrame, tags: DataFrame | None = None,
 
 def validation(ratings: DataFrame, items: DataFrame, tags: DataFrame | None = None, links: DataFrame | None = None, scores: DataFrame | None = None, score_tags: DataFrame | None = None, since: float = 780_000_000, until: float = 4_102_444_800, low: float = 0.5, high: float = 5.0) -> DataFrame:
     """One row for each check of a data set: value, percent (of the items, or links) and valid, null
-    where there is nothing to judge. Each table is scanned once: ranges and counts are observed
-    while it is grouped by its keys, and the grouped keys of all tables meet in one table
-    of items, which tells what is missing where."""
-    seen = {name: Observation(name) for name in ("ratings", "items", "tags", "links", "scores")}
-    count = F.count(F.lit(1)).alias("n")
-
-    def watched(name: str, df: DataFrame, *more: Column) -> DataFrame:
-        return df.observe(seen[name], count, *more)
-
-    own = watched("ratings", ratings, F.min("rating").alias("low"), F.max("rating").alias("high"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    pairs = stored(own.groupBy("user_id", "item_id").agg(count), "pairs")
-    sources = {"ratings": pairs, "items": watched("items", items, F.count_if(F.col("year").isNull()).alias("no_year"), F.count_if(F.coalesce(F.size("genres"), F.lit(0)) <= 0).alias("no_genres"))}
+    where there is nothing to judge. Each table is scanned once, while it is grouped by its
+    keys; the grouped keys of all tables, with what was counted on the way, meet in one table of
+    items, which tells what is missing where."""
+    pairs = stored(ratings.groupBy("user_id", "item_id").agg(F.count("*").alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"), F.min("ts").alias("first"), F.max("ts").alias("last")), "pairs")
+    one, none_ = F.lit(1).cast("long"), F.lit(0).cast("long")
+    flag = lambda test: F.coalesce(test, F.lit(False)).cast("long")
+    sources = {"ratings": (pairs, F.col("n"), none_, none_), "items": (items, one, flag(F.col("year").isNull()), flag(F.coalesce(F.size("genres"), F.lit(0)) <= 0))}
     if tags is not None:
-        sources["tags"] = stored(watched("tags", tags).groupBy("item_id", "tag").agg(count), "labels")
+        sources["tags"] = (stored(tags.groupBy("item_id", "tag").agg(F.count("*").alias("n")), "labels"), F.col("n"), none_, none_)
     if links is not None:
-        sources["links"] = watched("links", links, F.count_if(F.col("tmdb_id").isNull()).alias("missing"))
+        sources["links"] = (links, one, flag(F.col("tmdb_id").isNull()), none_)
     if scores is not None:
-        sources["scores"] = stored(watched("scores", scores).groupBy("item_id", "tag_id").agg(count), "marks")
-    keys = reduce(DataFrame.unionByName, (df.select("item_id", F.lit(name).alias("source")) for name, df in sources.items()))
-    keys = stored(keys.groupBy("item_id").agg(*(F.count_if(F.col("source") == name).alias(name) for name in sources)), "keys")
-    orphans = [F.count_if((F.col(name) > 0) & (F.col("items") == 0)).alias(name) for name in sources if name != "items"]
-    found = keys.agg(F.sum(F.greatest(F.col("items") - 1, F.lit(0))).alias("twice"), F.count_if(F.col("ratings") > 0).alias("rated"), *([F.count_if(F.col("scores") > 0).alias("scored")] if scores is not None else []), *orphans).first()
-    people = pairs.agg(F.countDistinct("user_id").alias("users"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus")).first()
-    got = {name: seen[name].get for name in sources}
+        sources["scores"] = (stored(scores.groupBy("item_id", "tag_id").agg(F.count("*").alias("n")), "marks"), F.col("n"), none_, none_)
+    keys = reduce(DataFrame.unionByName, (df.select("item_id", F.lit(name).alias("source"), *(x.alias(c) for c, x in zip("nab", more, strict=True))) for name, (df, *more) in sources.items()))
+    of = lambda name, column="n": F.sum(F.when(F.col("source") == name, F.col(column)).otherwise(none_))
+    keys = stored(keys.groupBy("item_id").agg(*(of(name).alias(name) for name in sources), of("items", "a").alias("no_year"), of("items", "b").alias("no_genres"), of("links", "a").alias("missing")), "keys")
+    total = lambda x: F.coalesce(F.sum(x), none_)
+    orphans = [F.count_if((F.col(name) > 0) & (F.col("items") == 0)).alias(f"orphan_{name}") for name in sources]
+    present = [F.count_if(F.col(name) > 0).alias(f"with_{name}") for name in sources]
+    found = keys.agg(total(F.greatest(F.col("items") - 1, F.lit(0))).alias("twice"), *(total(name).alias(name) for name in (*sources, "no_year", "no_genres", "missing")), *orphans, *present).first()
+    r = pairs.agg(F.countDistinct("user_id").alias("users"), total(F.col("n") - 1).alias("surplus"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")).first()
     share = lambda x, of: round(100 * x / of, 2) if of else 0.0
-    n_items, r = got["items"]["n"], got["ratings"]
-    none = lambda x: bool(x == 0)
-    rows = [("users", people["users"], None, None), ("rated_items", found["rated"], None, None), *((f"n_{name}", own["n"], None, None) for name, own in got.items())]
-    if r["n"]:
+    none, n_items = (lambda x: bool(x == 0)), found["items"]
+    rows = [("users", r["users"], None, None), ("rated_items", found["with_ratings"], None, None), *((f"n_{name}", found[name], None, None) for name in sources)]
+    if found["ratings"]:
         rows += [("rating_low", r["low"], None, r["low"] >= low), ("rating_high", r["high"], None, r["high"] <= high), ("time_first", r["first"], None, r["first"] >= since), ("time_last", r["last"], None, r["last"] <= until)]
-    rows += [("duplicate_ratings", people["surplus"], None, none(people["surplus"])), ("duplicate_items", found["twice"] or 0, None, none(found["twice"] or 0)), ("orphan_rated_items", found["ratings"], None, none(found["ratings"]))]
-    rows += [("year_failures", got["items"]["no_year"], share(got["items"]["no_year"], n_items), None), ("no_genres", got["items"]["no_genres"], share(got["items"]["no_genres"], n_items), None)]
+    rows += [("duplicate_ratings", r["surplus"], None, none(r["surplus"])), ("duplicate_items", found["twice"], None, none(found["twice"])), ("orphan_rated_items", found["orphan_ratings"], None, none(found["orphan_ratings"]))]
+    rows += [("year_failures", found["no_year"], share(found["no_year"], n_items), None), ("no_genres", found["no_genres"], share(found["no_genres"], n_items), None)]
     if links is not None:
-        rows += [("orphan_links", found["links"], None, none(found["links"])), ("missing_external", got["links"]["missing"], share(got["links"]["missing"], got["links"]["n"]), None)]
+        rows += [("orphan_links", found["orphan_links"], None, none(found["orphan_links"])), ("missing_external", found["missing"], share(found["missing"], found["links"]), None)]
     if tags is not None:
-        rows += [("orphan_tags", found["tags"], None, none(found["tags"])), ("unique_tags", sources["tags"].agg(F.countDistinct("tag")).first()[0], None, None)]
+        rows += [("orphan_tags", found["orphan_tags"], None, none(found["orphan_tags"])), ("unique_tags", sources["tags"][0].agg(F.countDistinct("tag")).first()[0], None, None)]
     if scores is not None:
-        rows += [("items_with_scores", found["scored"], share(found["scored"], n_items), None), ("orphan_score_items", found["scores"], None, none(found["scores"]))]
+        rows += [("items_with_scores", found["with_scores"], share(found["with_scores"], n_items), None), ("orphan_score_items", found["orphan_scores"], None, none(found["orphan_scores"]))]
         if score_tags is not None:
-            lost = sources["scores"].select("tag_id").distinct().join(score_tags.select("tag_id"), "tag_id", "left_anti").count()
+            lost = sources["scores"][0].select("tag_id").distinct().join(score_tags.select("tag_id"), "tag_id", "left_anti").count()
             rows.append(("orphan_score_tags", lost, None, none(lost)))
     return ratings.sparkSession.createDataFrame([(name, float(value), percent, valid) for name, value, percent, valid in rows], "check string, value double, percent double, valid boolean")
 
