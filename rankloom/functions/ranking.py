@@ -16,9 +16,47 @@ def tie_hash(key: Column) -> Column:
     return (key.cast("long") * F.lit(KNUTH)).bitwiseAND(F.lit(4294967295))
 
 
-def pair_hash(user: Column, item: Column, seed: int = 42) -> Column:
-    """The tie hash of a user's item."""
-    return (tie_hash(user) * F.lit(31) + tie_hash(item) * F.lit(17) + F.lit(seed)).bitwiseAND(F.lit(4294967295))
+LOW = 4294967295  # the low half of 64 bits
+# fixed values: factors of user, item and seed in the pair hash, then its rounds as (shift, factor)
+USER_FACTOR, ITEM_FACTOR, SEED_FACTOR = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x517CC1B727220A95
+ROUNDS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+
+
+def _times(high: Column, low: Column, factor: int) -> tuple[Column, Column]:
+    """The halves of a 64-bit word times a constant, modulo 2^64. Factors are taken in pieces
+    of 16 bits, so that no product or sum leaves a signed long: the ANSI mode would raise."""
+    b3, b2, b1, b0 = (F.lit(factor >> shift & 0xFFFF).cast("long") for shift in (48, 32, 16, 0))
+    first, second = low * b0, low * b1
+    under = first.bitwiseAND(F.lit(LOW)) + F.shiftleft(second.bitwiseAND(F.lit(0xFFFF)), 16)
+    over = F.shiftright(first, 32) + F.shiftright(second, 16) + F.shiftright(under, 32)
+    for word, small, large in ((low, b2, b3), (high, b0, b1)):
+        over = over + word * small + F.shiftleft((word * large).bitwiseAND(F.lit(0xFFFF)), 16)
+    return over.bitwiseAND(F.lit(LOW)), under.bitwiseAND(F.lit(LOW))
+
+
+def _halves(key: Column) -> tuple[Column, Column]:
+    whole = key.cast("long")
+    return F.shiftrightunsigned(whole, 32), whole.bitwiseAND(F.lit(LOW))
+
+
+def with_pair_hash(df: DataFrame, user: str, item: str, out: str = "tie", seed: int = 42) -> DataFrame:
+    """Adds the 64-bit tie hash of a user's item as a signed long: a sum of multiples, mixed by
+    exclusive-or with its own shifts, in wrapping arithmetic. Each round is a column of its own,
+    so that no expression grows with the rounds before. Null if an id is null."""
+    (uh, ul), (ih, il) = _times(*_halves(F.col(user)), USER_FACTOR), _times(*_halves(F.col(item)), ITEM_FACTOR)
+    start = seed * SEED_FACTOR % 2**64
+    df = df.withColumns({"__uh": uh, "__ul": ul, "__ih": ih, "__il": il})
+    low = F.col("__ul") + F.col("__il") + F.lit(start & LOW)
+    high = F.col("__uh") + F.col("__ih") + F.lit(start >> 32) + F.shiftright(low, 32)
+    df = df.withColumns({"__h": high.bitwiseAND(F.lit(LOW)), "__l": low.bitwiseAND(F.lit(LOW))})
+    high, low = F.col("__h"), F.col("__l")
+    for shift, factor in ROUNDS:
+        beside = F.shiftright(low, shift).bitwiseOR(F.shiftleft(high, 32 - shift).bitwiseAND(F.lit(LOW)))
+        df = df.withColumns({"__h": high.bitwiseXOR(F.shiftright(high, shift)), "__l": low.bitwiseXOR(beside)})
+        if factor != 1:
+            after = _times(high, low, factor)
+            df = df.withColumns({"__h": after[0], "__l": after[1]})
+    return df.withColumn(out, F.shiftleft(high, 32).bitwiseOR(low)).drop("__uh", "__ul", "__ih", "__il", "__h", "__l")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import tie_hash
+from ..functions.text import display_title, folded
 
 HIDDEN_GENRES = ("IMAX", "(no genres listed)")  # fixed values: genres that are no facet
 SORTS = ("popular", "newest", "oldest")
@@ -20,6 +21,25 @@ def build(items: DataFrame, links: DataFrame, stats: DataFrame) -> DataFrame:
     return items.join(links.select("item_id", "external_id"), "item_id", "left").join(stats, "item_id", "left")
 
 
+def exported(catalog: DataFrame) -> DataFrame:
+    """The eleven columns of the served catalogue. title is the raw title; the shown title and the
+    folded one that searches look into are stored beside it, genres as a JSON array."""
+    shown = display_title(F.col("title"))
+    return catalog.select(
+        "item_id",
+        "external_id",
+        F.col("title").alias("title_raw"),
+        shown.alias("title_display"),
+        folded(shown).alias("title_search"),
+        "year",
+        F.to_json(F.coalesce("genres", F.array().cast("array<string>"))).alias("genres"),
+        F.col("rating_count").alias("train_rating_count"),
+        F.col("positive_count").alias("train_positive_count"),
+        F.col("positive_ratio").alias("train_positive_ratio"),
+        F.col("mean_rating").alias("train_mean_rating"),
+    )
+
+
 def validated(genres: Sequence[str] = (), decade: int | None = None, year: int | None = None, sort: str = "popular", limit: int = 20, most: int = 100) -> None:
     if sort not in SORTS:
         raise ValueError(f"sort is one of {', '.join(SORTS)}")

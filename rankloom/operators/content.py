@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_k
 from ..functions.text import tokens
 from ..functions.vectors import dot, every_pair, normalized
+from ..sources.files import bucketed
 from .stats import POSITIVE
 
 DENSE_SHARE = 0.25  # features of more items than this are dense
@@ -132,3 +133,14 @@ def similar_items(vectors: DataFrame, item_id: int, n: int = 20) -> DataFrame:
     one = vectors.where(F.col("item_id") == item_id).select("feature", F.col("value").alias("x"))
     rows = vectors.where(F.col("item_id") != item_id).join(F.broadcast(one), "feature")  # the features of one item
     return rows.groupBy("item_id").agg(F.sum(F.col("value") * F.col("x")).alias("similarity")).orderBy(F.desc(F.round("similarity", 9)), "item_id").limit(max(0, n))
+
+
+def serving_tables(served: DataFrame, vectors: DataFrame, popularity: DataFrame, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The features of served items, and each served item with its name, popularity (0 where it
+    has none) and the norm of its features (1 where it has none). Both are tables of the same
+    buckets of item_id, so that later joins on items need no shuffle."""
+    kept = bucketed(vectors.join(served.select("item_id"), "item_id", "left_semi"), "item-features", "item_id", buckets)
+    norms = kept.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    rows = served.join(norms, "item_id", "left").join(popularity.select("item_id", "popularity"), "item_id", "left")
+    whole = rows.withColumns({"norm": F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0), "popularity": F.coalesce("popularity", F.lit(0))})
+    return kept, bucketed(whole, "item-names", "item_id", buckets)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import numbered, pair_hash, tie_hash
+from ..functions.ranking import numbered, tie_hash, with_pair_hash
 
 
 def sequenced(ratings: DataFrame) -> DataFrame:
     """Adds seq (from 0, by time and tie hash), n (ratings of the user) and tie."""
-    own = ratings.withColumn("tie", pair_hash(F.col("user_id"), F.col("item_id")))
+    own = with_pair_hash(ratings, "user_id", "item_id")
     by = Window.partitionBy("user_id")
     return own.withColumn("seq", F.row_number().over(by.orderBy("ts", "tie", "item_id")).cast("long") - 1).withColumn("n", F.count("*").over(by))
 

@@ -289,9 +289,18 @@ def set6(spark, sf_dir):
     return C.backfilled(pool.where("pos <= 20"), pool, pool.where("pos % 3 = 0")).select("item_id", "pos")
 
 
-@query("snk2_catalog_table", f"{ALL} SELECT item_id, title, external_id, year, rating_count FROM catalog")
+MADE_TITLE = "replace(CASE WHEN p_size % 4 = 0 THEN p_name || ', The' ELSE p_name END, 'a', 'Á') || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (' || (p_size + 1950) || ')' END"
+SHOWN = "CASE WHEN contains(raw, ', The') THEN 'The ' ELSE '' END || regexp_replace(replace(raw, ', The', ''), ' \\(\\d{4}\\)$', '')"
+
+
+@query("snk2_catalog_table", f"{ALL}, named AS (SELECT *, {SHOWN} AS shown FROM (SELECT p_partkey AS item_id, {MADE_TITLE} AS raw FROM part)) SELECT item_id, external_id, raw AS title_raw, shown AS title_display, strip_accents(lower(shown)) AS title_search, year, '[\"' || array_to_string(genres, '\",\"') || '\"]' AS genres, rating_count AS train_rating_count, positive_count AS train_positive_count, round(positive_count / rating_count, 6) AS train_positive_ratio, round(mean_rating, 6) AS train_mean_rating FROM catalog JOIN named USING (item_id)")
 def snk2(spark, sf_dir):
-    return files.stored(catalog(spark, sf_dir).select("item_id", "title", "external_id", "year", "rating_count"), "catalog")
+    """All columns of the served catalogue, here with titles that hold a year, an article or
+    accents."""
+    titles = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.expr(MADE_TITLE).alias("title"))
+    items = X.items(spark, sf_dir).drop("kind", "title").join(titles, "item_id")
+    own = C.exported(C.build(items, links(spark, sf_dir), A.item_stats(X.ratings_a(spark, sf_dir))))
+    return files.stored(own.withColumns({c: F.round(c, 6) for c in ("train_positive_ratio", "train_mean_rating")}), "catalog")
 
 
 @query("snk6_cache_upsert", f"WITH {CACHE}, news AS (SELECT item_id, {NOW} AS fetched_at, 'ok' AS status, adult FROM cache WHERE item_id % 5 = 0 UNION ALL SELECT item_id + 1000000, {NOW}, 'ok', false FROM cache WHERE item_id % 50 = 0) SELECT item_id, fetched_at, status FROM cache WHERE item_id NOT IN (SELECT item_id FROM news) UNION ALL SELECT item_id, fetched_at, status FROM news")
@@ -299,7 +308,9 @@ def snk6(spark, sf_dir):
     own = cache(spark, sf_dir)
     news = own.where("item_id % 5 = 0").select("item_id", F.lit(NOW).cast("long").alias("fetched_at"), F.lit("ok").alias("status"), "adult")
     fresh = own.where("item_id % 50 = 0").select(F.col("item_id") + 1000000, F.lit(NOW).cast("long"), F.lit("ok"), F.lit(False))
-    return files.upsert(own, news.union(fresh), "item_id", "fetched_at").select("item_id", "fetched_at", "status")
+    kept = files.KeyedTable(files.scratch(spark, "cache"), own.schema, "item_id", "fetched_at", 16).create(own)
+    kept.upsert(news.union(fresh))
+    return kept.read(spark).select("item_id", "fetched_at", "status")
 
 
 @query("src8_temp_view", "SELECT item_id, title FROM (SELECT p_partkey AS item_id, p_name AS title, p_size FROM part) WHERE p_size > 40")

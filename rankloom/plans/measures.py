@@ -13,12 +13,12 @@ from ..operators import protocol as P
 from ..sources import files
 from ..sources import fixtures as X
 from . import models
-from .preparing import PAIR
+from .preparing import tied
 from .registry import query
 
 K = 10
 HASH = "((item_id * 2654435761) & 4294967295)"
-SPLIT = f"seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, {PAIR}, item_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM rb), split AS (SELECT *, CASE WHEN seq >= n - h THEN 'test' WHEN seq >= n - 2 * h THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CAST(greatest(1, round_even(CAST(0.1 AS DOUBLE) * n, 0)) AS BIGINT) AS h FROM seq)), train AS (SELECT * FROM split WHERE split = 'train'), val AS (SELECT * FROM split WHERE split = 'val')"
+SPLIT = f"seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie, item_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM {tied('rb')}), split AS (SELECT *, CASE WHEN seq >= n - h THEN 'test' WHEN seq >= n - 2 * h THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CAST(greatest(1, round_even(CAST(0.1 AS DOUBLE) * n, 0)) AS BIGINT) AS h FROM seq)), train AS (SELECT * FROM split WHERE split = 'train'), val AS (SELECT * FROM split WHERE split = 'val')"
 RELEVANT = "rel AS (SELECT DISTINCT user_id, item_id FROM val WHERE rating >= 4 AND item_id IN (SELECT item_id FROM train))"
 POP = "pop AS (SELECT item_id, count(*) FILTER (rating >= 4) AS score FROM train GROUP BY 1)"
 CF = "liked AS (SELECT DISTINCT user_id, item_id FROM train WHERE rating >= 4), " + f"{models.PAIRS}, {models.COUNTS}, {models.sims()}"

@@ -97,7 +97,7 @@ def j11(spark, sf_dir):
 def snk5(spark, sf_dir):
     served = X.items(spark, sf_dir).select("item_id").where("item_id % 3 <> 0")
     rows = itemcf.remapped(near(spark, sf_dir), served).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("rank", "j"))).alias("n"))
-    return files.stored(rows.select("i", F.array_join(F.transform("n", lambda x: x["j"].cast("string")), " ").alias("js")), "neighbors")
+    return files.bucketed(rows.select("i", F.array_join(F.transform("n", lambda x: x["j"].cast("string")), " ").alias("js")), "neighbors", "i")
 
 
 @query("m4_warm_scores", f"{CF} SELECT user_id, j AS item_id, round(sum(sim), 6) AS score FROM liked JOIN near ON i = item_id GROUP BY 1, 2")
@@ -444,12 +444,16 @@ def q8(spark, sf_dir):
     return picked.unionByName(rows).join(enough, "user_id", "left_semi")
 
 
-@query("snk4_serving_vectors", X.with_("items", more=f"{TIER1}, {UNIT}") + "SELECT item_id, count(*) AS n, round(sqrt(sum(value * value)), 6) AS norm FROM unit WHERE item_id % 10 <> 0 GROUP BY 1")
+@query("snk4_serving_vectors", X.with_("rb", "items", more=f"{TIER1}, {UNIT}, pop AS (SELECT item_id, count(*) FILTER (rating >= 4) AS popularity FROM rb GROUP BY 1)") + "SELECT item_id, title, coalesce(any_value(popularity), 0) AS popularity, count(feature) AS n, round(coalesce(sqrt(sum(value * value)), 1.0), 6) AS norm, string_agg(feature, ' ' ORDER BY feature) AS features FROM items LEFT JOIN unit USING (item_id) LEFT JOIN pop USING (item_id) WHERE item_id % 10 <> 0 GROUP BY 1, 2")
 def snk4(spark, sf_dir):
-    served = files.stored(_unit(spark, sf_dir).where("item_id % 10 <> 0"), "item-features")
-    return served.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6).alias("norm"))
-
-
+    """The served items' features, norms, popularity and names, written as tables of the same
+    buckets; what is read back joins without a shuffle."""
+    served = X.items(spark, sf_dir).where("item_id % 10 <> 0").select("item_id", "title")
+    liked = stats.positives(X.ratings_b(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("popularity"))
+    vectors, names = content.serving_tables(served, _unit(spark, sf_dir), liked)
+    own = vectors.groupBy("item_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("feature")), " ").alias("features"))
+    both = names.join(own, "item_id", "left")
+    return both.select("item_id", "title", "popularity", F.coalesce("n", F.lit(0)).alias("n"), F.round("norm", 6).alias("norm"), "features")
 
 
 @query("j8_all_pairs_dot", X.with_("rb", "vectors", more="dims AS (SELECT item_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS d FROM vectors), means AS (SELECT user_id, d, avg(v) AS v FROM rb JOIN dims USING (item_id) WHERE rating >= 4 GROUP BY 1, 2), prof AS (SELECT user_id, list(v ORDER BY d) AS profile FROM means GROUP BY 1)") + "SELECT user_id, item_id, round(list_dot_product(profile, CAST(embedding AS DOUBLE[])), 5) AS score FROM prof, vectors")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.ranking import dense_index, pair_hash, tie_hash
+from ..functions.ranking import ITEM_FACTOR, ROUNDS, SEED_FACTOR, USER_FACTOR, dense_index, tie_hash, with_pair_hash
 from ..operators import kcore, split, stats
 from ..sources import files
 from ..sources import fixtures as X
@@ -13,8 +13,18 @@ from .registry import query
 
 RA, RB = X.with_("ra"), X.with_("rb")
 HASHED = "(user_id * 2654435761 & 4294967295)"
-PAIR = "((((user_id * 2654435761) & 4294967295) * 31 + ((item_id * 2654435761) & 4294967295) * 17 + 42) & 4294967295)"
-SEQ = f"seq AS (SELECT *, {PAIR} AS tie, row_number() OVER (PARTITION BY user_id ORDER BY ts, {PAIR}, item_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM ra)"
+WORD = "18446744073709551616::UHUGEINT"  # 2^64
+
+
+def tied(source: str, seed: int = 42) -> str:
+    """The rows of a table with the tie hash of user and item, in 128-bit arithmetic modulo 2^64."""
+    rows = f"SELECT *, (user_id::UHUGEINT * {USER_FACTOR}::UHUGEINT + item_id::UHUGEINT * {ITEM_FACTOR}::UHUGEINT + {seed * SEED_FACTOR}::UHUGEINT) % {WORD} AS h FROM {source}"
+    for shift, factor in ROUNDS:
+        rows = f"SELECT * REPLACE ((xor(h, h >> {shift}) * {factor}::UHUGEINT) % {WORD} AS h) FROM ({rows})"
+    return f"(SELECT * EXCLUDE (h), CAST(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END AS BIGINT) AS tie FROM ({rows}))"
+
+
+SEQ = f"seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, tie, item_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM {tied('ra')})"
 SPLIT = f"{SEQ}, split AS (SELECT *, CASE WHEN seq >= n - h THEN 'test' WHEN seq >= n - 2 * h THEN 'val' ELSE 'train' END AS split FROM (SELECT *, CAST(greatest(1, round_even(CAST(0.1 AS DOUBLE) * n, 0)) AS BIGINT) AS h FROM seq))"
 PASSES = 6  # as many as the fixture needs, and some more that change nothing
 
@@ -441,9 +451,9 @@ def sc7(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").withColumn("t", T.tokens(F.col("text"))).select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query("sc8_pair_hash", f"{RA} SELECT user_id, item_id, {PAIR} AS tie FROM ra")
+@query("sc8_pair_hash", f"{RA} SELECT user_id, item_id, tie FROM {tied('ra')}")
 def sc8(spark, sf_dir):
-    return X.ratings_a(spark, sf_dir).select("user_id", "item_id", pair_hash(F.col("user_id"), F.col("item_id")).alias("tie"))
+    return with_pair_hash(X.ratings_a(spark, sf_dir).select("user_id", "item_id"), "user_id", "item_id")
 
 
 @query("sc9_tie_hash", "SELECT p_partkey AS item_id, (p_partkey * 2654435761) & 4294967295 AS tie FROM part")

@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import threading
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,7 +128,9 @@ def shuffle_files_dropped(spark: SparkSession):
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "stored_at", None)
+        path, table = getattr(df, "stored_at", None), getattr(df, "stored_table", None)
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
@@ -163,3 +166,56 @@ def upsert(cache: DataFrame, news: DataFrame, key: str, at: str) -> DataFrame:
     both = cache.withColumn("__new", F.lit(0)).unionByName(news.withColumn("__new", F.lit(1)))
     order = Window.partitionBy(key).orderBy(F.desc(at), F.desc("__new"))
     return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__new")
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int = 8) -> DataFrame:
+    """Written to the shared folder as a table of buckets of a key, sorted within, and read
+    again: tables of the same number of buckets join and group by the key without a shuffle.
+    One shuffle puts each bucket into one file."""
+    spark = df.sparkSession
+    path, table = scratch(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at, out.stored_table = path, table
+    return out
+
+
+@dataclass(frozen=True)
+class KeyedTable:
+    """Parquet files in one folder a bucket of a key's hash, of which an upsert rewrites only
+    those that its keys fall into. `at` tells how new a row is."""
+
+    path: str
+    schema: T.StructType
+    key: str
+    at: str
+    buckets: int = 64
+
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int"))
+
+    def create(self, df: DataFrame) -> KeyedTable:
+        self._with_bucket(df).repartition(self.buckets, "__bucket").write.partitionBy("__bucket").parquet(self.path)
+        return self
+
+    def _all(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._all(spark).drop("__bucket")
+
+    def upsert(self, news: DataFrame) -> list[int]:
+        """Merges new rows into their buckets; returns these. Other buckets are neither read nor
+        written. The merged rows are stored first, so a job that fails while the folders
+        are replaced can be run again from the same news."""
+        spark = news.sparkSession
+        own = stored(self._with_bucket(news), "news")
+        touched = sorted(r[0] for r in own.select("__bucket").distinct().collect())  # at most as many as buckets
+        if touched:
+            old = self._all(spark).where(F.col("__bucket").isin(touched))
+            merged = stored(upsert(old, own, self.key, self.at), "merged")
+            merged.repartition(len(touched), "__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(self.path)
+            discard(merged)
+        discard(own)
+        return touched

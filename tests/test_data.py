@@ -158,3 +158,58 @@ def test_folded_text(spark):
     rows = [("Été à la Plage",), ("ﬁn ½ Ⅳ ÅNGSTRÖM",), ("plain",), (None,), ("",), ("한글 ́",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.folded(F.col("t"))).collect()]
     assert got == ["ete a la plage", "fin 1⁄2 iv angstrom", "plain", None, "", unicodedata.normalize("NFKD", "한글 ")]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_serving_tables_join_without_a_shuffle(spark):
+    served = spark.createDataFrame([(i, f"item {i}") for i in range(40)], "item_id long, title string")
+    vectors = spark.createDataFrame([(i, f, 1.0 + f) for i in range(30) for f in range(i % 4)] + [(99, 0, 1.0)], "item_id long, feature int, value double")
+    popularity = spark.createDataFrame([(i, 10 * i) for i in range(20)], "item_id long, popularity long")
+    features, names = content.serving_tables(served, vectors.withColumn("feature", F.col("feature").cast("string")), popularity, 4)
+    near = files.bucketed(spark.createDataFrame([(i, "1 2") for i in range(10)], "i long, js string"), "neighbors", "i", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = features.groupBy("item_id").agg(F.count("*").alias("n"))
+        joined = names.join(own, "item_id", "left").join(near, F.col("item_id") == F.col("i"), "left")
+        assert _exchanges(joined) == 0
+        rows = {r["item_id"]: r for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(rows) == set(range(40))
+    assert rows[3]["n"] == 3 and abs(rows[3]["norm"] - (1 + 4 + 9) ** 0.5) < 1e-9 and rows[3]["popularity"] == 30 and rows[3]["js"] == "1 2"
+    assert rows[4]["n"] is None and rows[4]["norm"] == 1.0 and rows[35]["popularity"] == 0 and rows[35]["title"] == "item 35"
+    files.discard(features, names, near)
+    assert not spark.catalog.tableExists(features.stored_table)
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    kind = "item_id long, fetched_at long, status string"
+    old = spark.createDataFrame([(i, 100, "old") for i in range(200)], kind)
+    cache = files.KeyedTable(str(tmp_path / "cache"), old.schema, "item_id", "fetched_at", 8).create(old)
+    parts = lambda: {p.parent.name: {f.name for f in p.parent.glob("*.parquet")} for p in (tmp_path / "cache").glob("*/*.parquet")}
+    before = parts()
+    news = spark.createDataFrame([(5, 200, "new"), (5, 150, "older news"), (7, 50, "too late"), (900, 10, "fresh")], kind)
+    touched = cache.upsert(news)
+    after = parts()
+    assert 0 < len(touched) <= 3
+    assert {b for b in after if after[b] != before.get(b)} == {f"__bucket={b}" for b in touched}
+    rows = {r["item_id"]: (r["fetched_at"], r["status"]) for r in cache.read(spark).collect()}
+    assert rows == {i: (100, "old") for i in range(200)} | {5: (200, "new"), 900: (10, "fresh")}
+    assert cache.upsert(news.limit(0)) == [] and parts() == after
+    again = cache.upsert(news)
+    assert again == touched and {r["item_id"]: r["status"] for r in cache.read(spark).collect()}[5] == "new"
+    assert cache.read(spark).count() == 201
+
+
+def test_upsert_into_an_empty_table_and_null_keys(spark, tmp_path):
+    kind = "item_id long, fetched_at long, status string"
+    none = spark.createDataFrame([], kind)
+    cache = files.KeyedTable(str(tmp_path / "cache"), none.schema, "item_id", "fetched_at", 4).create(none)
+    assert cache.read(spark).count() == 0
+    cache.upsert(spark.createDataFrame([(1, 1, "a")], kind))
+    cache.upsert(spark.createDataFrame([(None, 1, "none"), (None, 2, "none too")], kind))
+    assert sorted((str(r[0]), r[1], r[2]) for r in cache.read(spark).collect()) == [("1", 1, "a"), ("None", 2, "none too")]

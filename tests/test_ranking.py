@@ -167,3 +167,21 @@ def test_best_blends_equal_the_pool(spark, share):
     for x, r in want.items():
         assert got[x]["item_id"] == r["item_id"] and got[x]["score"] == pytest.approx(r["score"])
         assert all(got[x][f"pct_{p}"] == pytest.approx(r[f"pct_{p}"]) for p in w)
+
+
+def test_pair_hash_is_wrapping_64_bit_arithmetic(spark):
+    ids = [0, 1, 2, 31, 65535, 65536, 2**31 - 1, 2**32, 2**62 + 12345, 2**63 - 1, -1, -(2**40)]
+    rows = [(u, i) for u in ids for i in ids]
+    mask = 2**64 - 1
+
+    def expected(u, i, seed):
+        h = (u * R.USER_FACTOR + i * R.ITEM_FACTOR + seed * R.SEED_FACTOR) & mask
+        for shift, factor in R.ROUNDS:
+            h = ((h ^ (h >> shift)) * factor) & mask
+        return h - 2**64 if h >= 2**63 else h
+
+    frame = spark.createDataFrame(rows, "u long, i long")
+    for seed in (0, 42, 2**40):
+        got = {(r["u"], r["i"]): r["tie"] for r in R.with_pair_hash(frame, "u", "i", seed=seed).collect()}
+        assert got == {(u, i): expected(u, i, seed) for u, i in rows}
+    assert R.with_pair_hash(spark.createDataFrame([(None, 1)], "u long, i long"), "u", "i").first()["tie"] is None
