@@ -98,11 +98,40 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _note(out)
     if instead_of is not None:
         discard(instead_of)
     return out
 
 
+_SCOPES = threading.local()
+
+
+def _note(df: DataFrame) -> None:
+    if getattr(_SCOPES, "open", None):
+        _SCOPES.open[-1].append(df)
+
+
+@contextlib.contextmanager
+def temporary():
+    """Tables that this thread stores within are deleted at the end, failed or not, but for those
+    that are handed to what this yields; it returns them. An outer scope takes these over."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _SCOPES.open.pop()
+        discard(*(df for df in made if not any(df is k for k in kept)))
+        for df in kept:
+            _note(df)
+
+
 _CLEANING = threading.Lock()
 _CLEANING_NOW: dict[str, list] = {}
 
@@ -178,6 +207,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int = 8) -> DataFrame:
     writer.option("path", path).saveAsTable(table)
     out = spark.table(table)
     out.stored_at, out.stored_table = path, table
+    _note(out)
     return out
 
 

@@ -213,3 +213,18 @@ def test_upsert_into_an_empty_table_and_null_keys(spark, tmp_path):
     cache.upsert(spark.createDataFrame([(1, 1, "a")], kind))
     cache.upsert(spark.createDataFrame([(None, 1, "none"), (None, 2, "none too")], kind))
     assert sorted((str(r[0]), r[1], r[2]) for r in cache.read(spark).collect()) == [("1", 1, "a"), ("None", 2, "none too")]
+
+
+def test_tables_of_a_scope_go_at_its_end(spark):
+    import os
+
+    with files.temporary() as keep:
+        kept, gone = keep(files.stored(spark.range(3).toDF("x"), "kept")), files.stored(spark.range(4).toDF("x"), "gone")
+        with files.temporary() as inner:
+            passed_on, lost = inner(files.stored(spark.range(5).toDF("x"), "passed-on")), files.stored(spark.range(6).toDF("x"), "lost")
+        assert os.path.exists(gone.stored_at) and os.path.exists(passed_on.stored_at) and not os.path.exists(lost.stored_at)
+    assert kept.count() == 3 and not os.path.exists(gone.stored_at) and not os.path.exists(passed_on.stored_at)
+    with pytest.raises(RuntimeError), files.temporary():
+        failed = files.stored(spark.range(7).toDF("x"), "failed")
+        raise RuntimeError
+    assert not os.path.exists(failed.stored_at)
