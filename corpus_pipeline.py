@@ -11,6 +11,7 @@ from rankloom.llm.exact_dedup import deduplicate
 from rankloom.llm.language_id import fitted, identify
 from rankloom.llm.ngram_join import first_of_groups
 from rankloom.llm.packing import pack
+from rankloom.sources.files import temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's documents are deleted when the next ones are
+    written, and what an operator stored on its way goes with its stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with temporary() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name, instead_of=docs))
     return STAGES[-1][1](spark, docs, sf_dir)
