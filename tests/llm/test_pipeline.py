@@ -76,3 +76,17 @@ def test_rows_that_share_an_id_and_empty_tables(spark, sf_dir):
     for name, stage in P.STAGES:
         out = stage(spark, docs.limit(0), sf_dir)
         assert out.count() == 0 and (name == "packing" or out.columns == P.COLUMNS)
+
+
+def test_run_leaves_the_last_documents_only(spark, sf_dir):
+    """What earlier stages and their operators stored is gone; what the last stage reads is there."""
+    import os
+
+    from rankloom.sources.files import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    pieces = P.run(spark, sf_dir)
+    left = [x for x in set(os.listdir(shared_dir(spark))) - before if not x.startswith("rdd")]
+    assert len([x for x in left if x.startswith(P.STAGES[-2][0])]) == 1
+    assert not [x for x in left if x.startswith(tuple(name for name, _ in P.STAGES[:-2]))]
+    assert len(left) <= 1 and pieces.count() > 0
