@@ -133,3 +133,25 @@ def simplex(steps: int = 10) -> list[tuple[float, float, float]]:
 def monotone(schedule: DataFrame, k: str = "k", value: str = "alpha") -> DataFrame:
     """The running maximum of a value over k; a schedule has a few rows."""
     return schedule.withColumn(value, F.max(value).over(Window.orderBy(k)))
+
+
+def dominant_genres(picks: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, genre): the genre that most picks of a user have; of several, the first by name."""
+    counts = picks.join(items.select("item_id", F.explode("genres").alias("genre")), "item_id").groupBy("user_id", "genre").agg(F.count("*").alias("n"))
+    return counts.groupBy("user_id").agg(F.min_by("genre", F.struct(-F.col("n"), "genre")).alias("genre"))
+
+
+def genre_report(shown: DataFrame, picks: DataFrame, items: DataFrame, row: DataFrame) -> DataFrame:
+    """Per user: the dominant genre of the picks, the share of shown items that have it, the share
+    of a row that all see, such as the most popular items, and what the first exceeds the second
+    by. The row's genres, a count each, are joined by genre; nothing grows with users times items."""
+    genres = items.select("item_id", F.array_distinct(F.coalesce("genres", F.array().cast("array<string>"))).alias("genres"))
+    own = dominant_genres(picks, items)
+    listed = shown.join(genres, "item_id").join(own, "user_id")
+    shares = listed.groupBy("user_id", "genre").agg(F.avg(F.array_contains("genres", F.col("genre")).cast("double")).alias("shown_share"))
+    of_row = row.select("item_id").join(genres, "item_id")
+    size = of_row.agg(F.count("*").alias("size"))
+    counts = of_row.select(F.explode("genres").alias("genre")).groupBy("genre").agg(F.count("*").alias("__n"))
+    common = counts.join(F.broadcast(size), F.lit(True)).select("genre", (F.col("__n") / F.col("size")).alias("row_share"))  # the size is one row
+    out = shares.join(common, "genre", "left").withColumn("row_share", F.coalesce("row_share", F.lit(0.0)))
+    return out.select("user_id", "genre", "shown_share", "row_share", (F.col("shown_share") - F.col("row_share")).alias("lift"))

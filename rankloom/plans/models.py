@@ -420,6 +420,20 @@ def a28(spark, sf_dir):
     return top.agg(*(F.round(F.avg(w * F.col(f"pct_{p}") / F.col("score")), 5).alias(p) for w, p in ((0.2, "content"), (0.7, "cf"), (0.1, "popularity"))), F.countDistinct("item_id").alias("n_items"))
 
 
+DOMINANT = f"favourite AS (SELECT user_id, genre FROM (SELECT user_id, genre, count(*) AS n FROM picks JOIN (SELECT item_id, unnest(genres) AS genre FROM items) USING (item_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) = 1), best20 AS (SELECT user_id, item_id FROM blend QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {HASH}, item_id) <= 20), popular20 AS (SELECT item_id, genres FROM counts JOIN items USING (item_id) ORDER BY n_i DESC, {HASH}, item_id LIMIT 20)"
+
+
+@query("a28_dominant_genre", f"{RANKED}, {DOMINANT}, shares AS (SELECT user_id, genre, avg(CASE WHEN list_contains(genres, genre) THEN 1.0 ELSE 0.0 END) AS shown_share FROM best20 JOIN items USING (item_id) JOIN favourite USING (user_id) GROUP BY 1, 2), both_shares AS (SELECT *, (SELECT avg(CASE WHEN list_contains(genres, s.genre) THEN 1.0 ELSE 0.0 END) FROM popular20) AS row_share FROM shares s) SELECT user_id, genre, round(shown_share, 6) AS shown_share, round(row_share, 6) AS row_share, round(shown_share - row_share, 6) AS lift FROM both_shares")
+def a28_genre(spark, sf_dir):
+    """How much more of each user's favourite genre the twenty shown items hold than the twenty
+    most popular ones."""
+    own, chosen = X.items(spark, sf_dir), picks(spark, sf_dir)
+    liked = stats.positives(X.ratings_b(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("n_i")).join(own.select("item_id"), "item_id")
+    row = liked.orderBy(F.desc("n_i"), tie_hash(F.col("item_id")), "item_id").limit(20)
+    out = hybrid.genre_report(listed(spark, sf_dir, 20), chosen, own, row)
+    return out.withColumns({c: F.round(c, 6) for c in ("shown_share", "row_share", "lift")})
+
+
 TARGET, POOL, CLOSE = 20, 100, 80  # places of a row, and how far its candidates go
 BECAUSE = f"shown AS (SELECT page_id AS item_id FROM pages WHERE url IS NOT NULL), sv AS (SELECT * FROM unit WHERE item_id IN (SELECT item_id FROM rb)), recent AS (SELECT user_id, item_id AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS nth FROM rb JOIN picks USING (user_id, item_id) SEMI JOIN sv USING (item_id) QUALIFY nth <= 2), sums AS (SELECT a.item_id AS q, b.item_id, sum(a.value * b.value) AS s FROM sv a JOIN sv b USING (feature) WHERE a.item_id <> b.item_id GROUP BY 1, 2), known AS (SELECT DISTINCT item_id FROM sv), sim AS (SELECT q, item_id, row_number() OVER (PARTITION BY q ORDER BY round(coalesce(s, 0), 9) DESC, {HASH}, item_id) AS close FROM (SELECT p.item_id AS q, r.item_id FROM known p, known r WHERE p.item_id <> r.item_id) LEFT JOIN sums USING (q, item_id) QUALIFY close <= {CLOSE}), because AS (SELECT user_id, nth, item_id, row_number() OVER (PARTITION BY user_id, nth ORDER BY close) AS place FROM recent JOIN sim USING (q) SEMI JOIN shown USING (item_id) ANTI JOIN picks USING (user_id, item_id) QUALIFY place <= {TARGET})"
 Q8 = f"{RANKED}, {BECAUSE}, wide AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {HASH}, item_id) AS r FROM blend QUALIFY r <= {POOL}), pos AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY r) AS place FROM wide SEMI JOIN shown USING (item_id) QUALIFY place <= {TARGET}), enough AS (SELECT user_id FROM picks GROUP BY 1 HAVING count(*) >= 3)"
