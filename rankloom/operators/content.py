@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import top_k
+from ..functions.ranking import exact_percentile, numbered, top_k
 from ..functions.text import tokens
 from ..functions.vectors import dot, every_pair, normalized
-from ..sources.files import bucketed
+from ..sources.files import bucketed, stored
 from .stats import POSITIVE
 
 DENSE_SHARE = 0.25  # features of more items than this are dense
@@ -144,3 +144,17 @@ def serving_tables(served: DataFrame, vectors: DataFrame, popularity: DataFrame,
     rows = served.join(norms, "item_id", "left").join(popularity.select("item_id", "popularity"), "item_id", "left")
     whole = rows.withColumns({"norm": F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0), "popularity": F.coalesce("popularity", F.lit(0))})
     return kept, bucketed(whole, "item-names", "item_id", buckets)
+
+
+def similarity_threshold(vectors: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row, threshold: the percentile of the cosine of unit vectors, each paired with a
+    pseudo-random other one (at times itself); pairs without a shared feature count as zero."""
+    own = stored(numbered(vectors.select("item_id").distinct(), [F.col("item_id").asc()], "i"), "numbered")
+    size = own.agg(F.count("*").alias("n"))
+    left = own.join(F.broadcast(size), F.lit(True)).select(F.col("item_id").alias("x"), ((F.col("i") * 48271 + 11) % F.col("n")).alias("i"))  # the size is one row
+    pairs = left.join(own.select("i", F.col("item_id").alias("y")), "i").select("x", "y")
+    first = pairs.join(vectors.select(F.col("item_id").alias("x"), "feature", F.col("value").alias("v")), "x")
+    both = first.join(vectors.select(F.col("item_id").alias("y"), "feature", "value"), ["y", "feature"])
+    sums = both.groupBy("x").agg(F.sum(F.col("v") * F.col("value")).alias("s"))
+    cosines = pairs.join(sums, "x", "left").select(F.round(F.coalesce("s", F.lit(0.0)), 9).alias("cosine"))
+    return exact_percentile(cosines, "cosine", share)

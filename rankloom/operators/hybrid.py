@@ -110,8 +110,8 @@ def component_shares(rows: DataFrame, parts: tuple[str, ...] = ("content", "cf",
     return rows.select("*", *(F.coalesce(F.try_divide(F.col(p), total), F.lit(0.0)).alias(f"share_{p}") for p in parts))
 
 
-def reasons(rows: DataFrame, similarity: float, support: int) -> DataFrame:
-    """Adds codes and labels. rows has w_content, w_cf, w_popularity, the components content,
+def reasons(rows: DataFrame, similarity: float | Column, support: float | Column) -> DataFrame:
+    """Adds codes and labels. A pick is similar from a cosine on, liked together from a count on. rows has w_content, w_cf, w_popularity, the components content,
     cf and popularity, pick_cos, pick_title, shared_genres, shared_tags, cf_title and n_ij."""
     content, cf, pop = F.col("w_content") > 0, F.col("w_cf") > 0, F.col("w_popularity") > 0
     rules = [

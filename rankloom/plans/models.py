@@ -378,40 +378,44 @@ def sc20(spark, sf_dir):
     return own.select("user_id", "k", w[0].alias("w_content"), w[1].alias("w_cf"), w[2].alias("w_popularity"), hybrid.by_picks(F.col("k"), hybrid.ALPHAS).alias("alpha"))
 
 
-SIMILAR = 0.6  # a pick this close to an item is named
+# what is close and what is well supported, measured on the items and their neighbours
+LIMITS = "nums AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM ev)), prs AS (SELECT a.item_id AS x, b.item_id AS y FROM nums a JOIN nums b ON b.i = (a.i * 48271 + 11) % a.n), cosines AS (SELECT round(coalesce(s, 0), 9) AS c FROM prs LEFT JOIN (SELECT x, sum(p.value * q.value) AS s FROM prs JOIN ev p ON p.item_id = x JOIN ev q ON q.item_id = y AND q.feature = p.feature GROUP BY x) USING (x)), limits AS (SELECT round((SELECT quantile_cont(c, 0.95) FROM cosines), 6) AS close_from, (SELECT quantile_cont(n_ij, 0.9) FROM near) AS support)"
 TAGGED = f"{TFIDF}, evb AS (SELECT item_id, feature, value FROM unit UNION ALL SELECT item_id, 'tag:' || feature, value FROM tfidf), ev AS (SELECT item_id, feature, value / sqrt(sum(value * value) OVER (PARTITION BY item_id)) AS value FROM evb)"
-REASONS = f"{RANKED}, {TAGGED}, best AS (SELECT user_id, j AS item_id, i AS pick, n_ij FROM picks JOIN near ON i = item_id WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY user_id, j ORDER BY round(sim, 9) DESC, i) = 1), close AS (SELECT user_id, item_id, arg_max(pick, (round(s, 9), -pick)) AS near_pick, arg_max(s, (round(s, 9), -pick)) AS cos FROM (SELECT top.user_id, top.item_id, picks.item_id AS pick, sum(a.value * b.value) AS s FROM top JOIN picks USING (user_id) JOIN ev a ON a.item_id = picks.item_id JOIN ev b ON b.item_id = top.item_id AND a.feature = b.feature GROUP BY 1, 2, 3) GROUP BY 1, 2), sums AS (SELECT user_id, feature, sum(value) AS value FROM picks JOIN ev USING (item_id) GROUP BY 1, 2), why AS (SELECT top.user_id, top.item_id, ev.feature, row_number() OVER (PARTITION BY top.user_id, top.item_id ORDER BY round(sums.value * ev.value, 9) DESC, ev.feature) AS rank FROM top JOIN ev USING (item_id) JOIN sums ON sums.user_id = top.user_id AND sums.feature = ev.feature WHERE sums.value * ev.value > 1e-7 QUALIFY rank <= 3), shared AS (SELECT user_id, item_id, string_agg(substr(feature, 7), ', ' ORDER BY rank) FILTER (feature LIKE 'genre:%') AS genres, string_agg(substr(feature, 5), ', ' ORDER BY rank) FILTER (feature LIKE 'tag:%') AS tags FROM why GROUP BY 1, 2), e AS (SELECT top.*, pick, n_ij, near_pick, cos, shared.genres, shared.tags, 0.2 * pct_content AS c, 0.7 * pct_cf AS f, 0.1 * pct_popularity AS p FROM top LEFT JOIN best USING (user_id, item_id) LEFT JOIN close USING (user_id, item_id) LEFT JOIN shared USING (user_id, item_id))"
+REASONS = f"{RANKED}, {TAGGED}, {LIMITS}, best AS (SELECT user_id, j AS item_id, i AS pick, n_ij FROM picks JOIN near ON i = item_id WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY user_id, j ORDER BY round(sim, 9) DESC, i) = 1), close AS (SELECT user_id, item_id, arg_max(pick, (round(s, 9), -pick)) AS near_pick, arg_max(s, (round(s, 9), -pick)) AS cos FROM (SELECT top.user_id, top.item_id, picks.item_id AS pick, sum(a.value * b.value) AS s FROM top JOIN picks USING (user_id) JOIN ev a ON a.item_id = picks.item_id JOIN ev b ON b.item_id = top.item_id AND a.feature = b.feature GROUP BY 1, 2, 3) GROUP BY 1, 2), sums AS (SELECT user_id, feature, sum(value) AS value FROM picks JOIN ev USING (item_id) GROUP BY 1, 2), why AS (SELECT top.user_id, top.item_id, ev.feature, row_number() OVER (PARTITION BY top.user_id, top.item_id ORDER BY round(sums.value * ev.value, 9) DESC, ev.feature) AS rank FROM top JOIN ev USING (item_id) JOIN sums ON sums.user_id = top.user_id AND sums.feature = ev.feature WHERE sums.value * ev.value > 1e-7 QUALIFY rank <= 3), shared AS (SELECT user_id, item_id, string_agg(substr(feature, 7), ', ' ORDER BY rank) FILTER (feature LIKE 'genre:%') AS genres, string_agg(substr(feature, 5), ', ' ORDER BY rank) FILTER (feature LIKE 'tag:%') AS tags FROM why GROUP BY 1, 2), e AS (SELECT top.*, pick, n_ij, near_pick, cos, shared.genres, shared.tags, 0.2 * pct_content AS c, 0.7 * pct_cf AS f, 0.1 * pct_popularity AS p, close_from, support FROM top CROSS JOIN limits LEFT JOIN best USING (user_id, item_id) LEFT JOIN close USING (user_id, item_id) LEFT JOIN shared USING (user_id, item_id))"
 
 
 def evidence(spark, sf_dir):
-    """What speaks for each of the ten items of a user: the closest pick, the shared genres and
+    """What speaks for each of the ten items of a user, with the limits that tell what counts: the closest pick, the shared genres and
     tags among the three features that add most, and the pick whose viewers liked it too."""
     found, chosen = stored_near(spark, sf_dir), picks(spark, sf_dir)
     top = files.stored(listed(spark, sf_dir, 10, found), "top")
     shown = top.select("user_id", "item_id")
     wanted = shown.select("item_id").union(chosen.select("item_id")).distinct()
     tags = content.tf_idf(X.item_docs(spark, sf_dir), X.items(spark, sf_dir))
-    vectors = files.stored(content.blocks((content.tier_1(X.items(spark, sf_dir)), 1.0, ""), (tags, 1.0, "tag:")).join(wanted, "item_id", "left_semi"), "evidence-vectors")
+    every = files.stored(content.blocks((content.tier_1(X.items(spark, sf_dir)), 1.0, ""), (tags, 1.0, "tag:")), "content-vectors")
+    vectors = files.stored(every.join(wanted, "item_id", "left_semi"), "evidence-vectors")
+    close_from = content.similarity_threshold(every).select(F.round("threshold", 6).alias("close_from"))
+    limits = close_from.join(F.broadcast(found.agg(F.percentile("n_ij", 0.9).alias("support"))), F.lit(True))  # one row each
     summed = chosen.join(vectors, "item_id").groupBy("user_id", "feature").agg(F.sum("value").alias("value"))
     why = content.explained(summed, vectors, 3, shown)
     named = lambda kind: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"].startswith(kind)), lambda x: T.feature_name(x["feature"]))
     shared = why.groupBy("user_id", "item_id").agg(named("genre:").alias("shared_genres"), named("tag:").alias("shared_tags"))
     close = content.nearest_pick(shown, chosen, vectors).select("user_id", "item_id", F.col("similarity").alias("pick_cos"), F.concat(F.lit("item "), "pick").alias("pick_title"))
     best = itemcf.best_pick(chosen, found).select("user_id", "item_id", F.concat(F.lit("item "), "pick").alias("cf_title"), "n_ij")
-    rows = top.join(best, ["user_id", "item_id"], "left").join(close, ["user_id", "item_id"], "left").join(shared, ["user_id", "item_id"], "left")
+    rows = top.join(best, ["user_id", "item_id"], "left").join(close, ["user_id", "item_id"], "left").join(shared, ["user_id", "item_id"], "left").join(F.broadcast(limits), F.lit(True))
     weights = dict(zip(("content", "cf", "popularity"), (0.2, 0.7, 0.1), strict=True))
     return rows.withColumns({f"w_{p}": F.lit(w) for p, w in weights.items()} | {p: w * F.col(f"pct_{p}") for p, w in weights.items()})
 
 
-@query("m15_reason_codes", f"{REASONS} SELECT user_id, item_id, concat_ws(' ', CASE WHEN cos >= {SIMILAR} THEN 'SIMILAR_TO_PICK' END, CASE WHEN genres IS NOT NULL THEN 'SHARED_GENRES' END, CASE WHEN tags IS NOT NULL THEN 'SHARED_TAGS' END, CASE WHEN p >= greatest(c, f) THEN 'POPULAR_WITH_VIEWERS' END, CASE WHEN coalesce(n_ij, 0) >= 12 THEN 'CO_LIKED_BY_USERS' END) AS codes FROM e")
+@query("m15_reason_codes", f"{REASONS} SELECT user_id, item_id, concat_ws(' ', CASE WHEN cos >= close_from THEN 'SIMILAR_TO_PICK' END, CASE WHEN genres IS NOT NULL THEN 'SHARED_GENRES' END, CASE WHEN tags IS NOT NULL THEN 'SHARED_TAGS' END, CASE WHEN p >= greatest(c, f) THEN 'POPULAR_WITH_VIEWERS' END, CASE WHEN coalesce(n_ij, 0) >= support THEN 'CO_LIKED_BY_USERS' END) AS codes FROM e")
 def m15(spark, sf_dir):
-    return hybrid.reasons(evidence(spark, sf_dir), SIMILAR, 12).select("user_id", "item_id", F.array_join("codes", " ").alias("codes"))
+    return hybrid.reasons(evidence(spark, sf_dir), F.col("close_from"), F.col("support")).select("user_id", "item_id", F.array_join("codes", " ").alias("codes"))
 
 
-@query("sc27_label_map", f"{REASONS} SELECT user_id, item_id, concat_ws('; ', CASE WHEN cos >= {SIMILAR} THEN 'Similar to item ' || near_pick END, 'Shared genres: ' || genres, 'Shared tags: ' || tags, CASE WHEN p >= greatest(c, f) THEN 'Popular with viewers' END, CASE WHEN coalesce(n_ij, 0) >= 12 THEN format('{{:,}}', n_ij) || ' viewers who liked item ' || pick || ' also liked this' END) AS labels FROM e")
+@query("sc27_label_map", f"{REASONS} SELECT user_id, item_id, concat_ws('; ', CASE WHEN cos >= close_from THEN 'Similar to item ' || near_pick END, 'Shared genres: ' || genres, 'Shared tags: ' || tags, CASE WHEN p >= greatest(c, f) THEN 'Popular with viewers' END, CASE WHEN coalesce(n_ij, 0) >= support THEN format('{{:,}}', n_ij) || ' viewers who liked item ' || pick || ' also liked this' END) AS labels FROM e")
 def sc27(spark, sf_dir):
     """The texts of all reasons, in the order of their codes."""
-    return hybrid.reasons(evidence(spark, sf_dir), SIMILAR, 12).select("user_id", "item_id", F.array_join(F.map_values("labels"), "; ").alias("labels"))
+    return hybrid.reasons(evidence(spark, sf_dir), F.col("close_from"), F.col("support")).select("user_id", "item_id", F.array_join(F.map_values("labels"), "; ").alias("labels"))
 
 
 @query("a28_personalization_report", f"{RANKED} SELECT round(avg(0.2 * pct_content / score), 5) AS content, round(avg(0.7 * pct_cf / score), 5) AS cf, round(avg(0.1 * pct_popularity / score), 5) AS popularity, count(DISTINCT item_id) AS n_items FROM top WHERE score > 0")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,32 @@ def test_no_query_and_no_item(spark):
     queries = spark.createDataFrame([(1,)], "q long")
     assert [(r["item_id"], r["similarity"]) for r in S.similar_items(queries, vectors, 5).collect()] == [(2, 0.0)]
     assert S.similar_items(queries.limit(0), vectors, 5).count() == 0
+
+
+def test_threshold_is_the_percentile_of_paired_cosines(spark):
+    from rankloom.operators import content
+
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        features = sorted(rng.choice(12, size=3, replace=False).tolist())
+        values = rng.random(3)
+        rows += [(10 * i + 3, f"f{f}", float(v)) for f, v in zip(features, values / np.linalg.norm(values), strict=True)]
+    dense = np.zeros((60, 12))
+    for item, f, v in rows:
+        dense[item // 10, int(f[1:])] = v
+    cosines = [round(float(dense[i] @ dense[(i * 48271 + 11) % 60]), 9) for i in range(60)]
+    got = content.similarity_threshold(spark.createDataFrame(rows, "item_id long, feature string, value double")).first()["threshold"]
+    assert abs(got - np.quantile(cosines, 0.95)) < 1e-8
+    assert 0.0 in cosines
+
+
+def test_favourite_genre_in_shown_items_and_in_the_row_of_all(spark):
+    from rankloom.operators import hybrid
+
+    items = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["b", "b"]), (4, []), (5, None)], "item_id long, genres array<string>")
+    picks = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 4)], "user_id long, item_id long")
+    shown = spark.createDataFrame([(1, 2), (1, 3), (1, 5), (1, 1), (2, 3), (2, 4), (3, 1)], "user_id long, item_id long")
+    got = {r["user_id"]: r for r in hybrid.genre_report(shown, picks, items, items.where("item_id >= 2")).collect()}
+    assert set(got) == {1, 2}  # a user whose picks have no genre has no favourite
+    assert (got[1]["genre"], got[1]["shown_share"], got[1]["row_share"], got[1]["lift"]) == ("a", 0.5, 0.25, 0.25)
+    assert (got[2]["genre"], got[2]["shown_share"]) == ("a", 0.0)  # of equally frequent genres the first by name
