@@ -578,9 +578,11 @@ def g5(spark, sf_dir):
     summed = chosen.join(rows, "item_id").groupBy("vec", "user_id", "feature").agg(F.sum("value").alias("value"))
     con = content.scores(summed, normalized(rows, ["vec", "item_id"]), by=("vec",)).withColumnRenamed("score", "content")
     pop = itemcf.item_counts(rated).select("item_id", F.col("n_i").cast("double").alias("popularity"))
-    combos = pool.withColumn("vec", F.explode(F.sequence(F.lit(0), F.lit(len(V1_TAGS) * len(V1_DENSE) - 1))))
-    parts_ = combos.join(con, ["vec", "user_id", "item_id"], "left").join(pop, "item_id", "left").fillna(0.0, ["content", "popularity"])
-    pcts = parts_.select("vec", "user_id", "item_id", *(percentile_rank(F.round(x, 9), ["vec", "user_id"]).alias(f"pct_{x}") for x in ("content", "popularity")))
+    shared = pool.join(pop, "item_id", "left").fillna(0.0, ["popularity"])
+    shared = shared.select("user_id", "item_id", percentile_rank(F.round("popularity", 9), ["user_id"]).alias("pct_popularity"))
+    combos = shared.withColumn("vec", F.explode(F.sequence(F.lit(0), F.lit(len(V1_TAGS) * len(V1_DENSE) - 1))))
+    parts_ = combos.join(con, ["vec", "user_id", "item_id"], "left").fillna(0.0, ["content"])
+    pcts = parts_.select("vec", "user_id", "item_id", percentile_rank(F.round("content", 9), ["vec", "user_id"]).alias("pct_content"), "pct_popularity")
     lists = tuning.weighted_lists(pcts, [(a, p) for a, _, p in ALPHAS], K, ("content", "popularity"), by=("vec",))
     own = files.stored(by_cohort(tuning.grid_metrics(lists, wanted, K, by=("vec", "config"))), "grid")
     base = own.where("config = 0 AND tail = 1").select("vec", "k", F.col("ndcg").alias("b"))

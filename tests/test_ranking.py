@@ -185,3 +185,23 @@ def test_pair_hash_is_wrapping_64_bit_arithmetic(spark):
         got = {(r["u"], r["i"]): r["tie"] for r in R.with_pair_hash(frame, "u", "i", seed=seed).collect()}
         assert got == {(u, i): expected(u, i, seed) for u, i in rows}
     assert R.with_pair_hash(spark.createDataFrame([(None, 1)], "u long, i long"), "u", "i").first()["tie"] is None
+
+
+def test_lists_of_a_grid_do_not_depend_on_batches(spark):
+    grid, k = [(0.0, 0.0, 1.0), (0.5, 0.5, 0.0), (0.2, 0.3, 0.5)], 5
+    rows = [(u, i, (i * 7 % 4) / 4, (i * u % 3) / 3, (i % 2) * 1.0) for u in (1, 2, 3) for i in range(1, 3 + u * 20)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, pct_content double, pct_cf double, pct_popularity double")
+    want = set()
+    for u in (1, 2, 3):
+        for n, w in enumerate(grid):
+            order = sorted((-round(sum(a * b for a, b in zip(w, r[2:])), 9), r[1] * R.KNUTH & 4294967295, r[1]) for r in rows if r[0] == u)
+            want |= {(n, u, item, place + 1) for place, (_, _, item) in enumerate(order[:k])}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for most in ("3", "10000"):
+            spark.conf.set(size, most)
+            assert {tuple(r) for r in tuning.weighted_lists(df, grid, k).select("config", "user_id", "item_id", "rank").collect()} == want
+    finally:
+        spark.conf.set(size, before)
+    assert tuning.weighted_lists(df.where("user_id < 0"), grid, k).count() == 0
