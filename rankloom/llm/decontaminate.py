@@ -14,7 +14,8 @@ The corpus is read twice as a stream of word positions: once to count how
 often the benchmark's shingles occur, once to join. Both times it first meets a bitmap of
 FILTER_BITS cells into which the benchmark's shingles fall;
 what passes is a small part, and goes on as a hash, or as a hash, a place and
-the few words around it. No document's words leave their task.
+the few words around it. No document's words leave their task. A third scan counts
+the words of each row, of which one number a row goes on.
 
 Cases: null and empty texts have no words and are not hit; an item without words
 matches nothing; items with equal windows are all reported; rows with one key and
@@ -29,12 +30,14 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bitmaps, probed, stored, table
+from .common import ascii_lower, stored, table
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of a text that is not lower-cased
 WINDOW = 10
 SHINGLE = 3
 FILTER_BITS = 1 << 27  # 16 MB
+LONGS = 512  # in a row of the bitmap
 BROADCAST_ROWS = 1_000_000  # of the rows that `decontaminate` drops
 
 
@@ -56,12 +59,28 @@ def _shingle(words_: str, at: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(words_, at + n) for n in range(size)))
 
 
+def _bits(cells: DataFrame) -> DataFrame:
+    """(__bucket, __longs): the column `cell` of numbers from 0 as bits of LONGS longs a row. A
+    join hands on an array where it lies, while a binary value is copied for each row that meets it."""
+    own = cells.select(F.shiftright("cell", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell").bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+    own = own.select(F.floor(F.col("word") / LONGS).cast("long").alias("__bucket"), F.pmod("word", F.lit(LONGS)).cast("int").alias("word"), "bits")
+    zeros = own.select("__bucket").distinct().select("__bucket", F.explode(F.sequence(F.lit(0), F.lit(LONGS - 1))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words_ = own.unionByName(zeros).groupBy("__bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return words_.groupBy("__bucket").agg(F.transform(ordered, lambda x: x["bits"]).alias("__longs"))
+
+
 def _passing(stream: DataFrame, shingles: DataFrame) -> DataFrame:
     """Adds `hit`: whether the shingle of a position may be one of these."""
     bits = min(FILTER_BITS, 2 ** max(15, ceil(log2(64 * max(1, shingles.count())))))
-    cell = F.pmod(F.col("shingle"), F.lit(bits))
-    filter_ = stored(bitmaps(shingles.select(cell.alias("cell")).distinct()), "filter")
-    return probed(stream, filter_, cell, "hit", True)  # FILTER_BITS at most
+    mask = F.lit(bits - 1).cast("long")
+    filter_ = stored(_bits(shingles.select(F.col("shingle").bitwiseAND(mask).alias("cell")).distinct()), "filter")
+    cell = F.col("shingle").bitwiseAND(mask)
+    rows = stream.withColumn("__bucket", F.shiftright(cell, 6 + LONGS.bit_length() - 1))
+    rows = rows.join(F.broadcast(filter_), "__bucket", "left")  # FILTER_BITS at most
+    long_ = F.get("__longs", F.shiftright(cell, 6).bitwiseAND(F.lit(LONGS - 1)).cast("int"))
+    hit = F.getbit(long_, cell.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("__bucket", "__longs")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,7 +115,7 @@ def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str,
     holds = (begin >= 0) & (begin + length <= F.size("around"))
     match = F.when(holds, F.slice("around", F.when(holds, begin + 1).otherwise(1), F.when(holds, length).otherwise(1)) == F.col("window")).otherwise(False)
     spans = found.where(match).groupBy("key", "print").agg(F.collect_set(F.struct((F.col("start") + begin).alias("start"), length.alias("length"))).alias("spans"), F.collect_set("items").alias("items"))
-    sizes = _rows(docs, key, text).select("key", "print", F.size(words(F.col("text"))).cast("long").alias("n_words")).groupBy("key", "print").agg(F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"))
+    sizes = _rows(docs, key, text).select("key", "print", F.size(F.array_remove(F.split("text", NO_WORD_CASED), "")).cast("long").alias("n_words")).groupBy("key", "print").agg(F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"))
     # pairs of keys that may be null
     both = sizes.join(spans.withColumnsRenamed({"key": "__key", "print": "__print"}), (F.col("print") == F.col("__print")) & F.col("key").eqNullSafe(F.col("__key")), "left")
     at = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
