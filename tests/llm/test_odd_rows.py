@@ -117,6 +117,21 @@ def test_similar_passages_among_outsiders(spark):
     assert sum(n in got for n in want) >= 0.97 * len(want)
 
 
+def test_similar_passages_that_no_neighbours_show(spark):
+    """Other documents hold parts of each passage, so that they stand between the two that have it."""
+    draw = random.Random(5)
+    say = lambda n: [f"w{draw.randint(0, 20000)}" for _ in range(n)]
+    rows = []
+    for n in range(0, 3000, 20):
+        passage = say(56)
+        other = list(passage)
+        other[draw.randint(20, 36)] = "changed"
+        rows += [(n + k, say(10) + passage[(at := draw.randint(0, 18)) : at + 38] + say(10)) for k in (0, 1, 2, 3, 6, 7, 8, 10, 11, 12)]
+        rows += [(n + 5, say(15) + passage + say(15)), (n + 9, say(15) + other + say(15))]
+    got = {r["doc_id"] for r in S.repeated_passages(spark.createDataFrame([(n, " ".join(t)) for n, t in rows], "doc_id long, text string")).collect()}
+    assert got == {n + k for n in range(0, 3000, 20) for k in (5, 9)}
+
+
 def test_words_that_a_polynomial_confuses(spark):
     """Thue-Morse words of 4,096 letters, and texts of half such words."""
     one = "a"
