@@ -151,6 +151,24 @@ def test_word_hashes_tell_words_apart():
     assert (word_hashes("One  TWO") == word_hashes("one\ntwo")).all() and len(word_hashes(" \n")) == len(word_hashes(None)) == 0
 
 
+def test_pairs_that_share_too_little_are_not_compared(spark, monkeypatch):
+    """Each text is dense in lines of others, but two texts have one line of 36 shingles at most in common."""
+    rng = random.Random(23)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    rows, columns, sums = ([line() for _ in range(7)] for _ in range(3))
+    docs = [(7 * r + c, f"{rows[r]} {columns[c]} {sums[(r + c) % 7]}") for r in range(7) for c in range(7)]
+    seen, kept = {}, S.stored
+
+    def stored(df, name, **k):
+        out = kept(df, name, **k)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "stored", stored)
+    assert S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+    assert seen["still"] == 49 and seen["pairs"] == 0
+
+
 def test_passages_and_licences_of_rows_with_one_id(spark):
     say = lambda n: " ".join(f"w{DRAW.randint(0, 5000)}" for _ in range(n))
     one, two = say(70), say(60)
