@@ -4,6 +4,7 @@ plans on the far side of each size check."""
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from rankloom.llm import packing as P
 from rankloom.llm import sharding as H
 from rankloom.llm import substring_dedup as S
 from rankloom.llm import token_counts as T
-from rankloom.llm.shingles import word_hashes
+from rankloom.llm.shingles import shingle_hashes, word_hashes
 
 DRAW = random.Random(23)
 PROSE = " ".join(f"word{DRAW.randint(0, 900)}" for _ in range(120))
@@ -169,6 +170,36 @@ def test_pairs_that_share_too_little_are_not_compared(spark, monkeypatch):
     assert seen["still"] == 49 and seen["pairs"] == 0
 
 
+def test_near_copies_do_not_become_all_their_pairs(spark, monkeypatch):
+    """Sixty near copies of one text: what they share is found as by comparing all pairs, but no table has a row for each pair."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(260)]
+    docs = [(n, " ".join(word() if rng.random() < 0.05 else x for x in base)) for n in range(60)]
+    rows, kept = [], S.stored
+
+    def stored(df, name, **k):
+        out = kept(df, name, **k)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "stored", stored)
+    covered = {n: set() for n, _ in docs}
+    for r in S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    count = dict(rows)  # the last of each name: of pairs, those of open documents
+    assert count["still"] > 30 and count["pairs"] <= 2 * len(docs)
+    own = {n: shingle_hashes(word_hashes(text) >> np.uint64(32), S.SIZE) for n, text in docs}
+    found = 0
+    for a, x in own.items():
+        for b, y in own.items():
+            if a != b:
+                for first, last, _ in S.passages(x, y, S.LEAST_WORDS - S.SIZE + 1, S.PERCENT)[0]:
+                    assert all(p in covered[a] for p in np.flatnonzero(np.isin(x[first : last + 1], y)) + first)
+                    found += 1
+    assert found > 1000
+
+
 def test_passages_and_licences_of_rows_with_one_id(spark):
     say = lambda n: " ".join(f"w{DRAW.randint(0, 5000)}" for _ in range(n))
     one, two = say(70), say(60)
