@@ -205,3 +205,15 @@ def test_lists_of_a_grid_do_not_depend_on_batches(spark):
     finally:
         spark.conf.set(size, before)
     assert tuning.weighted_lists(df.where("user_id < 0"), grid, k).count() == 0
+
+
+def test_marked_lists_tell_the_metrics_of_whole_lists(spark):
+    draw = np.random.default_rng(11)
+    rows = spark.createDataFrame([(u, i, float(draw.integers(0, 5)), float(draw.integers(0, 5))) for u in range(6) for i in range(25)], "user_id long, item_id long, pct_a double, pct_b double")
+    wanted = spark.createDataFrame([(u, int(i), u % 2) for u in range(5) for i in draw.choice(25, 4, replace=False)], "user_id long, item_id long, cohort int")
+    grid = [(1.0, 0.0), (0.5, 0.5), (0.0, 1.0)]
+    whole = tuning.weighted_lists(rows, grid, 3, ("a", "b"))
+    marked = tuning.weighted_lists(rows, grid, 3, ("a", "b"), wanted=wanted)
+    assert marked.count() == 6 * 3  # a row a list, with or without a hit
+    told = [{(r["config"], r["user_id"]): (r["cohort"], round(r["ndcg"], 12), r["hit"]) for r in tuning.user_ndcg(x, wanted, 3).collect()} for x in (whole, marked)]
+    assert len(told[0]) == 15 and told[0] == told[1]
